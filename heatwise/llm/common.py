@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,7 +61,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         text = batch.column(batch.schema.get_field_index(column))
         if text.null_count:
             text = text.fill_null("")
-        lengths = pa.compute.binary_length(text).to_numpy(zero_copy_only=False)
+        lengths = pc.binary_length(text).to_numpy(zero_copy_only=False)
         at, held = 0, 0
         for i, n in enumerate(lengths):
             if held and held + n > limit:

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, secrets
+from . import mixing, quality, secrets, toxicity
+from .common import crc_mod5
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,8 +34,21 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.cascade(table(spark, sf_dir, "documents"))
+
+
+def op10_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), crc_mod5(F.col("doc_id")) != 0)
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", (crc_mod5(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_source_mix": op6_source_mix,
     "op8_secret_scan": op8_secret_scan,
+    "op9_quality_cascade": op9_quality_cascade,
+    "op10_toxic_segments": op10_toxic_segments,
 }
 ORACLE: dict[str, str] = {}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -104,4 +105,4 @@ class Words:
 
 
 def code_points(text: pa.Array) -> np.ndarray:
-    return pa.compute.utf8_length(text).to_numpy(zero_copy_only=False)
+    return pc.utf8_length(text).to_numpy(zero_copy_only=False)
