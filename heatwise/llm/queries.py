@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, mixing, quality, secrets, tokens, toxicity
+from . import decontaminate, jaccard, mixing, quality, secrets, styletree, tokens, toxicity, warc
 from .common import crc_mod5
 
 
@@ -25,6 +25,15 @@ def op2_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.through_archives(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return styletree.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -62,6 +71,8 @@ def op10_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_benchmark_leaks": op2_benchmark_leaks,
+    "op3_warc_records": op3_warc_records,
+    "op4_main_text": op4_main_text,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_source_mix": op6_source_mix,
     "op8_secret_scan": op8_secret_scan,
