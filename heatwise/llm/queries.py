@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, mixing, quality, secrets, styletree, tokens, toxicity, warc
+from . import decontaminate, hmm, jaccard, mixing, quality, secrets, styletree, tokens, toxicity, warc
 from .common import crc_mod5
 
 
@@ -42,6 +42,10 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.systematic_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op7_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"), crc_mod5(F.col("doc_id")) == 1)
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = [r.kind for r in secrets.RULES if r.base]
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_main_text": op4_main_text,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_source_mix": op6_source_mix,
+    "op7_hidden_markov": op7_hidden_markov,
     "op8_secret_scan": op8_secret_scan,
     "op9_quality_cascade": op9_quality_cascade,
     "op10_toxic_segments": op10_toxic_segments,
