@@ -47,6 +47,12 @@ def small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def without(df: DataFrame, ids: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """The rows of df whose doc_id is not in ids, a table that is read more than once. Nulls are equal here. Up to max_rows ids are broadcast."""
+    gone = small(ids.select(F.col("doc_id").alias("_gone")), max_rows)
+    return df.join(gone, df["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
