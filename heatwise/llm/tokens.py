@@ -11,6 +11,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,8 @@ from .textops import SPACE, raw
 
 END_ID = 2
 #: Ids that are coded in step, and pieces of text of which a task remembers the ids.
-GROUP = BLOCK * 2048
-MOST_PIECES = 400_000
+GROUP = BLOCK * 1024
+MOST_PIECES = 600_000
 FOOTER = struct.Struct("<8sQQ")  # magic, documents, bytes of their list
 MAGIC = b"TOKENS01"
 _PLAIN = np.zeros(256, bool)
@@ -71,7 +72,7 @@ class Encoder:
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.ids: list[np.ndarray] = []
-        self.flat, self.start = np.zeros(0, np.int64), np.zeros(1, np.int64)
+        self.flat, self.start = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def __call__(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with END_ID after it, and how many each has."""
@@ -92,17 +93,20 @@ class Encoder:
             got = [x.ids for x in self.tokenizer.encode_batch(fresh, add_special_tokens=False)]
             sizes = np.fromiter(map(len, got), np.int64, len(got))
             self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in got for i in x), np.int64, int(sizes.sum()))])
-        which = number[coded.indices.to_numpy()] if len(parts) else np.zeros(0, np.int64)
-        size = self.start[which + 1] - self.start[which]
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.int32, int(sizes.sum()))])
+        which = number.take(coded.indices.to_numpy()) if len(parts) else np.zeros(0, np.int64)
+        start = self.start.take(which)
+        size = np.diff(self.start).take(which) if len(which) else start
         upto = np.concatenate([[0], np.cumsum(size)])
         per_doc = upto[first[1:]] - upto[first[:-1]]
-        place = np.arange(upto[-1]) + np.repeat(self.start[which] - upto[:-1], size)
-        ends = np.cumsum(per_doc + 1) - 1
+        # Each piece's ids go behind the ids, and the end ids, of what is before it.
+        doc = np.repeat(np.arange(len(per_doc)), np.diff(first))
+        gap = np.repeat((start - upto[:-1] - doc).astype(np.int32), size)
         out = np.full(int(upto[-1]) + len(per_doc), END_ID, np.uint32)
         inside = np.ones(len(out), bool)
-        inside[ends] = False
-        out[inside] = self.flat[place]
+        inside[np.cumsum(per_doc + 1) - 1] = False
+        at = np.flatnonzero(inside)
+        out[at] = self.flat.take(at + gap)
         return out, per_doc + 1
 
 
