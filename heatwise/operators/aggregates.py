@@ -176,7 +176,7 @@ def var_cvar(df: DataFrame, keys: Sequence[str], pnl: str, alpha: float = 0.05,
     """Value at risk, -quantile(pnl, alpha), and the mean of losses at least as large."""
     q = F.percentile_approx(pnl, alpha, 10_000) if approximate else F.percentile(pnl, alpha)
     cut = df.groupBy(*keys).agg(q.alias("_q"))
-    tail = df.join(cut, list(keys)).where(F.col(pnl) <= F.col("_q"))
+    tail = df.join(cut, list(keys)).where(F.col(pnl) <= F.col("_q") + 1e-9)  # an interpolated quantile may miss the value it stands for by rounding
     return tail.groupBy(*keys).agg((-F.max("_q")).alias("var"), (-F.avg(pnl)).alias("cvar"))
 
 

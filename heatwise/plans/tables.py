@@ -149,7 +149,7 @@ def a18(spark, sf_dir):
     return A.parse_confidence(r, ["race"], ["claim", "figure"], "n").withColumn("confidence", F.round("confidence", 6))
 
 
-@query("A19_var_cvar", f"{RUN}, z AS (SELECT track, (disc - 0.05) * q AS pnl FROM run), k AS (SELECT track, quantile_cont(pnl, 0.05) AS v FROM z GROUP BY track) SELECT track, round(-v, 6) AS var, round(-avg(pnl), 6) AS cvar FROM z JOIN k USING (track) WHERE pnl <= v GROUP BY track, v")
+@query("A19_var_cvar", f"{RUN}, z AS (SELECT track, (disc - 0.05) * q AS pnl FROM run), k AS (SELECT track, quantile_cont(pnl, 0.05) AS v FROM z GROUP BY track) SELECT track, round(-v, 6) AS var, round(-avg(pnl), 6) AS cvar FROM z JOIN k USING (track) WHERE pnl <= v + 1e-9 GROUP BY track, v")
 def a19(spark, sf_dir):
     z = runners(spark, sf_dir).select("track", ((c("disc") - 0.05) * c("q")).alias("pnl"))
     return A.var_cvar(z, ["track"], "pnl").select("track", r6(c("var"), "var"), r6(c("cvar"), "cvar"))
@@ -459,7 +459,7 @@ def r08(spark, sf_dir):
     return O.payoffs(bets(spark, sf_dir), O.finishing_orders(samples(spark, sf_dir), 1)).select("race", "post", "scenario", r6(c("payoff"), "payoff"))
 
 
-RISK = f"{BETS}, pl AS (SELECT race, scenario, sum(stake * payoff) AS pnl FROM py GROUP BY race, scenario), qv AS (SELECT race, quantile_cont(pnl, 0.05) AS v, avg(pnl) AS m FROM pl GROUP BY race), ri AS (SELECT race, m AS expected_return, -v AS var, -avg(pnl) AS cvar FROM pl JOIN qv USING (race) WHERE pnl <= v GROUP BY race, m, v)"
+RISK = f"{BETS}, pl AS (SELECT race, scenario, sum(stake * payoff) AS pnl FROM py GROUP BY race, scenario), qv AS (SELECT race, quantile_cont(pnl, 0.05) AS v, avg(pnl) AS m FROM pl GROUP BY race), ri AS (SELECT race, m AS expected_return, -v AS var, -avg(pnl) AS cvar FROM pl JOIN qv USING (race) WHERE pnl <= v + 1e-9 GROUP BY race, m, v)"
 
 
 @query("R09_portfolio_risk", f"{RISK} SELECT race, round(expected_return, 6) AS expected_return, round(var, 6) AS var, round(cvar, 6) AS cvar FROM ri")
