@@ -51,6 +51,7 @@ class Model:
     start: np.ndarray
     move: np.ndarray
     emit: np.ndarray  # class x state
+    extra: np.ndarray | None = None  # by class: words of their own class seen once, which tell how many words are not seen
 
 
 def _held_out(doc_id: Column, held: Column | None) -> Column:
@@ -213,11 +214,12 @@ def _round(coded: DataFrame, m: Model, free: bool) -> Model:
     total = np.zeros((CLASSES + 1 + STATES, STATES))
     total[sums.column("at").to_numpy()] = np.stack([sums.column(n).to_numpy() for n in names], 1) if sums.num_rows else 0
     emitted, start, move = total[:CLASSES], total[CLASSES], total[CLASSES + 1 :]
+    emitted = emitted + m.extra[:, None] * (emitted.sum(0) / max(emitted.sum(), 1e-9))
     share = (emitted.sum(1) + 0.5) / (emitted.sum() + 0.5 * CLASSES)
     # A class that a state never emitted keeps a little of its overall share.
     emit = (emitted + 50 * share[:, None]) / (emitted.sum(0) + 50)
     move = (move + 0.1 + 5 * np.eye(STATES)) / (move.sum(1, keepdims=True) + 0.1 * STATES + 5)
-    return Model(m.word, m.number, m.log_count, m.unseen, (start + 1) / (start.sum() + STATES), move, emit)
+    return Model(m.word, m.number, m.log_count, m.unseen, (start + 1) / (start.sum() + STATES), move, emit, m.extra)
 
 
 def _forward(tokens: np.ndarray, bounds: np.ndarray, m: Model) -> np.ndarray:
@@ -263,6 +265,9 @@ def score(docs: DataFrame, held: Column | None = None) -> DataFrame:
     free = np.where(sums > 0, np.minimum((once + 1) / (sums + 2), 0.95), 1.0)  # a shape without words emits unseen ones only
     rng = np.random.default_rng(7)
     m = Model(word[order], number, log_count, np.log10(free), np.full(STATES, 1 / STATES), np.full((STATES, STATES), 0.1 / (STATES - 1)) + np.eye(STATES) * (0.9 - 0.1 / (STATES - 1)), np.zeros((CLASSES, STATES)))
+    m.extra = np.zeros(CLASSES)
+    if top.num_rows:
+        m.extra[TOP : TOP + SHAPES] = np.bincount(top.column("shape").to_numpy()[top.column("c").to_numpy() == 1], minlength=SHAPES)
     share = np.full(CLASSES, 0.5)
     share[: len(word)] += 10 ** log_count[:-1]
     share[TOP : TOP + SHAPES] += sums

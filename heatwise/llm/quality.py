@@ -48,6 +48,8 @@ def repeats(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def lines(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     r"""Start, length and document of each \n-split line that has a word."""
+    if not len(w.buf):
+        return (np.zeros(0, np.int64),) * 3
     ends = w.buf == 0x0A
     first = np.zeros(len(w.buf) + 1, bool)
     first[1:] = ends
