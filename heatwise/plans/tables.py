@@ -462,10 +462,10 @@ def r08(spark, sf_dir):
 RISK = f"{BETS}, pl AS (SELECT race, scenario, sum(stake * payoff) AS pnl FROM py GROUP BY race, scenario), qv AS (SELECT race, quantile_cont(pnl, 0.05) AS v, avg(pnl) AS m FROM pl GROUP BY race), ri AS (SELECT race, m AS expected_return, -v AS var, -avg(pnl) AS cvar FROM pl JOIN qv USING (race) WHERE pnl <= v + 1e-9 GROUP BY race, m, v)"
 
 
-@query("R09_portfolio_risk", f"{RISK} SELECT race, round(expected_return, 6) AS expected_return, round(var, 6) AS var, round(cvar, 6) AS cvar FROM ri")
+@query("R09_portfolio_risk", f"{RISK} SELECT race, round(expected_return, 9) AS expected_return, round(var, 9) AS var, round(cvar, 9) AS cvar FROM ri")
 def r09(spark, sf_dir):
     out = O.portfolio_risk(O.payoffs(bets(spark, sf_dir), O.finishing_orders(samples(spark, sf_dir), 1)), ["race"])
-    return out.select("race", *[r6(c(x), x) for x in ("expected_return", "var", "cvar")])
+    return out.select("race", *[F.round(x, 9).alias(x) for x in ("expected_return", "var", "cvar")])
 
 
 @query("R11_pareto_frontier", f"{RISK}, t AS (SELECT race, sum(tax) AS stake, count(*) AS n_bets FROM run GROUP BY race) SELECT race, level, n_bets, round(least(1, stake) * CASE WHEN cvar / greatest(1, stake) > level THEN level / (cvar / greatest(1, stake)) ELSE 1 END, 5) AS stake, round(least(cvar / greatest(1, stake), level), 5) AS cvar FROM ri JOIN t USING (race) CROSS JOIN (SELECT unnest([0.05e0, 0.1e0, 0.2e0, 0.3e0]) AS level)")
