@@ -284,18 +284,18 @@ def _components_of(docs: DataFrame, k: int, percent: int) -> DataFrame:
     buckets = _buckets(_signatures(reps, k, percent))
     size = meta.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
 
-    def fit(pairs: DataFrame) -> DataFrame:
-        """Without pairs whose sizes alone rule a link out."""
+    def judged(pairs: DataFrame) -> DataFrame:
+        """pairs with: apart, whether the sizes alone put the similarity below 0.4. Only the similarity rules out a link with others of the bucket, so no pair is left out."""
         a = size.select(F.col("doc_id").alias("a"), F.col("least").alias("al"), F.col("most").alias("am"))
         b = size.select(F.col("doc_id").alias("b"), F.col("least").alias("bl"), F.col("most").alias("bm"))
-        both = pairs.join(a, "a").join(b, "b")
-        return both.where(f"100 * bm >= {percent} * al and 100 * am >= {percent} * bl").select("a", "b")
+        return pairs.join(a, "a").join(b, "b").select("a", "b", F.expr("10 * bm < 4 * al or 10 * am < 4 * bl").alias("apart"))
 
     links = tried = None
     for _ in range(ROUNDS):
-        pairs = fit(buckets.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
-        pairs = cut(pairs if tried is None else pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-pairs")
-        seen = _verified(pairs, reps, k, percent)
+        pairs = buckets.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+        pairs = cut(judged(pairs if tried is None else pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")), "jaccard-pairs")
+        seen = _verified(pairs.where("not apart").select("a", "b"), reps, k, percent)
+        seen = seen.union(pairs.where("apart").select("a", "b", F.lit(False), F.lit(True), F.lit(False)))
         tried = seen if tried is None else tried.union(seen)
         found = seen.where("linked").select("a", "b")
         links = found if links is None else links.union(found)

@@ -185,6 +185,21 @@ def test_jaccard_components_equal_brute_force(spark, sample):
     assert kept == {c if n else i for i, n, c in brute_components(rows)}
 
 
+def test_jaccard_links_of_versions_under_a_shorter_hub(spark):
+    rng, rows = random.Random(3), []
+    for family in range(150):
+        n = rng.randint(14, 120)
+        words = [f"w{family}x{i}" for i in range(n)]
+        for _ in range(12):  # shorter versions have lower ids, so they are hubs
+            size = rng.randint(n * 55 // 100, n * 78 // 100)
+            at = rng.randint(0, n - size)
+            rows.append(words[at : at + size])
+        rows += [[*words, *(f"e{family}y{i}" for i in range(k))] for k in (0, n // 20)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    got = jaccard.jaccard_components(docs(spark, [(i, t, None) for i, t in rows])).select("doc_id", "n_shingles", "component_id").orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == brute_components(rows)
+
+
 def test_jaccard_on_odd_rows(spark):
     got = jaccard.jaccard_components(docs(spark, ODD)).collect()
     assert len(got) == len(ODD) and {(r["doc_id"], r["n_shingles"]) for r in got} >= {(1, 0), (2, 0), (3, 0), (4, 1), (None, 1)}
