@@ -3,7 +3,8 @@
 Equal sets are one representative. In a band of sizes [2**k, 2**(k+1)) the universe of shingles is hashed into m
 segments. If sets of l and L >= l elements reach the threshold they differ in at most
 H = (l + L) * (100 - p) / (100 + p) elements; so of any units that are worth more than H in all, one must agree: a segment's
-subset (worth 1: equal), or its one-deletion neighbourhood besides (worth 1 more: one element apart). Every set is indexed
+subset (worth 1: equal), or its one-deletion neighbourhood besides (worth 1 more: one element apart). An empty subset has no
+neighbourhood and is worth 2 where neighbourhoods are used, as it also finds subsets of one element. Every set is indexed
 under all its units. A set probes for partners as large as itself or larger, in its band and the next, and the
 allocation is by cost: how many sets share each unit is counted over the corpus, and the dearest units are
 dropped as long as the others are worth more than H. What remains is verified exactly.
@@ -73,7 +74,7 @@ class Scheme:
 
 
 def units(s: np.ndarray, bounds: np.ndarray, scheme: Scheme, cross: bool) -> dict[str, np.ndarray]:
-    """The rows of an index (cross: of the probes into the next band): doc, sig, unit, slack."""
+    """The rows of an index (cross: of the probes into the next band): doc, sig, unit, slack, charge (what dropping the unit takes from the slack)."""
     size = np.diff(bounds)
     own = np.floor(np.log2(np.maximum(size, 1))).astype(np.int64)
     top = (2 << own) - 1
@@ -98,10 +99,11 @@ def units(s: np.ndarray, bounds: np.ndarray, scheme: Scheme, cross: bool) -> dic
     own_sum = mix(e ^ np.uint64(0xA0761D6478BD642F))
     total = np.zeros(first[-1], np.uint64)
     np.add.at(total, first[doc] + seg, own_sum)
+    empty = np.bincount(first[doc] + seg, minlength=first[-1]) == 0
     who = np.repeat(np.arange(len(size)), shown)
     place = np.arange(first[-1]) - first[who]
     salt = mix((band[who] * (1 << 24) + place).astype(np.uint64) * np.uint64(0x8EBC6AF09C88C6E3))
-    out = {"doc": [who], "sig": [mix(total + salt)], "unit": [place * 2], "slack": [slack[who]]}
+    out = {"doc": [who], "sig": [mix(total + salt)], "unit": [place * 2], "slack": [slack[who]], "charge": [np.where(two[who] & empty, 2, 1)]}
     near = two[doc]
     if near.any():
         d, g = doc[near], seg[near]
@@ -110,6 +112,7 @@ def units(s: np.ndarray, bounds: np.ndarray, scheme: Scheme, cross: bool) -> dic
         out["sig"].append(mix(total[at] - own_sum[near] + salt[at]))
         out["unit"].append(g * 2 + 1)
         out["slack"].append(slack[d])
+        out["charge"].append(np.ones(len(d), np.int64))
     return {k: np.concatenate(v) for k, v in out.items()}
 
 
@@ -139,7 +142,7 @@ def _signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 r = units(s, b, scheme, cross)
                 for i in range(0, len(r["doc"]), 200_000):
                     part = {n: v[i : i + 200_000] for n, v in r.items()}
-                    tag = part["unit"] * 2 + cross
+                    tag = (part["unit"] * 2 + cross) * 2 + part["charge"] - 1
                     yield pa.RecordBatch.from_arrays([_signed(part["sig"]), pa.array(ids[part["doc"]]), pa.array(tag.astype(np.int32)), pa.array(part["slack"].astype(np.int32))], names=["sig", "id", "tag", "slack"])
 
     return docs.select("doc_id", "text").mapInArrow(on, "sig long, id long, tag int, slack int")
@@ -148,12 +151,12 @@ def _signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
 def _buckets(sigs: DataFrame) -> DataFrame:
     """(sig, id, probe): rows of buckets with two sets or more and at least one probe, after allocation by cost."""
     shared = sigs.withColumn("n", F.count("*").over(Window.partitionBy("sig"))).where("n > 1")
-    shared = cut(shared.select("sig", "id", F.col("tag") % 2 == 1, F.col("tag").bitwiseAND(2) > 0, F.shiftright("tag", 2), "slack", "n").toDF("sig", "id", "cross", "near", "seg", "slack", "n"), "jaccard-shared")
-    cost = shared.groupBy("id", "cross", "seg", "near", "slack").agg(F.sum(F.col("n") - 1).alias("c"))
+    shared = cut(shared.select("sig", "id", F.col("tag").bitwiseAND(2) > 0, F.col("tag").bitwiseAND(4) > 0, F.shiftright("tag", 3), F.col("tag") % 2 + 1, "slack", "n").toDF("sig", "id", "cross", "near", "seg", "charge", "slack", "n"), "jaccard-shared")
+    cost = shared.groupBy("id", "cross", "seg", "near", "slack").agg(F.sum(F.col("n") - 1).alias("c"), F.max("charge").alias("charge"))
     # A neighbourhood counts only with its segment, so it costs at least as much and goes first.
     cost = cost.withColumn("c", F.sum("c").over(Window.partitionBy("id", "cross", "seg").orderBy("near")))
-    rank = F.row_number().over(Window.partitionBy("id", "cross").orderBy(F.desc("c"), F.desc("near"), "seg"))
-    dropped = cost.withColumn("rank", rank).where("rank <= slack").select("id", "cross", "seg", "near", F.lit(True).alias("dropped"))
+    spent = F.sum("charge").over(Window.partitionBy("id", "cross").orderBy(F.desc("c"), F.desc("near"), "seg").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    dropped = cost.withColumn("spent", spent).where("spent <= slack").select("id", "cross", "seg", "near", F.lit(True).alias("dropped"))
     rows = shared.join(dropped, ["id", "cross", "seg", "near"], "left").select("sig", "id", "cross", F.col("dropped").isNull().alias("probe"))
     rows = rows.where("probe or not cross").groupBy("sig", "id").agg(F.max("probe").alias("probe"))
     out = cut(_with_hubs(rows), "jaccard-buckets")

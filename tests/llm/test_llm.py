@@ -200,6 +200,17 @@ def test_jaccard_links_of_versions_under_a_shorter_hub(spark):
     assert [tuple(r) for r in got] == brute_components(rows)
 
 
+def test_jaccard_links_at_the_threshold(spark):
+    rows = []
+    for size in range(1, 41):  # shingles of the shorter text; the longer one has the most that still link
+        for seed in range(12):
+            words = [f"s{size}n{seed}w{i}" for i in range(size * 100 // 80 + 4)]
+            rows += [words[: size + 4], words]
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(docs(spark, [(i, t, None) for i, t in rows])).collect()}
+    assert got == {i: i - i % 2 for i in range(len(rows))}
+
+
 def test_jaccard_on_odd_rows(spark):
     got = jaccard.jaccard_components(docs(spark, ODD)).collect()
     assert len(got) == len(ODD) and {(r["doc_id"], r["n_shingles"]) for r in got} >= {(1, 0), (2, 0), (3, 0), (4, 1), (None, 1)}
