@@ -303,7 +303,9 @@ def _components_of(docs: DataFrame, k: int, percent: int) -> DataFrame:
         found = seen.where("linked").select("a", "b")
         links = found if links is None else links.union(found)
         label = components(links)
-        links = cut(links.union(_block_links(seen.where("near").select("a", "b"), label, reps, k, percent)), "jaccard-links")
+        # A pair that was near in an earlier round, through another bucket, goes with those of this round.
+        near = tried.where("near").select("a", "b").join(buckets.select(F.col("hub").alias("a")).distinct(), "a", "left_semi")
+        links = cut(links.union(_block_links(near, label, reps, k, percent)), "jaccard-links")
         # A pair that links is within 0.2 of one another, so both are at 0.4 or more to their hub, or both below 0.6: those meet again under another hub.
         far = buckets.join(tried.where("far").select(F.col("a").alias("hub"), F.col("b").alias("id")), ["hub", "id"], "left_semi")
         buckets = cut(_with_hubs(far.select("sig", "id", "probe")), "jaccard-far")
