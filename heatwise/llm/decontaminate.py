@@ -1,8 +1,8 @@
 """Benchmark decontamination by the q-gram lemma in diagonal bands, verified by banded alignment.
 
 Benchmark items are cut into overlapping windows of at most WINDOW bytes. A window of m bytes that is within k edits of a
-region shares at least (kept q-grams) - k * q of them with it, in one band of diagonals; kept are those that are
-not too frequent in the benchmark. Documents are scanned once: a bitmap of benchmark q-grams and a
+region shares at least (its q-grams) - k * q of them with it, in one band of diagonals. A window's text is indexed once,
+with all items that hold it. Documents are scanned once: a bitmap of benchmark q-grams and a
 running count over the text leave few regions; there, hits are counted by window and overlapping band, and the bands
 that reach the bound are verified by a banded edit distance.
 """
@@ -25,13 +25,13 @@ from .textops import LETTERS, raw
 Q, WINDOW, STRIDE, LEAST = 12, 96, 32, 32
 #: Bytes for each edit that a window may have.
 BYTES_AN_EDIT = 16
-#: A q-gram found in more windows than this is not counted, and the bound is lowered for it.
-FREQUENT = 64
 #: The benchmark is worked through in blocks of about so many bytes, so that what is broadcast is bounded.
 BLOCK_BYTES = 4_000_000
 BITMAP = 20
 #: The least number of shared q-grams that makes a region.
 SHARED = 12
+#: Hits that are laid out at once, and candidates that are aligned at once.
+HITS, ALIGNED = 2_000_000, 512
 
 
 def normal(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,26 +62,27 @@ def _bucket(g: np.ndarray) -> np.ndarray:
 @dataclass
 class Index:
     windows: list[bytes]
-    item: list
+    items: list[list]  # of each window, an entry for each time that an item holds it
     budget: np.ndarray
     bound: np.ndarray
     gram: np.ndarray  # sorted q-grams that are counted
     first: np.ndarray  # of each, its first entry in window and place; one more at the end
     window: np.ndarray
     place: np.ndarray
+    order: np.ndarray  # of each entry, number of the q-gram times the windows, plus the window: ascending
     bitmap: np.ndarray
 
 
 def build(items: list[tuple[object, str]]) -> Index:
-    windows, owner = [], []
+    held: dict[bytes, list] = {}
     for item, text in items:
         data = normal(pa.array([text or ""]))[0].tobytes().strip()
         if len(data) < LEAST:
             continue
         stops = [*range(WINDOW, len(data), STRIDE), len(data)] if len(data) > WINDOW else [len(data)]
         for stop in stops:
-            windows.append(data[max(0, stop - WINDOW) : stop])
-            owner.append(item)
+            held.setdefault(data[max(0, stop - WINDOW) : stop], []).append(item)
+    windows = list(held)
     g, w, p = [], [], []
     for i, data in enumerate(windows):
         n = len(data) - Q + 1
@@ -91,18 +92,14 @@ def build(items: list[tuple[object, str]]) -> Index:
     g, w, p = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((g, np.uint64), (w, np.int64), (p, np.int64)))
     order = np.argsort(g, kind="stable")
     g, w, p = g[order], w[order], p[order]
-    gram, first, times = np.unique(g, return_index=True, return_counts=True)
-    ok = np.repeat(times <= FREQUENT, times)
-    kept = np.bincount(w[ok], minlength=len(windows))
     length = np.array([len(x) for x in windows], np.int64)
-    budget = length // BYTES_AN_EDIT
+    own = length - Q + 1
     # At least SHARED q-grams must be shared: where the lemma asks for fewer, fewer edits are allowed.
-    budget = np.maximum(np.minimum(budget, (kept - SHARED) // Q), 0)
-    g, w, p = g[ok], w[ok], p[ok]
+    budget = np.maximum(np.minimum(length // BYTES_AN_EDIT, (own - SHARED) // Q), 0)
     gram, first = np.unique(g, return_index=True)
     bitmap = np.zeros(1 << BITMAP, bool)
     bitmap[_bucket(gram)] = True
-    return Index(windows, owner, budget, np.maximum(kept - budget * Q, 1), gram, np.append(first, len(g)), w, p, bitmap)
+    return Index(windows, list(held.values()), budget, own - budget * Q, gram, np.append(first, len(g)), w, p, np.repeat(np.arange(len(gram)), np.diff(np.append(first, len(g)))) * len(windows) + w, bitmap)
 
 
 def banded(pattern: bytes, region: np.ndarray) -> tuple[int, int]:
@@ -119,6 +116,69 @@ def banded(pattern: bytes, region: np.ndarray) -> tuple[int, int]:
     return int(row[end]), end
 
 
+def banded_many(patterns: list[bytes], regions: list[np.ndarray]) -> list[tuple[int, int]]:
+    """banded() of many patterns, each in its region. What fills up a short region matches nothing, so no match gains by it."""
+    length = np.array([len(x) for x in patterns])
+    n = max(len(x) for x in regions)
+    pattern, region = np.zeros((len(patterns), length.max()), np.uint8), np.full((len(patterns), n), 0xFF, np.uint8)
+    for i, (x, y) in enumerate(zip(patterns, regions, strict=True)):
+        pattern[i, : len(x)], region[i, : len(y)] = np.frombuffer(x, np.uint8), y
+    row, steps = np.zeros((len(patterns), n + 1), np.int32), np.arange(n + 1, dtype=np.int32)
+    out = [(0, 0)] * len(patterns)
+    for i in range(pattern.shape[1]):
+        best = np.empty_like(row)
+        best[:, 0] = i + 1
+        np.minimum(row[:, 1:] + 1, row[:, :-1] + (region != pattern[:, i : i + 1]), out=best[:, 1:])
+        row = np.minimum.accumulate(best - steps, axis=1) + steps
+        for at in np.flatnonzero(length == i + 1).tolist():
+            end = int(np.argmin(row[at]))
+            out[at] = int(row[at, end]), end
+    return out
+
+
+def _candidates(at: np.ndarray, where: np.ndarray, offsets: np.ndarray, ix: Index, low: int = 0, high: int | None = None) -> Iterator[np.ndarray]:
+    """Bands (window, document, band) that reach their bound, from places of indexed q-grams in ascending order and the q-grams' numbers.
+
+    More hits than HITS are laid out in parts: of places, which overlap by more than a window's region, then of windows.
+    """
+    high = len(ix.windows) if high is None else high
+    begin, stop = ix.first[where], ix.first[where + 1]
+    if low or high < len(ix.windows):
+        begin, stop = (np.searchsorted(ix.order, where * len(ix.windows) + w) for w in (low, high))
+    times = stop - begin
+    total = int(times.sum())
+    if not total:
+        return
+    if total > HITS:
+        middle, overlap = (int(at[0]) + int(at[-1])) // 2, 4 * WINDOW
+        if at[-1] - at[0] > 4 * overlap:
+            for part in (at < middle + overlap, at >= middle):
+                yield from _candidates(at[part], where[part], offsets, ix, low, high)
+            return
+        if high - low > 1:
+            half = (low + high) // 2
+            for a, b in ((low, half), (half, high)):
+                yield from _candidates(at, where, offsets, ix, a, b)
+            return
+    pos = np.repeat(at, times)
+    entry = np.repeat(begin, times) + (np.arange(total) - np.repeat(np.cumsum(times) - times, times))
+    win, off = ix.window[entry], ix.place[entry]
+    doc = np.searchsorted(offsets, pos, side="right") - 1
+    inside = pos + Q <= offsets[doc + 1]
+    pos, win, off, doc = pos[inside], win[inside], off[inside], doc[inside]
+    if not len(pos):
+        return
+    diagonal = pos - off + WINDOW  # over the whole slice, so a band belongs to one place of one document
+    band = diagonal // (ix.budget[win] + 1)
+    # Bands of twice the budget that overlap by half: each hit counts in its own band and in the one before.
+    key = np.concatenate([np.stack([win, doc, band, off], 1), np.stack([win, doc, band - 1, off], 1)])
+    key = key[np.lexsort((key[:, 3], key[:, 2], key[:, 1], key[:, 0]))]
+    key = key[np.concatenate([[True], (key[1:] != key[:-1]).any(1)])]
+    new = np.concatenate([[True], (key[1:, :3] != key[:-1, :3]).any(1)])
+    groups, first = key[new, :3], np.flatnonzero(new)
+    yield groups[np.diff(np.append(first, len(key))) >= ix.bound[groups[:, 0]]]
+
+
 def find(text: pa.Array, ix: Index) -> list[tuple[int, object, int, int, int, int]]:
     """(document, item, windows found, least edits, start, end), start and end in code points of the text."""
     buf, offsets, place = normal(text)
@@ -140,43 +200,30 @@ def find(text: pa.Array, ix: Index) -> list[tuple[int, object, int, int, int, in
     where = np.minimum(np.searchsorted(ix.gram, g[at]), len(ix.gram) - 1)
     hit = ix.gram[where] == g[at]
     at, where = at[hit], where[hit]
-    times = ix.first[where + 1] - ix.first[where]
-    pos = np.repeat(at, times)
-    entry = np.repeat(ix.first[where], times) + (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times))
-    win, off = ix.window[entry], ix.place[entry]
-    if not len(pos):
-        return []
-    doc = np.searchsorted(offsets, pos, side="right") - 1
-    inside = pos + Q <= offsets[doc + 1]
-    pos, win, off, doc = pos[inside], win[inside], off[inside], doc[inside]
-    diagonal = pos - off + WINDOW  # over the whole slice, so a band belongs to one place of one document
-    wide = ix.budget[win] + 1
-    band = diagonal // wide
-    # Bands of twice the budget that overlap by half: each hit counts in its own band and in the one before.
-    key = np.concatenate([np.stack([win, doc, band, off], 1), np.stack([win, doc, band - 1, off], 1)])
-    key = key[np.lexsort((key[:, 3], key[:, 2], key[:, 1], key[:, 0]))]
-    key = key[np.concatenate([[True], (key[1:] != key[:-1]).any(1)])]
-    new = np.concatenate([[True], (key[1:, :3] != key[:-1, :3]).any(1)])
-    groups, first = key[new, :3], np.flatnonzero(new)
-    counts = np.diff(np.append(first, len(key)))
-    good = groups[counts >= ix.bound[groups[:, 0]]]
     found: dict[tuple[int, object], list[int]] = {}
     done: set[tuple[int, int]] = set()
-    for w, d, b in good.tolist():
-        if (w, d) in done:
-            continue
-        k, data = int(ix.budget[w]), ix.windows[w]
-        low = max(int(offsets[d]), b * (k + 1) - WINDOW - k)
-        high = min(int(offsets[d + 1]), (b + 2) * (k + 1) - WINDOW + len(data) + k)
-        region = buf[low:high]
-        plain = region.tobytes().find(data)
-        edits, end = (0, plain + len(data)) if plain >= 0 else banded(data, region)
-        if edits > k:
-            continue
-        done.add((w, d))
-        s, e = int(place[max(low + end - len(data), int(offsets[d]))]), int(place[low + end - 1]) + 1
-        old = found.setdefault((d, ix.item[w]), [0, edits, s, e])
-        found[d, ix.item[w]] = [old[0] + 1, min(old[1], edits), min(old[2], s), max(old[3], e)]
+    for good in _candidates(at, where, offsets, ix):
+        for i in range(0, len(good), ALIGNED):
+            some = [(w, d, b) for w, d, b in good[i : i + ALIGNED].tolist() if (w, d) not in done]
+            lows, regions = [], []
+            for w, d, b in some:
+                k, data = int(ix.budget[w]), ix.windows[w]
+                low = max(int(offsets[d]), b * (k + 1) - WINDOW - k)
+                lows.append(low)
+                regions.append(buf[low : min(int(offsets[d + 1]), (b + 2) * (k + 1) - WINDOW + len(data) + k)])
+            plain = [r.tobytes().find(ix.windows[w]) for r, (w, _, _) in zip(regions, some, strict=True)]
+            rest = [n for n, p in enumerate(plain) if p < 0]
+            aligned = dict(zip(rest, banded_many([ix.windows[some[n][0]] for n in rest], [regions[n] for n in rest]), strict=True)) if rest else {}
+            for n, (w, d, _) in enumerate(some):
+                size = len(ix.windows[w])
+                edits, end = aligned.get(n, (0, plain[n] + size))
+                if edits > ix.budget[w] or (w, d) in done:
+                    continue
+                done.add((w, d))
+                s, e = int(place[max(lows[n] + end - size, int(offsets[d]))]), int(place[lows[n] + end - 1]) + 1
+                for item in ix.items[w]:
+                    old = found.setdefault((d, item), [0, edits, s, e])
+                    found[d, item] = [old[0] + 1, min(old[1], edits), min(old[2], s), max(old[3], e)]
     if not found:
         return []
     low, bounds = raw(pc.utf8_lower(text))

@@ -96,6 +96,26 @@ def test_leaks_equal_exact_search_and_stand_edits(spark):
     assert decontaminate.find_leaks(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_leaks_of_passages_that_many_items_share(spark):
+    rng = random.Random(5)
+    passage = " ".join(f"p{rng.randrange(10**6)}" for _ in range(40))
+    items = [(f"i{n}", f"{passage} question {n}") for n in range(90)] + [(f"k{n}", "the very same row of a benchmark that is repeated many times over") for n in range(90)]
+    edited = passage[:40] + "#x" + passage[43:]  # edits in the first windows
+    rows = [(1, passage, None), (2, items[-1][1], None), (3, edited[:96], None), (4, "no passage of the benchmark is in this text at all, not one of them", None)]
+    got = collections.Counter(r["doc_id"] for r in decontaminate.find_leaks(docs(spark, rows), spark.createDataFrame(items, "item_id string, text string")).collect())
+    assert got == {1: 90, 2: 90, 3: 90}
+
+
+def test_hits_laid_out_in_parts_give_the_same(monkeypatch):
+    rng = random.Random(6)
+    items = [(n, " ".join(f"v{rng.randrange(60)}" for _ in range(60))) for n in range(12)]
+    text = pa.array([items[3][1], "x " * 400 + items[7][1][:150] + " y" * 400, "ha " * 3000, items[0][1][:60]])
+    ix = decontaminate.build([*items, (99, "ha " * 60)])
+    whole = decontaminate.find(text, ix)
+    monkeypatch.setattr(decontaminate, "HITS", 500)
+    assert {r[:4] for r in decontaminate.find(text, ix)} == {r[:4] for r in whole} and {r[0] for r in whole} == {0, 1, 2}
+
+
 def test_banded_distance():
     region = np.frombuffer(b"xxkitten sat", np.uint8)
     assert decontaminate.banded(b"sitting", region)[0] == 3 and decontaminate.banded(b"kitten", region) == (0, 8)
