@@ -416,6 +416,12 @@ def r01(spark, sf_dir):
     return O.ordered_tuples(scored(spark, sf_dir).where("race % 10 = 0"), "race", "post", "p", 3).withColumn("chance", F.round("chance", 6))
 
 
+# The one above and its twin take a tenth of the races; this is the whole enumeration.
+@query("R01_enumerate_exotics_all", f"{SCORED} SELECT a.race, [a.post, b.post, d.post] AS selection, round(CASE WHEN 1 - a.p <> 0 AND 1 - (a.p + b.p) <> 0 THEN a.p * (b.p / (1 - a.p)) * (d.p / (1 - (a.p + b.p))) END, 6) AS chance FROM sc a JOIN sc b ON a.race = b.race AND a.post <> b.post JOIN sc d ON a.race = d.race AND d.post <> a.post AND d.post <> b.post")
+def r01_all(spark, sf_dir):
+    return O.ordered_tuples(scored(spark, sf_dir), "race", "post", "p", 3).withColumn("chance", F.round("chance", 6))
+
+
 @query("R02_place_show", f"""{SCORED}, t AS (SELECT a.race, a.post AS x, b.post AS y, a.p * b.p / (1 - a.p) AS ch FROM sc a JOIN sc b ON a.race = b.race AND a.post <> b.post), n AS (SELECT race, count(*) AS n FROM sc GROUP BY race)
  SELECT sc.race, sc.post AS runner, round(coalesce((SELECT sum(ch) FROM t WHERE t.race = sc.race AND (x = sc.post OR y = sc.post)), 1), 5) AS place FROM sc""")
 def r02(spark, sf_dir):
