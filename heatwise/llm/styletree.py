@@ -10,8 +10,8 @@ what stands in an article or main element is never removed for being shared, as
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 from html import unescape
 
 import pyarrow as pa
@@ -126,27 +126,32 @@ def _host(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+def _number(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, pages, importance): the merged trees of all hosts. Contents and styles are counted by hash, and counts are partial before they are shuffled."""
+    """(host, path, pages, importance, leaf): the merged trees of all hosts. Pages of a host with the same leaves count once, so that copies of a page do not look shared. Contents and styles are counted by hash."""
 
     def on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, html in slices(batches, "html"):
-            seen: Counter[tuple[str, str, bool, str]] = Counter()
+            seen: dict[tuple[str, bytes], list[dict]] = {}
             for url, page in zip(batch.column(0).to_pylist(), html.to_pylist(), strict=True):
                 host, own = _host(url), leaves(page)
+                key = host, blake2b(repr(list(own.items())).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                if key in seen:
+                    continue
                 children: dict[str, list[str]] = {}
                 nodes = dict.fromkeys(p for leaf in own for p in _prefixes(leaf))
                 for node in nodes:
                     children.setdefault(node.rpartition("/")[0], []).append(node.rpartition("/")[2])
-                for node, text in own.items():
-                    seen[host, node, True, text] += 1
-                for node in nodes:
-                    seen[host, node, False, "/".join(children.get(node, []))] += 1
-            keys = list(seen)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.bool_()), pa.array([k[3] for k in keys], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["host", "path", "content", "value", "n"])
+                seen[key] = [{"path": n, "content": True, "v": _number(t)} for n, t in own.items()] + [{"path": n, "content": False, "v": _number("/".join(children.get(n, [])))} for n in nodes]
+            node = pa.struct([("path", pa.string()), ("content", pa.bool_()), ("v", pa.int64())])
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.binary()), pa.array(list(seen.values()), pa.list_(node))], names=["host", "page", "nodes"])
 
-    rows = pages.select("url", "html").mapInArrow(on, "host string, path string, content boolean, value string, n long")
-    each = rows.select("host", "path", "content", F.xxhash64("value").alias("v"), "n").groupBy("host", "path", "content", "v").agg(F.sum("n").alias("n"))
+    rows = pages.select("url", "html").mapInArrow(on, "host string, page binary, nodes array<struct<path: string, content: boolean, v: long>>")
+    rows = rows.dropDuplicates(["host", "page"]).select("host", F.explode("nodes").alias("node")).select("host", "node.*")
+    each = rows.groupBy("host", "path", "content", "v").agg(F.count("*").alias("n"))
     # With m pages: entropy of a content on k pages is log_m(k); variety of styles with shares n / m is -sum(n/m * log_m(n/m)).
     node = each.groupBy("host", "path").agg(
         F.sum(F.when(~F.col("content"), F.col("n"))).alias("pages"),
@@ -169,7 +174,7 @@ def main_text(pages: DataFrame, least_importance: float = LEAST_IMPORTANCE, leas
 
     pages: page_id, url, html; one row per input row. White space inside a block becomes one space, blocks are joined by one space.
     Null and empty html give an empty text; pages without a host (null url included) form a host of their own; nodes seen on fewer than
-    least_pages pages of a host are kept; other columns are not looked at; an empty table gives an empty result.
+    least_pages different pages of a host are kept; other columns are not looked at; an empty table gives an empty result.
     """
     pages = pages.select("page_id", "url", "html")
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))

@@ -151,6 +151,16 @@ def test_main_text_of_an_article():
     assert styletree.blocks("<p>a &lt; b &am <!-- no --> c<di")[1][2] == "a < b &am "
 
 
+def test_copies_of_an_article_in_a_div_are_kept(spark):
+    article = "One story that was put on the site again and again."
+    page = lambda text: f"<body><div class=content><p>{text}</p></div><div class=note>We write daily.</div></body>"
+    texts = [article] * 6 + [f"Another story, number {n}." for n in range(8)]
+    rows = [(n, f"http://a.b/{n}", page(t)) for n, t in enumerate(texts)] + [(100 + n, "http://only.copies/", page(article)) for n in range(6)]
+    got = {r["page_id"]: r["text"] for r in styletree.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {n: got[n] for n in range(14)} == dict(enumerate(texts))
+    assert all(article in got[100 + n] for n in range(6))
+
+
 def test_style_tree_removes_what_pages_share(spark):
     body = "<body><div class='x9'>Same words everywhere</div><div class='x8'>Own words {0} and {1}</div></body>"
     rows = [(i, f"http://site/{i}", body.format(i, i * 7)) for i in range(30)] + [(99, None, None), (98, "http://lone/", body.format(1, 2)), (97, "bad", "")]
