@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -94,26 +96,31 @@ def fit_plackett_luce(orders: DataFrame, rounds: int = 50, tol: float = 1e-6) ->
     sofar = Window.partitionBy("order_id").orderBy("position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = F.max("position").over(Window.partitionBy("order_id"))
     data = orders.withColumn("chosen", (F.col("position") < last).cast("int"))
-    wins = data.groupBy("item").agg(F.sum("chosen").alias("wins"))
-    n = wins.count()
-    strength = {r["item"]: 1.0 / n for r in wins.select("item").collect()} if n <= 100_000 else None
-    if strength is None:
-        raise ValueError("more than 100,000 items: fit by group")
+    wins = data.where("item IS NOT NULL").groupBy("item").agg(F.sum("chosen").alias("wins"))
+    # Strengths are a table, written each round, so that nothing but totals comes to the driver.
     spark = orders.sparkSession
-    won = {r["item"]: r["wins"] for r in wins.collect()}
-    kind = orders.schema["item"].dataType.simpleString()
+    root = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-")).rstrip("/")
+
+    def cut(df: DataFrame, name: str) -> DataFrame:
+        path = f"{root}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    wins = cut(wins, "order-wins")
+    strength = wins.select("item", "wins", F.lit(1.0 / max(wins.count(), 1)).alias("v"))
     for _ in range(rounds):
-        s = spark.createDataFrame(list(strength.items()), f"item {kind}, v double")
-        step = data.join(F.broadcast(s), "item")  # 100,000 rows at most
+        step = data.join(rows.if_small(strength.select("item", "v")), "item")
         step = step.withColumn("rest", F.sum("v").over(after)).withColumn("share", F.sum(F.when(F.col("chosen") == 1, 1 / F.col("rest")).otherwise(0.0)).over(sofar))
-        new = {r["item"]: (won[r["item"]] + 1e-9) / r["d"] if r["d"] else strength[r["item"]] for r in step.groupBy("item").agg(F.sum("share").alias("d")).collect()}
-        total = sum(new.values())
-        new = {k: v / total for k, v in new.items()}
-        change = max(abs(new[k] - strength[k]) for k in new)
-        strength = new
+        new = strength.join(step.groupBy("item").agg(F.sum("share").alias("d")), "item")
+        new = cut(new.select("item", "wins", F.col("v").alias("old"), F.when(F.col("d") > 0, (F.col("wins") + 1e-9) / F.col("d")).otherwise(F.col("v")).alias("v")), "order-strengths")
+        total = new.agg(F.sum("v").alias("total")).first()["total"]
+        if total is None:
+            break
+        change = new.agg(F.max(F.abs(F.col("v") / total - F.col("old"))).alias("change")).first()["change"]
+        strength = new.select("item", "wins", (F.col("v") / total).alias("v"))
         if change < tol:
             break
-    return spark.createDataFrame(list(strength.items()), f"item {kind}, strength double")
+    return strength.select("item", F.col("v").alias("strength"))
 
 
 def infer_strengths(target: DataFrame, scenarios: int = 200, rounds: int = 4, shape: int = 2) -> DataFrame:

@@ -109,6 +109,14 @@ def test_plackett_luce_recovers_strengths(spark):
     assert all(abs(r["strength"] - [0.4, 0.3, 0.2, 0.1][r["item"]]) < 0.05 for r in got.collect())
 
 
+def test_plackett_luce_of_many_items(spark):
+    orders = spark.range(150_000).selectExpr("id div 3 AS order_id", "cast(id % 3 + 1 AS int) AS position", "id AS item")
+    got = models.fit_plackett_luce(orders, 1)
+    # By hand: from equal strengths a round gives 3, 1.2 and 0 (to 1e-9) shares to first, second and last.
+    top = got.groupBy(F.expr("item % 3").alias("k")).agg(F.count("*").alias("n"), F.sum("strength").alias("s")).orderBy("k").collect()
+    assert [r["n"] for r in top] == [50_000] * 3 and all(abs(r["s"] - w) < 1e-6 for r, w in zip(top, (3 / 4.2, 1.2 / 4.2, 0), strict=True))
+
+
 def test_merge_adds_nothing_twice(spark):
     batch = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), (None, 1)], "k string, v int")
     first = rows.merge_star(batch, {"t": (batch.limit(0), ["k", "v"])}, F.lit(0))["t"]
