@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -56,12 +57,20 @@ def arrow_rows(spark: SparkSession, n: int) -> Iterator[None]:
 
 
 def forget(*tables: DataFrame) -> None:
-    """Delete tables of cut() that nothing reads any more: what was made of them has been cut itself."""
+    """Delete tables of cut() that nothing reads any more: what was made of them has been cut itself.
+
+    Spark drops the shuffle files of queries that are over when the driver collects its garbage, so that is asked for as well.
+    """
     for t in tables:
         jvm, conf = t.sparkSession._jvm, t.sparkSession._jsc.hadoopConfiguration()
         for folder in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path, True)
+    tables[0].sparkSession._jvm.System.gc()
+
+
+def union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
 
 
 def small(df: DataFrame, max_rows: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, forget
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -18,10 +18,11 @@ def components(links: DataFrame) -> DataFrame:
     label = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.min("a")).alias("component")), "labels")
     while True:
         near = both.join(label.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        new = label.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        new = cut(new, "labels")
+        new = cut(label.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("component")), "labels")
         up = new.select(F.col("id").alias("component"), F.col("component").alias("top"))
-        new = cut(new.join(up, "component", "left").select("id", "old", F.least("component", "top").alias("component")), "labels")
-        if new.where("component <> old").isEmpty():
-            return new.select("id", "component")
-        label = new.select("id", "component")
+        jumped = cut(new.join(up, "component", "left").select("id", "old", F.least("component", "top").alias("component")), "labels")
+        if jumped.where("component <> old").isEmpty():
+            forget(both, label, new)
+            return jumped.select("id", "component")
+        forget(label, new)
+        label = jumped.select("id", "component")

@@ -3,14 +3,17 @@
 Equal sets are one representative. In a band of sizes [2**k, 2**(k+1)) the universe of shingles is hashed into m
 segments. If sets of l and L >= l elements reach the threshold they differ in at most
 H = (l + L) * (100 - p) / (100 + p) elements; so of any units that are worth more than H in all, one must agree: a segment's
-subset (worth 1: equal), or its one-deletion neighbourhood besides (worth 1 more: one element apart). An empty subset has no
-neighbourhood and is worth 2 where neighbourhoods are used, as it also finds subsets of one element. Every set is indexed
+subset (worth 1: equal), or, in the first segments of each band, its one-deletion neighbourhood besides (worth 1 more: one element apart).
+An empty subset has no neighbourhood and is worth 2 there, as it also finds subsets of one element. Every set is indexed
 under all its units. A set probes for partners as large as itself or larger, in its band and the next, and the
 allocation is by cost: how many sets share each unit is counted over the corpus, and the dearest units are
 dropped as long as the others are worth more than H. What remains is verified exactly.
 
-A bucket is not expanded into all pairs: members are verified with the bucket's hub. Members that are near a hub without linking are compared with
-the hub's group in blocks of sets; the others get another hub, and at last are compared in blocks too. So no link between components is lost.
+A bucket is not expanded into all pairs: members are held against the bucket's hub by sketches. A sketch has a bit for
+the parity of the elements that fall there, so the bits in which two sketches differ are a distance, and never more than the elements in which the
+sets differ. Of two members that link, which are within H of one another, either both are within 2 H of the hub, or both
+further than H: the near ones of a hub form a group, and the far ones of the bucket get another hub, and at last form a group too. Groups are
+searched by blocks of sketches, then of sets, for links between components, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -22,19 +25,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, cut, forget, slices, small, without
+from .common import arrow_rows, cut, forget, slices, small, union, without
 from .components import components
 from .textops import LOWER, Words, mix
 
-#: Bands up to this size use one-deletion neighbourhoods; above, segments alone leave enough to choose from.
-SMALL_BAND = 255
 MAX_BROADCAST_ROWS = 1_000_000
-#: Sets that a task compares with as many others at once.
-BLOCK = 250
-PAIRS_A_BATCH = 500
+#: Sketches, and sets, that a task compares with as many others at once.
+SKETCHES, BLOCK = 1000, 250
+ROWS_A_BATCH = 500
 TEXTS_A_BATCH = 1000
-#: Hubs that a bucket gets one after the other; then what is left of it is compared in blocks.
-ROUNDS = 2
+#: Hubs that a bucket gets one after the other, and members that go with one copy of their hub.
+ROUNDS, MEMBERS = 2, 1000
+#: Bits of a sketch for each element of the largest set of its band; it can be folded once, for the band below.
+BITS_AN_ELEMENT = 4
 
 
 def sets(text: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,14 +66,15 @@ class Scheme:
         """The largest partner of a set of that size."""
         return size * 100 // self.p
 
-    def worth(self, size, other):
-        """Units that must be probed: one more than the largest difference."""
-        return (size + other) * (100 - self.p) // (100 + self.p) + 1
+    def apart(self, size, other):
+        """The most elements in which sets that reach the threshold differ."""
+        return (size + other) * (100 - self.p) // (100 + self.p)
 
     def segments(self, band):
+        """Segments of a band, some more than the bound asks for so that the dearest need not be probed, and how many of them, the first ones, have neighbourhoods."""
         top = (2 << band) - 1
-        most = self.worth(top, top)
-        return np.where(top <= SMALL_BAND, np.maximum(1, (3 * most + 3) // 4), most * 112 // 100 + 2)
+        m = (self.apart(top, top) + 1) * 112 // 100 + 2
+        return m, np.minimum(m, m // 32 + 2)
 
 
 def units(s: np.ndarray, bounds: np.ndarray, scheme: Scheme, cross: bool) -> dict[str, np.ndarray]:
@@ -84,11 +88,10 @@ def units(s: np.ndarray, bounds: np.ndarray, scheme: Scheme, cross: bool) -> dic
     else:
         use = size > 0
         band, most = own, np.minimum(scheme.partner(size), top)
-    need = scheme.worth(size, most)
-    m = scheme.segments(band)
-    two = ((2 << band) - 1) <= SMALL_BAND
-    shown = np.where(two | (not cross), m, np.minimum(m, need * 135 // 100 + 4)) * use
-    slack = np.where(two, 2 * m, shown) - need
+    need = scheme.apart(size, most) + 1
+    m, deep = scheme.segments(band)
+    shown = np.where(cross, np.minimum(m, need * 118 // 100 + 2), m) * use
+    slack = shown + np.minimum(deep, shown) - need
     doc = np.repeat(np.arange(len(size)), size)
     keep = use[doc]
     e, doc = s[keep], doc[keep]
@@ -103,19 +106,42 @@ def units(s: np.ndarray, bounds: np.ndarray, scheme: Scheme, cross: bool) -> dic
     who = np.repeat(np.arange(len(size)), shown)
     place = np.arange(first[-1]) - first[who]
     salt = mix((band[who] * (1 << 24) + place).astype(np.uint64) * np.uint64(0x8EBC6AF09C88C6E3))
-    out = {"doc": [who], "sig": [mix(total + salt)], "unit": [place * 2], "slack": [slack[who]], "charge": [np.where(two[who] & empty, 2, 1)]}
-    near = two[doc]
-    if near.any():
-        d, g = doc[near], seg[near]
-        at = first[d] + g
-        out["doc"].append(d)
-        out["sig"].append(mix(total[at] - own_sum[near] + salt[at]))
-        out["unit"].append(g * 2 + 1)
-        out["slack"].append(slack[d])
-        out["charge"].append(np.ones(len(d), np.int64))
+    near = seg < deep[doc]
+    d, g = doc[near], seg[near]
+    at = first[d] + g
+    out = {
+        "doc": (who, d),
+        "sig": (mix(total + salt), mix(total[at] - own_sum[near] + salt[at])),
+        "unit": (place * 2, g * 2 + 1),
+        "slack": (slack[who], slack[d]),
+        "charge": (np.where((place < deep[who]) & empty, 2, 1), np.ones(len(d), np.int64)),
+    }
     return {k: np.concatenate(v) for k, v in out.items()}
 
 
+def sketches(s: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """For each set a bit for each place that an odd number of elements falls on, at the width of the next band."""
+    size = np.diff(bounds)
+    width = np.maximum(64, BITS_AN_ELEMENT * 2 << np.floor(np.log2(np.maximum(size, 1))).astype(np.int64))
+    first = np.concatenate([[0], np.cumsum(width)])
+    doc = np.repeat(np.arange(len(size)), size)
+    place = mix(s ^ np.uint64(0x2545F4914F6CDD1D)) & (width[doc] - 1).astype(np.uint64)
+    odd = np.bincount(first[doc] + place.astype(np.int64), minlength=first[-1]) & 1
+    data = np.packbits(odd.astype(np.uint8), bitorder="little")
+    return [data[a // 8 : b // 8].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+
+
+def folded(some: list[pa.Scalar], band: int) -> list[np.ndarray]:
+    """Sketches at the width of a band, or of the narrowest: their halves laid on one another."""
+    out = [np.frombuffer(x.as_buffer(), np.uint64) for x in some]
+    words = min(max(1, (BITS_AN_ELEMENT << band) // 64), *map(len, out))
+    for i, x in enumerate(out):
+        while len(x) > words:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        out[i] = x
+    return out
+
+
 def _describe(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles, f1, f2 (a 128-bit fingerprint of the set), one row per input row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -149,17 +175,17 @@ def _signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def _buckets(sigs: DataFrame) -> DataFrame:
-    """(sig, id, probe): rows of buckets with two sets or more and at least one probe, after allocation by cost."""
+    """(sig, id, cross, probe, hub): rows of buckets with two sets or more and at least one probe, after allocation by cost."""
     shared = sigs.withColumn("n", F.count("*").over(Window.partitionBy("sig"))).where("n > 1")
     shared = cut(shared.select("sig", "id", F.col("tag").bitwiseAND(2) > 0, F.col("tag").bitwiseAND(4) > 0, F.shiftright("tag", 3), F.col("tag") % 2 + 1, "slack", "n").toDF("sig", "id", "cross", "near", "seg", "charge", "slack", "n"), "jaccard-shared")
-    cost = shared.groupBy("id", "cross", "seg", "near", "slack").agg(F.sum(F.col("n") - 1).alias("c"), F.max("charge").alias("charge"))
-    # A neighbourhood counts only with its segment, so it costs at least as much and goes first.
-    cost = cost.withColumn("c", F.sum("c").over(Window.partitionBy("id", "cross", "seg").orderBy("near")))
-    spent = F.sum("charge").over(Window.partitionBy("id", "cross").orderBy(F.desc("c"), F.desc("near"), "seg").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    dropped = cost.withColumn("spent", spent).where("spent <= slack").select("id", "cross", "seg", "near", F.lit(True).alias("dropped"))
-    rows = shared.join(dropped, ["id", "cross", "seg", "near"], "left").select("sig", "id", "cross", F.col("dropped").isNull().alias("probe"))
-    rows = rows.where("probe or not cross").groupBy("sig", "id").agg(F.max("probe").alias("probe"))
-    out = cut(_with_hubs(rows), "jaccard-buckets")
+    # All of a set's units meet once; a neighbourhood counts only with its segment, so it costs at least as much and goes first.
+    unit, units_ = Window.partitionBy("id", "cross", "seg"), Window.partitionBy("id", "cross")
+    rows = shared.repartition("id").withColumn("c", F.when(F.col("near"), F.sum(F.col("n") - 1).over(unit)).otherwise(F.col("n") - 1))
+    dear = units_.orderBy(F.desc("c"), F.desc("near"), "seg", "sig")
+    first = ~F.lag(F.struct("near", "seg")).over(dear).eqNullSafe(F.struct("near", "seg"))
+    rows = rows.withColumn("charge", F.when(first, F.col("charge")).otherwise(0))
+    rows = rows.withColumn("probe", F.sum("charge").over(dear.rowsBetween(Window.unboundedPreceding, Window.currentRow)) > F.col("slack"))
+    out = cut(_with_hubs(rows.where("probe or not cross").select("sig", "id", "cross", "probe")), "jaccard-buckets")
     forget(shared)
     return out
 
@@ -171,47 +197,107 @@ def _with_hubs(rows: DataFrame) -> DataFrame:
     return rows.where("asked and hub < most").drop("asked", "most")
 
 
-def _elements(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(id, elements): sets of the documents named, made again from their texts, as ascending hashes."""
+def _of_texts(ids: DataFrame, docs: DataFrame, k: int, what: str) -> DataFrame:
+    """(id, n, data): the sets of the documents named, made again from their texts: as ascending hashes (elements) or as sketches."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, text in slices(batches):
             s, b = sets(text, k)
-            data = [s[b[i] : b[i + 1]].tobytes() for i in range(len(text))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["id", "elements"])
+            data = sketches(s, b) if what == "sketches" else [s[b[i] : b[i + 1]].tobytes() for i in range(len(text))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(b)), pa.array(data, pa.binary())], names=["id", "n", "data"])
 
-    return cut(docs.join(small(ids, MAX_BROADCAST_ROWS), "doc_id").select("doc_id", "text").mapInArrow(make, "id long, elements binary"), "jaccard-sets")
+    return cut(docs.join(small(ids, MAX_BROADCAST_ROWS), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(make, "id long, n long, data binary"), f"jaccard-{what}")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) with: linked, whether the sets reach the threshold; far, whether their similarity is below 0.6; near, whether it is at least 0.4."""
-    made = _elements(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), docs, k)
-    hubs = made.join(small(pairs.select(F.col("a").alias("id")).distinct(), MAX_BROADCAST_ROWS), "id").select(F.col("id").alias("a"), F.col("elements").alias("x"))
-    both = pairs.join(made.select(F.col("id").alias("b"), F.col("elements").alias("y")), "b").join(hubs, "a")
+def _judged(pairs: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
+    """Pairs of hub and member (a, b, cross) with the band, and: may (they may link), near, far (see above)."""
+    x = sketch.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("data").alias("x"))
+    y = sketch.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("data").alias("y"))
 
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scheme = Scheme(percent)
         for batch in batches:
-            linked, far, near = [], [], []
-            for u, v in zip(batch.column(2), batch.column(3), strict=True):
-                hub, x = np.frombuffer(u.as_buffer(), np.uint64), np.frombuffer(v.as_buffer(), np.uint64)
-                both = int((hub[np.minimum(np.searchsorted(hub, x), len(hub) - 1)] == x).sum())
-                either = len(hub) + len(x) - both
-                linked.append(both > 0 and 100 * both >= percent * either)
-                far.append(10 * both < 6 * either)
-                near.append(10 * both >= 4 * either)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(far, pa.bool_()), pa.array(near, pa.bool_())], names=["a", "b", "linked", "far", "near"])
-
-    with arrow_rows(docs.sparkSession, PAIRS_A_BATCH):
-        seen = cut(both.select("a", "b", "x", "y").mapInArrow(test, "a long, b long, linked boolean, far boolean, near boolean"), "jaccard-seen")
-    forget(made)
-    return seen
+            na, nb, cross = (batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 4, 2))
+            band = np.floor(np.log2(nb)).astype(np.int64) + cross
+            d = np.array([np.bitwise_count(np.bitwise_xor(*folded([x, y], k))).sum() for x, y, k in zip(batch.column(5), batch.column(6), band.tolist(), strict=True)], np.int64)
+            top = (2 << band) - 1
+            most = scheme.apart(top, top)
+            may = np.maximum(d, np.abs(na - nb)) <= scheme.apart(na, nb)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(band.astype(np.int32)), pa.array(may), pa.array(d <= 2 * most), pa.array(d > most)], names=["a", "b", "cross", "band", "may", "near", "far"])
+
+    both = pairs.join(y, "b").join(x, "a").select("a", "b", "cross", "na", "nb", "x", "y")
+    with arrow_rows(pairs.sparkSession, ROWS_A_BATCH):
+        return cut(both.mapInArrow(on, "a long, b long, cross boolean, band int, may boolean, near boolean, far boolean"), "jaccard-judged")
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that link. Members b come behind their hub a in one sorted stream; a hub with many members is copied, so that they are dealt over tasks."""
+    hubs = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("copies"))
+    member = pairs.join(small(hubs, MAX_BROADCAST_ROWS), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int").alias("copy"))
+    member = docs.join(small(member, MAX_BROADCAST_ROWS), docs["doc_id"] == F.col("b")).select("a", "copy", "b", "text")
+    hub = docs.join(small(hubs, MAX_BROADCAST_ROWS), docs["doc_id"] == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(None).cast("long").alias("b"), "text")
+
+    def on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch, text in slices(batches):
+            s, bounds = sets(text, k)
+            found = []
+            for i, (a, copy, b) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True)):
+                own = s[bounds[i] : bounds[i + 1]]
+                if b is None:
+                    if at != (a, copy):
+                        at, held = (a, copy), []
+                    held.append(own)
+                elif any(reach(x, own, percent) for x in held):
+                    found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in found], pa.int64()) for n in (0, 1)], names=["a", "b"])
+
+    rows = member.union(hub).repartition("a", "copy").sortWithinPartitions("a", "copy", F.col("b").asc_nulls_first())
+    return cut(rows.mapInArrow(on, "a long, b long").distinct(), "jaccard-linked")
+
+
+def reach(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two ascending arrays of different elements, as sets, reach the threshold."""
+    x, y = (x, y) if len(x) >= len(y) else (y, x)
+    if not len(y) or 100 * len(y) < percent * len(x):
+        return False
+    both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def spanning(hit: np.ndarray) -> np.ndarray:
+    """For the rows and columns of a matrix of links: the least row of their component, or -1 without a link. So links leave a task as trees."""
+    n = hit.shape[0]
+    row = np.where(hit.any(1), np.arange(n), n)
+    while True:
+        column = np.where(hit, row[:, None], n).min(0, initial=n)
+        new = np.minimum(row, np.where(hit, column[None, :], n).min(1, initial=n))
+        if (new == row).all():
+            out = np.concatenate([row, column])
+            return np.where(out == n, -1, out)
+        row = new
+
+
+def sketches_in_block(rows: pa.Table, percent: int) -> pa.Table:
+    """Ids of a pair of blocks (columns left, band, id, component, n, data) that may link with one of another component."""
+    scheme, left = Scheme(percent), rows.column("left").to_numpy(zero_copy_only=False)
+    ids, component, n = (rows.column(c).to_numpy() for c in ("id", "component", "n"))
+    data = np.stack(folded(list(rows.column("data").combine_chunks()), int(rows.column("band").to_numpy().min())))
+    l, r = np.flatnonzero(left), np.flatnonzero(~left)
+    hit = np.zeros(len(ids), bool)
+    for i in l.tolist():
+        fits = r[(component[r] != component[i]) & (np.abs(n[r] - n[i]) <= scheme.apart(n[r], n[i]))]
+        good = fits[np.bitwise_count(data[fits] ^ data[i]).sum(1) <= scheme.apart(n[fits], n[i])]
+        hit[good] = True
+        hit[i] |= len(good) > 0
+    return pa.table({"id": pa.array(ids[hit], pa.int64())})
 
 
 def links_in_block(rows: pa.Table, percent: int) -> pa.Table:
-    """Links between the sets of a pair of blocks (columns left, id, component, elements) that are in different components. Only shared elements are laid out as a matrix, some rows at a time."""
+    """Links, as trees, between the sets of a pair of blocks (columns left, id, component, data) that are in different components. Only shared elements are laid out as a matrix, some rows at a time."""
     ids, component = rows.column("id").to_numpy(), rows.column("component").to_numpy()
     left = rows.column("left").to_numpy(zero_copy_only=False)
-    parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("elements").combine_chunks()]
+    parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("data").combine_chunks()]
     size = np.array([len(x) for x in parts], np.int64)
     values, column, times = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
     doc = np.repeat(np.arange(len(parts)), size)
@@ -232,32 +318,33 @@ def links_in_block(rows: pa.Table, percent: int) -> pa.Table:
         both += x @ y.T
     l, r = np.flatnonzero(left), np.flatnonzero(~left)
     hit = (100 * both >= percent * (size[l][:, None] + size[r][None, :] - both)) & (both > 0) & (component[l][:, None] != component[r][None, :])
-    i, j = np.nonzero(hit)
-    return pa.table({"a": pa.array(ids[l][i]), "b": pa.array(ids[r][j])})
-
+    to = spanning(hit)
+    at = np.concatenate([l, r])[to >= 0]
+    return pa.table({"a": pa.array(ids[l][to[to >= 0]]), "b": pa.array(ids[at])})
 
-def _block_links(near: DataFrame, label: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links among the sets b that go with one hub a but are in different components. A hub that goes with a hub of less id joins its group.
 
-    A group's members that are outside its component are compared with all members, block by block of BLOCK sets; a task holds two blocks, and only links leave it.
-    """
-    canon = near.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("c"))
-    groups = near.join(canon, "a", "left").select(F.least("a", F.coalesce("c", "a")).alias("g"), "b").distinct()
-    groups = groups.union(groups.select("g", F.col("g").alias("b")).distinct())
-    groups = groups.join(label.select(F.col("id").alias("b"), F.col("component")), "b", "left").withColumn("component", F.coalesce("component", "b"))
-    groups = groups.join(label.select(F.col("id").alias("g"), F.col("component").alias("gc")), "g", "left").withColumn("out", F.col("component") != F.coalesce("gc", "g"))
+def _blocks(groups: DataFrame, label: DataFrame, most: int) -> DataFrame:
+    """Pairs of blocks of about `most` members of each group (g, band, id, main): rows (g, i, j, left, band, id, component). On the left are members outside the component of `main`, on the right all."""
+    groups = groups.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    groups = groups.join(label.toDF("main", "mc"), "main", "left").withColumn("out", F.col("component") != F.coalesce("mc", "main"))
     count = groups.groupBy("g").agg(F.sum(F.col("out").cast("int")).alias("n_out"), F.count("*").alias("n")).where("n_out > 0")
-    # Blocks by hash: about BLOCK sets each; every left block of outsiders meets every right block.
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    member = cut(groups.join(count, "g").withColumns({"nl": blocks("n_out"), "nr": blocks("n"), "h": F.xxhash64("b")}).select("g", "b", "component", "out", "nl", "nr", "h"), "jaccard-near")
-    sets_ = _elements(member.select("b").distinct().toDF("doc_id"), docs, k)
-    left = member.where("out").select("g", "b", "component", F.lit(True).alias("left"), F.pmod("h", "nl").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("j"))
-    right = member.select("g", "b", "component", F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("i"), F.pmod("h", "nr").alias("j"))
-    rows = left.select("g", "i", "j", "left", "b", "component").union(right.select("g", "i", "j", "left", "b", "component"))
-    rows = rows.join(sets_, F.col("b") == F.col("id")).select("g", "i", "j", "left", "id", "component", "elements")
-    with arrow_rows(docs.sparkSession, PAIRS_A_BATCH):
+    blocks = lambda n: F.ceil(F.col(n) / most).cast("int")
+    member = groups.join(count, "g").withColumns({"nl": blocks("n_out"), "nr": blocks("n"), "h": F.xxhash64("id")})
+    left = member.where("out").select("g", F.pmod("h", "nl").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("j"), F.lit(True).alias("left"), "band", "id", "component")
+    right = member.select("g", F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("i"), F.pmod("h", "nr").alias("j"), F.lit(False).alias("left"), "band", "id", "component")
+    return left.union(right)
+
+
+def _group_links(groups: DataFrame, links: DataFrame, sketch: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between members (g, band, id, main) of one group that are in different components: sketches say which members may have some, their sets say which they are. A task holds two blocks."""
+    label = components(links)
+    with arrow_rows(docs.sparkSession, ROWS_A_BATCH):
+        rows = _blocks(groups, label, SKETCHES).join(sketch, "id").select("g", "i", "j", "left", "band", "id", "component", "n", "data")
+        may = cut(rows.groupBy("g", "i", "j").applyInArrow(lambda t: sketches_in_block(t, percent), "id long").distinct(), "jaccard-may")
+        made = _of_texts(may.toDF("doc_id"), docs, k, "elements")
+        rows = _blocks(groups.join(may, "id", "left_semi"), label, BLOCK).join(made.drop("n"), "id").select("g", "i", "j", "left", "id", "component", "data")
         found = cut(rows.groupBy("g", "i", "j").applyInArrow(lambda t: links_in_block(t, percent), "a long, b long").distinct(), "jaccard-found")
-    forget(member, sets_)
+    forget(made, may, label)
     return found
 
 
@@ -285,36 +372,35 @@ def _components_of(docs: DataFrame, k: int, percent: int) -> DataFrame:
     spare = cut(spare.join(needed, "doc_id", "left_anti"), "jaccard-spare")
     reps = docs.where("doc_id is not null").join(small(spare, MAX_BROADCAST_ROWS), "doc_id", "left_anti")
     buckets = _buckets(_signatures(reps, k, percent))
-    size = meta.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
-
-    def judged(pairs: DataFrame) -> DataFrame:
-        """pairs with: apart, whether the sizes alone put the similarity below 0.4. Only the similarity rules out a link with others of the bucket, so no pair is left out."""
-        a = size.select(F.col("doc_id").alias("a"), F.col("least").alias("al"), F.col("most").alias("am"))
-        b = size.select(F.col("doc_id").alias("b"), F.col("least").alias("bl"), F.col("most").alias("bm"))
-        return pairs.join(a, "a").join(b, "b").select("a", "b", F.expr("10 * bm < 4 * al or 10 * am < 4 * bl").alias("apart"))
-
-    links = tried = None
+    sketch = _of_texts(buckets.select(F.col("id").alias("doc_id")).distinct(), reps, k, "sketches")
+    judged, links = [], []
     for _ in range(ROUNDS):
-        pairs = buckets.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-        pairs = cut(judged(pairs if tried is None else pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")), "jaccard-pairs")
-        seen = _verified(pairs.where("not apart").select("a", "b"), reps, k, percent)
-        seen = seen.union(pairs.where("apart").select("a", "b", F.lit(False), F.lit(True), F.lit(False)))
-        tried = seen if tried is None else tried.union(seen)
-        found = seen.where("linked").select("a", "b")
-        links = found if links is None else links.union(found)
-        label = components(links)
-        # A pair that was near in an earlier round, through another bucket, goes with those of this round.
-        near = tried.where("near").select("a", "b").join(buckets.select(F.col("hub").alias("a")).distinct(), "a", "left_semi")
-        links = cut(links.union(_block_links(near, label, reps, k, percent)), "jaccard-links")
-        # A pair that links is within 0.2 of one another, so both are at 0.4 or more to their hub, or both below 0.6: those meet again under another hub.
-        far = buckets.join(tried.where("far").select(F.col("a").alias("hub"), F.col("b").alias("id")), ["hub", "id"], "left_semi")
-        buckets = cut(_with_hubs(far.select("sig", "id", "probe")), "jaccard-far")
-    label = components(links)
-    # What is near none of its hubs is compared in the blocks of its last one.
-    rest = buckets.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    more = _block_links(rest, label, reps, k, percent)
-    if not more.isEmpty():
-        label = components(links.union(more))
+        pairs = buckets.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"), "cross").distinct()
+        judged.append(_judged(pairs, sketch, percent))
+        may = judged[-1].where("may").select("a", "b").distinct()
+        # Most members link with their least hub; then what is in one component already needs no look.
+        links.append(_linked(may.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), reps, k, percent))
+        label = components(union(links))
+        of = lambda c: label.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))  # noqa: B023, E731
+        apart = may.join(of("a"), "a", "left").join(of("b"), "b", "left").where(~F.coalesce("ca", "a").eqNullSafe(F.coalesce("cb", "b"))).select("a", "b")
+        links.append(_linked(cut(apart, "jaccard-apart"), reps, k, percent))
+        far = judged[-1].where("far").select(F.col("a").alias("hub"), F.col("b").alias("id"), "cross")
+        left = cut(_with_hubs(buckets.join(far, ["hub", "id", "cross"], "left_semi").select("sig", "id", "cross", "probe")), "jaccard-far")
+        forget(buckets, label)
+        buckets = left
+    near = union([x.where("near").select("a", "b", "band") for x in judged])
+    # A hub that is near a hub of less id joins its group, so that a cluster is one group.
+    least = near.groupBy(F.col("b").alias("a"), "band").agg(F.min("a").alias("c"))
+    near = near.join(least, ["a", "band"], "left").select(F.least("a", F.coalesce("c", "a")).alias("main"), "band", F.explode(F.array("a", "b")).alias("id"))
+    near = near.union(near.select("main", "band", F.col("main").alias("id"))).distinct().withColumn("g", F.xxhash64("main", "band", F.lit(0)))
+    # What is far from all hubs of its bucket; buckets with the same members are one group.
+    rest = buckets.join(sketch.groupBy("id").agg(F.max("n").alias("n")), "id").select("sig", "id", F.col("hub").alias("main"), (F.length(F.bin("n")) - 1 + F.col("cross").cast("int")).alias("band"))
+    alike = rest.groupBy("sig").agg(F.count("*").alias("n"), *[F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"x{i}") for i in (1, 2)]).groupBy("n", "x1", "x2").agg(F.min("sig").alias("sig"))
+    rest = rest.join(alike.select("sig"), "sig").select("main", "band", "id", F.xxhash64("sig", F.lit(1)).alias("g"))
+    together = cut(near.select("g", "band", "id", "main").union(rest.select("g", "band", "id", "main")), "jaccard-groups")
+    links.append(_group_links(together, union(links), sketch, reps, k, percent))
+    label = components(union(links))
+    forget(buckets, sketch, together, *judged, *links)
     sets_of = groups.select(*key, "set_id").join(label.select(F.col("id").alias("set_id"), "component"), "set_id", "left")
     sets_of = sets_of.withColumn("component", F.coalesce("component", "set_id"))
     out = meta.join(sets_of, key, "left")
