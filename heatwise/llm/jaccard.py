@@ -324,19 +324,19 @@ def links_in_block(rows: pa.Table, percent: int) -> pa.Table:
 
 
 def _blocks(groups: DataFrame, label: DataFrame, most: int) -> DataFrame:
-    """Pairs of blocks of about `most` members of each group (g, band, id, main): rows (g, i, j, left, band, id, component). On the left are members outside the component of `main`, on the right all."""
+    """Pairs of blocks of about `most` members of each group (g, band, id, asks, main): rows (g, i, j, left, band, id, component). On the left are members that ask, on the right all; where a group has a `main`, only those outside its component ask."""
     groups = groups.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    groups = groups.join(label.toDF("main", "mc"), "main", "left").withColumn("out", F.col("component") != F.coalesce("mc", "main"))
-    count = groups.groupBy("g").agg(F.sum(F.col("out").cast("int")).alias("n_out"), F.count("*").alias("n")).where("n_out > 0")
+    groups = groups.join(label.toDF("main", "mc"), "main", "left").withColumn("asks", F.expr("asks and (main is null or component <> coalesce(mc, main))"))
+    count = groups.groupBy("g").agg(F.sum(F.col("asks").cast("int")).alias("n_left"), F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("n_left > 0 and low < high")
     blocks = lambda n: F.ceil(F.col(n) / most).cast("int")
-    member = groups.join(count, "g").withColumns({"nl": blocks("n_out"), "nr": blocks("n"), "h": F.xxhash64("id")})
-    left = member.where("out").select("g", F.pmod("h", "nl").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("j"), F.lit(True).alias("left"), "band", "id", "component")
+    member = groups.join(count.drop("low", "high"), "g").withColumns({"nl": blocks("n_left"), "nr": blocks("n"), "h": F.xxhash64("id")})
+    left = member.where("asks").select("g", F.pmod("h", "nl").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("j"), F.lit(True).alias("left"), "band", "id", "component")
     right = member.select("g", F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("i"), F.pmod("h", "nr").alias("j"), F.lit(False).alias("left"), "band", "id", "component")
     return left.union(right)
 
 
 def _group_links(groups: DataFrame, links: DataFrame, sketch: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links between members (g, band, id, main) of one group that are in different components: sketches say which members may have some, their sets say which they are. A task holds two blocks."""
+    """Links between members (g, band, id, asks, main) of one group that are in different components: sketches say which members may have some, their sets say which they are. A task holds two blocks."""
     label = components(links)
     with arrow_rows(docs.sparkSession, ROWS_A_BATCH):
         rows = _blocks(groups, label, SKETCHES).join(sketch, "id").select("g", "i", "j", "left", "band", "id", "component", "n", "data")
@@ -393,11 +393,11 @@ def _components_of(docs: DataFrame, k: int, percent: int) -> DataFrame:
     least = near.groupBy(F.col("b").alias("a"), "band").agg(F.min("a").alias("c"))
     near = near.join(least, ["a", "band"], "left").select(F.least("a", F.coalesce("c", "a")).alias("main"), "band", F.explode(F.array("a", "b")).alias("id"))
     near = near.union(near.select("main", "band", F.col("main").alias("id"))).distinct().withColumn("g", F.xxhash64("main", "band", F.lit(0)))
-    # What is far from all hubs of its bucket; buckets with the same members are one group.
-    rest = buckets.join(sketch.groupBy("id").agg(F.max("n").alias("n")), "id").select("sig", "id", F.col("hub").alias("main"), (F.length(F.bin("n")) - 1 + F.col("cross").cast("int")).alias("band"))
-    alike = rest.groupBy("sig").agg(F.count("*").alias("n"), *[F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"x{i}") for i in (1, 2)]).groupBy("n", "x1", "x2").agg(F.min("sig").alias("sig"))
-    rest = rest.join(alike.select("sig"), "sig").select("main", "band", "id", F.xxhash64("sig", F.lit(1)).alias("g"))
-    together = cut(near.select("g", "band", "id", "main").union(rest.select("g", "band", "id", "main")), "jaccard-groups")
+    # What is far from all hubs of its bucket: sets that still probe it ask the others. Buckets with the same members are one group.
+    rest = buckets.join(sketch.groupBy("id").agg(F.max("n").alias("n")), "id").select("sig", "id", "probe", (F.length(F.bin("n")) - 1 + F.col("cross").cast("int")).alias("band"))
+    alike = rest.groupBy("sig").agg(F.count("*").alias("n"), *[F.bit_xor(F.xxhash64("id", "probe", F.lit(i))).alias(f"x{i}") for i in (1, 2)]).groupBy("n", "x1", "x2").agg(F.min("sig").alias("sig"))
+    rest = rest.join(alike.select("sig"), "sig").select(F.xxhash64("sig", F.lit(1)).alias("g"), "band", "id", F.col("probe").alias("asks"), F.lit(None).cast("long").alias("main"))
+    together = cut(near.select("g", "band", "id", F.lit(True).alias("asks"), "main").union(rest), "jaccard-together")
     links.append(_group_links(together, union(links), sketch, reps, k, percent))
     label = components(union(links))
     forget(buckets, sketch, together, *judged, *links)

@@ -11,6 +11,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -21,13 +22,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, shared_path, slices, small
-from .rangecoder import BLOCK, decode, encode, split_blocks
-from .textops import SPACE, raw
+from .rangecoder import BLOCK, LANES, decode, encode, read_blocks
+from .textops import raw
 
 END_ID = 2
-#: Ids that are coded in step, and pieces of text of which a task remembers the ids.
-GROUP = BLOCK * 1024
-MOST_PIECES = 600_000
+#: Ids that are coded in step, and pieces of text of which a worker remembers the ids.
+GROUP = BLOCK * LANES
+MOST_PIECES = 500_000
 FOOTER = struct.Struct("<8sQQ")  # magic, documents, bytes of their list
 MAGIC = b"TOKENS01"
 _PLAIN = np.zeros(256, bool)
@@ -59,8 +60,14 @@ def pieces(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return whole, first
 
 
+@cache
+def encoder(path: str) -> Encoder:
+    """One for each worker, so that tasks that follow each other know the pieces of those before."""
+    return Encoder(path)
+
+
 class Encoder:
-    """Ids of texts: each different piece is encoded once, and remembered while the task runs."""
+    """Ids of texts: each different piece is encoded once, and remembered until there are too many."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -110,16 +117,6 @@ class Encoder:
         return out, per_doc + 1
 
 
-def _put(path: str, parts: list[bytes]) -> None:
-    """Write a file in one step: a task that runs again, or twice, leaves one whole file."""
-    fs, name = pafs.FileSystem.from_uri(path)
-    own = f"{name}.{uuid.uuid4().hex}.tmp"
-    with fs.open_output_stream(own) as f:
-        for p in parts:
-            f.write(p)
-    fs.move(own, name)
-
-
 def footer(docs: int, listed: int) -> bytes:
     return FOOTER.pack(MAGIC, docs, listed)
 
@@ -128,49 +125,72 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
     """Write the files; one row per file: file, n_docs, n_ids. Null texts count as empty; rows of one doc_id follow each other, null doc_id first."""
 
     def on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, held, waiting = Encoder(tokenizer), [], 0
-        blocks: list[bytes] = []
         ids: list[pa.Array] = []
         sizes: list[np.ndarray] = []
-        for batch, text in slices(batches):
-            got, n = encoder(text)
-            held.append(got)
-            waiting += len(got)
-            ids.append(batch.column(0))
-            sizes.append(n)
-            while waiting >= GROUP:
-                got = np.concatenate(held)
-                blocks += encode(got[:GROUP])
-                held, waiting = [got[GROUP:]], waiting - GROUP
-        if not sizes:
+
+        def blocks() -> Iterator[bytes]:
+            held, waiting = [], 0
+            for batch, text in slices(batches):
+                got, n = encoder(tokenizer)(text)
+                held.append(got)
+                waiting += len(got)
+                ids.append(batch.column(0))
+                sizes.append(n)
+                if waiting >= GROUP:
+                    got = np.concatenate(held)
+                    for at in range(0, waiting - GROUP + 1, GROUP):
+                        yield from encode(got[at : at + GROUP])
+                    held = [got[waiting // GROUP * GROUP :].copy()]
+                    waiting %= GROUP
+            yield from encode(np.concatenate(held)) if held else ()
+
+        # A task that runs again, or twice, leaves one whole file: it gets its name when it is whole.
+        fs, name = pafs.FileSystem.from_uri(folder)
+        file = f"part-{TaskContext.get().partitionId():06d}.tok"
+        own, f = f"{name}/{file}.{uuid.uuid4().hex}.tmp", None
+        for block in blocks():
+            f = f or fs.open_output_stream(own)
+            f.write(block)
+        if f is None:
             return
-        blocks += encode(np.concatenate(held))
         n = np.concatenate(sizes)
         doc = pa.concat_arrays(ids).cast(pa.int64())
         listed = zlib.compress(doc.fill_null(0).to_numpy().astype("<i8").tobytes() + n.astype("<i8").tobytes() + doc.is_null().to_numpy(zero_copy_only=False).tobytes(), 1)
-        file = f"part-{TaskContext.get().partitionId():06d}.tok"
-        _put(f"{folder}/{file}", [*blocks, listed, footer(len(n), len(listed))])
+        f.write(listed)
+        f.write(footer(len(n), len(listed)))
+        f.close()
+        fs.move(own, f"{name}/{file}")
         yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([len(n)]), pa.array([int(n.sum())])], names=["file", "n_docs", "n_ids"])
 
     fs, name = pafs.FileSystem.from_uri(folder)
     fs.create_dir(name)
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
     return cut(ordered.mapInArrow(on, "file string, n_docs long, n_ids long"), "token-files")
 
 
-def read_file(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """doc_id, whether it is null, ids of each document, and all ids in order."""
+def read_file(path: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]]:
+    """doc_id, whether it is null, ids of each document and their crc32, for the documents that end in each group of blocks."""
     fs, name = pafs.FileSystem.from_uri(path)
     with fs.open_input_file(name) as f:
-        data = f.read()
-    magic, docs, listed = FOOTER.unpack(data[-FOOTER.size :])
-    if magic != MAGIC:
-        raise ValueError(f"{path} is no token file")
-    head = zlib.decompress(data[-FOOTER.size - listed : -FOOTER.size])
-    doc, n = np.frombuffer(head, "<i8", docs), np.frombuffer(head, "<i8", docs, docs * 8)
-    blocks = split_blocks(data[: -FOOTER.size - listed])
-    group = GROUP // BLOCK
-    return doc, np.frombuffer(head, bool, docs, docs * 16), n, np.concatenate([decode(blocks[i : i + group]) for i in range(0, len(blocks), group)])
+        f.seek(f.size() - FOOTER.size)
+        magic, docs, listed = FOOTER.unpack(f.read(FOOTER.size))
+        if magic != MAGIC:
+            raise ValueError(f"{path} is no token file")
+        end = f.size() - FOOTER.size - listed
+        f.seek(end)
+        head = zlib.decompress(f.read(listed))
+        doc, n, null = np.frombuffer(head, "<i8", docs), np.frombuffer(head, "<i8", docs, docs * 8), np.frombuffer(head, bool, docs, docs * 16)
+        stop, first, at, crc = np.cumsum(n), 0, 0, 0
+        for group in read_blocks(f, end):
+            data = memoryview(decode(group).astype("<u4")).cast("B")
+            upto, here, crcs = at + len(data) // 4, 0, []
+            last = int(np.searchsorted(stop, upto, side="right"))
+            for s in ((stop[first:last] - at) * 4).tolist():
+                crcs.append(zlib.crc32(data[here:s], crc))
+                here, crc = s, 0
+            crc = zlib.crc32(data[here:], crc)  # of a document that goes on in the next group
+            yield doc[first:last], null[first:last], n[first:last], crcs
+            first, at = last, upto
 
 
 def read_tokens(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
@@ -179,11 +199,11 @@ def read_tokens(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame
     def on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file in batch.column(0).to_pylist():
-                doc, null, n, ids = read_file(f"{folder}/{file}")
-                stop = np.cumsum(n)
-                data = memoryview(np.ascontiguousarray(ids.astype("<u4"))).cast("B")
-                crc = [zlib.crc32(data[4 * (b - c) : 4 * b]) for b, c in zip(stop.tolist(), n.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(doc, mask=null), pa.array(stop - n), pa.array(n), pa.array(crc, pa.int64()), pa.array([file] * len(n))], names=["doc_id", "at", "n_tokens", "ids_crc32", "file"])
+                at = 0
+                for doc, null, n, crc in read_file(f"{folder}/{file}"):
+                    stop = at + np.cumsum(n)
+                    at += int(n.sum())
+                    yield pa.RecordBatch.from_arrays([pa.array(doc, mask=null), pa.array(stop - n), pa.array(n), pa.array(crc, pa.int64()), pa.array([file] * len(n), pa.string())], names=["doc_id", "at", "n_tokens", "ids_crc32", "file"])
 
     # One row per file, as many as tasks wrote: their running sum is no sum over documents.
     n = max(1, files.count())
@@ -193,7 +213,11 @@ def read_tokens(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame
 
 
 def token_output(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Write all documents' ids under shared storage and read them back (see read_tokens). An empty table gives an empty result."""
+    """Write all documents' ids under shared storage and read them back (see read_tokens).
+
+    A text of any length may run through many blocks; a task holds GROUP ids and a batch of texts at once. Rows of one doc_id, and of none, are
+    dealt over tasks by a hash of their text. Other columns are not looked at; an empty table gives an empty result.
+    """
     folder = shared_path(docs.sparkSession, "tokens")
     folder = folder if "://" in folder else f"file://{folder}"
     return read_tokens(docs.sparkSession, folder, write_tokens(docs, folder, tokenizer))
