@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -19,18 +18,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or _set_dir(spark)
-    return root.rstrip("/")
-
-
-def _set_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, the checkpoint folder that was set on the context, else one in the warehouse, which they share too."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     have = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if have.isDefined():
-        return have.get()
-    own = "file://" + tempfile.mkdtemp(prefix="spark-")
-    spark.sparkContext.setCheckpointDir(own)
-    return own
+    return (root or (have.get() if have.isDefined() else f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")).rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -80,8 +71,16 @@ def small(df: DataFrame, max_rows: int) -> DataFrame:
 
 def without(df: DataFrame, ids: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """The rows of df whose doc_id is not in ids, a table that is read more than once. Nulls are equal here. Up to max_rows ids are broadcast."""
-    gone = small(ids.select(F.col("doc_id").alias("_gone")), max_rows)
-    return df.join(gone, df["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+    name = own_name(df, "gone")
+    gone = small(ids.select(F.col("doc_id").alias(name)), max_rows)
+    return df.join(gone, df["doc_id"].eqNullSafe(gone[name]), "left_anti")
+
+
+def own_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
 
 
 def word_count(text: Column) -> Column:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, cut, forget, slices, small, union, without
+from .common import arrow_rows, cut, forget, own_name, slices, small, union, without
 from .components import components
 from .textops import LOWER, Words, mix
 
@@ -412,11 +412,12 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     found = jaccard_components(docs, k, percent)
     extra = found.where("n_shingles > 0 and component_id <> doc_id").select("doc_id").distinct()
     kept = without(docs, cut(extra, "jaccard-drop"))
-    # A doc_id that occurs more than once is rare; only those rows are grouped.
-    twice = cut(found.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice")), "jaccard-twice")
+    # A doc_id that occurs more than once is rare; only those rows are grouped, and of equal ones any stays.
+    id_, place = own_name(docs, "twice"), own_name(docs, "place")
+    twice = cut(found.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(id_)), "jaccard-twice")
     if twice.isEmpty():
         return kept
-    once = kept.join(twice, kept["doc_id"] == twice["_twice"], "left_anti")
-    several = kept.join(twice, kept["doc_id"] == twice["_twice"], "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"]))
-    return once.unionByName(several.withColumn("_n", first).where("_n = 1").drop("_n"))
+    once = kept.join(twice, kept["doc_id"] == twice[id_], "left_anti")
+    several = kept.join(twice, kept["doc_id"] == twice[id_], "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.to_json(F.struct(c)) for c in docs.columns]), "text"))
+    return once.unionByName(several.withColumn(place, first).where(F.col(place) == 1).drop(place))

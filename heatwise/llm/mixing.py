@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small, word_count
+from .common import cut, own_name, small, word_count
 
 #: Source tables up to so many rows are broadcast; larger ones are joined by key.
 MAX_SOURCES = 50_000
@@ -82,12 +82,18 @@ def systematic_mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share:
     out = {c: F.col(c) for c in ("size", "source_size", "target", "copies")} | {"taken": F.col("copies") * F.col("size")}
     if not carry:
         return rows.select("doc_id", *[v.alias(k) for k, v in out.items()])
-    clash = set(docs.columns)
-    return rows.select("row.*", *[v.alias(f"mix_{k}" if k in clash else k) for k, v in out.items()])
+    return rows.select("row.*", *[v.alias(mix_name(docs, k)) for k, v in out.items()])
+
+
+def mix_name(docs: DataFrame, name: str) -> str:
+    """The name of a column of the mix beside the columns of docs: with as many mix_ before it as it takes to clash with none."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = f"mix_{name}"
+    return name
 
 
 def emit_mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: every row of docs as many times as the mix takes it, with the columns of docs."""
     mixed = systematic_mix(docs, carry=True, **options)
-    copies = "mix_copies" if "copies" in docs.columns else "copies"
-    return mixed.where(F.col(copies) > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)
+    copies, one = F.col(mix_name(docs, "copies")), own_name(mixed, "copy")
+    return mixed.where(copies > 0).withColumn(one, F.explode(F.sequence(F.lit(1), copies.cast("int")))).select(*docs.columns)

@@ -15,6 +15,10 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, own_name, small
+
+#: Documents up to so many are broadcast as candidates; more are joined by id.
+MAX_CANDIDATES = 1_000_000
 #: A run of characters of which more strings than this are possible is cut.
 MOST_STRINGS = 48
 
@@ -167,16 +171,16 @@ def find_secrets(docs: DataFrame, rules=RULES) -> DataFrame:
     is a candidate for. Clashing names: a column `secrets` of docs is replaced.
     """
     indexed = {r.kind for r in rules if trigram_query(r.regex)}
-    key = "_candidate"
-    cand = candidates(docs, rules).select(F.col("doc_id").alias(key), F.col("kinds").alias("_kinds"))
+    key, kinds = own_name(docs, "candidate"), own_name(docs, "kinds")
+    cand = small(cut(candidates(docs, rules).select(F.col("doc_id").alias(key), F.col("kinds").alias(kinds)), "secret-candidates"), MAX_CANDIDATES)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.join(cand, docs["doc_id"].eqNullSafe(cand[key]), "left")
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
     each = []
     for r in rules:
-        go = F.array_contains("_kinds", r.kind) if r.kind in indexed else text.rlike(_gate(r))
+        go = F.array_contains(F.col(kinds), r.kind) if r.kind in indexed else text.rlike(_gate(r))
         each.append(F.when(F.coalesce(go, F.lit(False)), _spans(text, r)).otherwise(none))
-    return rows.withColumn("secrets", F.array_sort(F.concat(*each))).drop(key, "_kinds")
+    return rows.withColumn("secrets", F.array_sort(F.concat(*each))).drop(key, kinds)
 
 
 def joined(spans: Column) -> Column:

@@ -79,17 +79,18 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     cum = np.concatenate([[0.0], np.cumsum(scores, dtype=np.float64)])
     first = pos[np.concatenate([[True], np.diff(pos) > 1])]
     last = pos[np.concatenate([np.diff(pos) > 1, [True]])] + 1
-    found: list[tuple[int, int, float, float]] = []  # start, end, sum before, sum after
+    # start, end, sum before, sum after, and the last one before it whose sum before is smaller: a search jumps along these, so all searches together are linear.
+    found: list[tuple[int, int, float, float, int]] = []
     for a, b in zip(first.tolist(), last.tolist(), strict=True):
-        left, right = cum[a], cum[b]
-        while True:
-            j = next((i for i in range(len(found) - 1, -1, -1) if found[i][2] < left), None)
-            if j is None or found[j][3] >= right:
-                found.append((a, b, left, right))
-                break
-            a, left = found[j][0], found[j][2]
+        left, right, j = cum[a], cum[b], len(found) - 1
+        while j >= 0 and found[j][2] >= left:
+            j = found[j][4]
+        while j >= 0 and found[j][3] < right:
+            a, left, link = found[j][0], found[j][2], found[j][4]
             del found[j:]
-    return [(a, b, r - s) for a, b, s, r in found]
+            j = link
+        found.append((a, b, left, right, j))
+    return [(a, b, r - s) for a, b, s, r, _ in found]
 
 
 def _segments(text: pa.Array, model: Model) -> tuple[Words, np.ndarray, dict[int, list[tuple[int, int, float]]]]:

@@ -15,13 +15,15 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, shared_path, slices, small
 
 GZIP = b"\x1f\x8b\x08"
-RANGE = 8_000_000
+RANGE = 4_000_000
+#: Ranges that a task reads one after the other.
+RANGES_A_TASK = 2
 STEP = 1 << 20
 #: A header that has not ended after so many bytes is no WARC header.
 MOST_HEADER = 1 << 16
@@ -53,19 +55,22 @@ def record(page: int | None, url: str | None, payload: bytes, refers_to: int | N
     return z.compress(head.encode() + block + b"\r\n\r\n") + z.flush()
 
 
+def _payload() -> Column:
+    return F.sha1(F.coalesce("html", F.lit("")).cast("binary"))
+
+
 def revisits(pages: DataFrame) -> DataFrame:
-    """(page_id, refers_to) of the pages whose payload a page of a larger id has as well."""
-    keyed = pages.select("page_id", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("digest"))
-    keyed = cut(keyed, "warc-digests")
+    """(page_id, digest, refers_to) of the pages whose payload a page of a larger id has as well."""
+    keyed = cut(pages.select("page_id", _payload().alias("digest")), "warc-digests")
     twins = keyed.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null").drop("n")
-    return keyed.join(twins, "digest").where("page_id <> refers_to").select("page_id", "refers_to").distinct()
+    return keyed.join(twins, "digest").where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 def write_warc(pages: DataFrame, folder: str) -> None:
-    """One archive per partition of pages: page_id, url, html. Null html is an empty payload. Rows with a null page_id, and all that share the largest page_id of a payload, are responses."""
+    """One archive per partition of pages: page_id, url, html. Null html is an empty payload. Rows with a null page_id, and all that share the largest page_id of a payload, are responses. Rows may share a page_id: each is a record with its own payload."""
     kind = pages.schema["page_id"].dataType.simpleString()
-    again = cut(revisits(pages).select(F.col("page_id").alias("_page"), "refers_to"), "warc-revisits")
-    rows = pages.select("page_id", "url", "html").join(small(again, MAX_REVISITS), F.col("page_id") == F.col("_page"), "left")
+    again = cut(revisits(pages), "warc-revisits")
+    rows = pages.select("page_id", "url", "html", _payload().alias("digest")).join(small(again, MAX_REVISITS), ["page_id", "digest"], "left")
     fs, name = pafs.FileSystem.from_uri(folder)
     fs.create_dir(name)
 
@@ -175,11 +180,10 @@ def read_warc(spark: SparkSession, folder: str, payload: bool = True, range_byte
 
     Length and digest are of the full payload: measured on a response, and then held against its header (ValueError if they differ), taken from the headers of a revisit.
     """
-    fs, name = pafs.FileSystem.from_uri(folder)
-    found = [f for f in fs.get_file_info(pafs.FileSelector(name)) if f.is_file and f.path.endswith(".warc.gz")]
-    root = folder[: len(folder) - len(name.lstrip("/"))].rstrip("/") + "/"
-    ranges = [(root + f.path.lstrip("/"), a, min(a + range_bytes, f.size), f.size) for f in found for a in range(0, f.size, range_bytes)]
-    plan = spark.createDataFrame(ranges, "path string, start long, stop long, size long").repartition(max(1, len(ranges)), "path", "start")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).where("length > 0").select(F.regexp_replace("path", "^file:/+", "file:///").alias("path"), F.col("length").alias("size"))
+    ranges = files.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(range_bytes).cast("long"))))
+    ranges = ranges.select("path", "start", F.least(F.col("start") + range_bytes, "size").alias("stop"), "size")
+    plan = ranges.repartition(max(1, ranges.count() // RANGES_A_TASK))
 
     def on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
