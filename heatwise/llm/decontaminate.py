@@ -1,6 +1,6 @@
 """Benchmark decontamination by the q-gram lemma in diagonal bands, verified by banded alignment.
 
-Benchmark items are cut into overlapping windows of at most WINDOW bytes. A window of m bytes that is within k edits of a
+Benchmark items are cut into overlapping windows of at most WINDOW characters. A window of m characters that is within k edits of a
 region shares at least (its q-grams) - k * q of them with it, in one band of diagonals. A window's text is indexed once,
 with all items that hold it. Documents are scanned once: a bitmap of benchmark q-grams and a
 running count over the text leave few regions; there, hits are counted by window and overlapping band, and the bands
@@ -22,9 +22,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import cut, slices, without
 from .textops import LETTERS, raw
 
-Q, WINDOW, STRIDE, LEAST = 12, 96, 32, 32
-#: Bytes for each edit that a window may have.
-BYTES_AN_EDIT = 16
+#: Items shorter than a q-gram have none and are left out; those too short for an edit are looked for as they are.
+Q, WINDOW, STRIDE, LEAST = 12, 96, 32, 12
+#: Characters for each edit that a window may have.
+CHARACTERS_AN_EDIT = 16
 #: The benchmark is worked through in blocks of about so many bytes, so that what is broadcast is bounded.
 BLOCK_BYTES = 4_000_000
 BITMAP = 20
@@ -35,7 +36,7 @@ HITS, ALIGNED = 2_000_000, 512
 
 
 def normal(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-case bytes with every run of other ASCII than letters and digits as one space; offsets; place of each byte in the text."""
+    """Code points of the lower-case texts with every run of other ASCII than letters and digits as one space; offsets; place of each in the bytes of the lower-case text."""
     low = pc.utf8_lower(text)
     buf, offsets = raw(low)
     buf = LETTERS[buf]
@@ -45,14 +46,20 @@ def normal(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     first = offsets[:-1][offsets[:-1] < offsets[1:]]
     keep[first] = True
     at = np.flatnonzero(keep)
-    return buf[at], np.searchsorted(at, offsets), at
+    whole = buf[at]
+    at = at[(whole & 0xC0) != 0x80]
+    return np.frombuffer(whole.tobytes().decode().encode("utf-32-le"), np.uint32), np.searchsorted(at, offsets), at
 
 
-def grams(buf: np.ndarray) -> np.ndarray:
-    """A 64-bit number for the Q bytes from each place on; two eight-byte words cover them."""
-    padded = np.concatenate([buf, np.zeros(Q, np.uint8)])
-    first, last = (np.ndarray((len(buf),), np.uint64, padded, at, (1,)) for at in (0, Q - 8))
-    return first * np.uint64(0xD6E8FEB86659FD93) ^ last
+def grams(codes: np.ndarray) -> np.ndarray:
+    """A 64-bit number for the Q characters from each place on, made of those for 1, 2, 4 and 8."""
+    h, k = np.concatenate([codes, np.zeros(Q, np.uint32)]).astype(np.uint64), int(0xD6E8FEB86659FD93)
+    n, part, step = len(codes), {}, 1
+    while step <= Q:
+        part[step] = h
+        h = h * np.uint64(pow(k, step, 1 << 64)) + np.concatenate([h[step:], np.zeros(step, np.uint64)])
+        step *= 2
+    return part[8][:n] * np.uint64(pow(k, 4, 1 << 64)) + part[4][8 : 8 + n]
 
 
 def _bucket(g: np.ndarray) -> np.ndarray:
@@ -61,7 +68,7 @@ def _bucket(g: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    windows: list[bytes]
+    windows: list[np.ndarray]
     items: list[list]  # of each window, an entry for each time that an item holds it
     budget: np.ndarray
     bound: np.ndarray
@@ -74,19 +81,19 @@ class Index:
 
 
 def build(items: list[tuple[object, str]]) -> Index:
-    held: dict[bytes, list] = {}
+    held: dict[str, list] = {}
     for item, text in items:
-        data = normal(pa.array([text or ""]))[0].tobytes().strip()
+        data = normal(pa.array([text or ""]))[0].tobytes().decode("utf-32-le").strip()
         if len(data) < LEAST:
             continue
         stops = [*range(WINDOW, len(data), STRIDE), len(data)] if len(data) > WINDOW else [len(data)]
         for stop in stops:
             held.setdefault(data[max(0, stop - WINDOW) : stop], []).append(item)
-    windows = list(held)
+    windows = [np.frombuffer(w.encode("utf-32-le"), np.uint32) for w in held]
     g, w, p = [], [], []
     for i, data in enumerate(windows):
         n = len(data) - Q + 1
-        g.append(grams(np.frombuffer(data, np.uint8))[:n])
+        g.append(grams(data)[:n])
         w.append(np.full(n, i))
         p.append(np.arange(n))
     g, w, p = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((g, np.uint64), (w, np.int64), (p, np.int64)))
@@ -95,19 +102,23 @@ def build(items: list[tuple[object, str]]) -> Index:
     length = np.array([len(x) for x in windows], np.int64)
     own = length - Q + 1
     # At least SHARED q-grams must be shared: where the lemma asks for fewer, fewer edits are allowed.
-    budget = np.maximum(np.minimum(length // BYTES_AN_EDIT, (own - SHARED) // Q), 0)
+    budget = np.maximum(np.minimum(length // CHARACTERS_AN_EDIT, (own - SHARED) // Q), 0)
     gram, first = np.unique(g, return_index=True)
     bitmap = np.zeros(1 << BITMAP, bool)
     bitmap[_bucket(gram)] = True
     return Index(windows, list(held.values()), budget, own - budget * Q, gram, np.append(first, len(g)), w, p, np.repeat(np.arange(len(gram)), np.diff(np.append(first, len(g)))) * len(windows) + w, bitmap)
 
 
-def banded(pattern: bytes, region: np.ndarray) -> tuple[int, int]:
+def _string(codes: np.ndarray) -> str:
+    return codes.tobytes().decode("utf-32-le")
+
+
+def banded(pattern: np.ndarray, region: np.ndarray) -> tuple[int, int]:
     """Least edits with which the pattern is found anywhere in a region, and where that match ends. The region is a diagonal band, so each row is as wide as the band."""
     n = len(region)
     row = np.zeros(n + 1, np.int32)
     steps = np.arange(n + 1, dtype=np.int32)
-    for i, c in enumerate(pattern):
+    for i, c in enumerate(pattern.tolist()):
         best = np.empty(n + 1, np.int32)
         best[0] = i + 1
         np.minimum(row[1:] + 1, row[:-1] + (region != c), out=best[1:])
@@ -116,13 +127,13 @@ def banded(pattern: bytes, region: np.ndarray) -> tuple[int, int]:
     return int(row[end]), end
 
 
-def banded_many(patterns: list[bytes], regions: list[np.ndarray]) -> list[tuple[int, int]]:
+def banded_many(patterns: list[np.ndarray], regions: list[np.ndarray]) -> list[tuple[int, int]]:
     """banded() of many patterns, each in its region. What fills up a short region matches nothing, so no match gains by it."""
     length = np.array([len(x) for x in patterns])
     n = max(len(x) for x in regions)
-    pattern, region = np.zeros((len(patterns), length.max()), np.uint8), np.full((len(patterns), n), 0xFF, np.uint8)
+    pattern, region = np.zeros((len(patterns), length.max()), np.uint32), np.full((len(patterns), n), 0xFFFFFFFF, np.uint32)
     for i, (x, y) in enumerate(zip(patterns, regions, strict=True)):
-        pattern[i, : len(x)], region[i, : len(y)] = np.frombuffer(x, np.uint8), y
+        pattern[i, : len(x)], region[i, : len(y)] = x, y
     row, steps = np.zeros((len(patterns), n + 1), np.int32), np.arange(n + 1, dtype=np.int32)
     out = [(0, 0)] * len(patterns)
     for i in range(pattern.shape[1]):
@@ -187,7 +198,7 @@ def find(text: pa.Array, ix: Index) -> list[tuple[int, object, int, int, int, in
     g = grams(buf)
     may = ix.bitmap[_bucket(g)]
     # A window's region holds its q-grams within m + k places: count there, against the lowest bound.
-    span = WINDOW + WINDOW // BYTES_AN_EDIT
+    span = WINDOW + WINDOW // CHARACTERS_AN_EDIT
     c = np.zeros(len(buf) + span, np.int32)
     np.cumsum(may, dtype=np.int32, out=c[1 : len(buf) + 1])
     c[len(buf) + 1 :] = c[len(buf)]
@@ -211,7 +222,7 @@ def find(text: pa.Array, ix: Index) -> list[tuple[int, object, int, int, int, in
                 low = max(int(offsets[d]), b * (k + 1) - WINDOW - k)
                 lows.append(low)
                 regions.append(buf[low : min(int(offsets[d + 1]), (b + 2) * (k + 1) - WINDOW + len(data) + k)])
-            plain = [r.tobytes().find(ix.windows[w]) for r, (w, _, _) in zip(regions, some, strict=True)]
+            plain = [_string(r).find(_string(ix.windows[w])) for r, (w, _, _) in zip(regions, some, strict=True)]
             rest = [n for n, p in enumerate(plain) if p < 0]
             aligned = dict(zip(rest, banded_many([ix.windows[some[n][0]] for n in rest], [regions[n] for n in rest]), strict=True)) if rest else {}
             for n, (w, d, _) in enumerate(some):
@@ -244,8 +255,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each document and benchmark item of which at least one window is found in it.
 
     docs: doc_id, text; benchmark: item_id, text. Result: doc_id, item_id, n_windows, edits (of the best
-    window), start and end (code points of the lower-case text that the found windows span). Items shorter than LEAST bytes after
-    normalisation tell nothing and are left out; null and empty texts have no leaks; items repeated in the benchmark give a row for each block at most;
+    window), start and end (code points of the lower-case text that the found windows span). Items shorter than LEAST characters after
+    normalisation are left out, those under 24 must occur without an edit; a text of any length is one piece of work; null and empty texts have no leaks; items repeated in the benchmark give a row for each block at most;
     an empty table on either side gives an empty result.
     """
     kind, item = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
