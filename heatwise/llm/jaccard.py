@@ -90,7 +90,8 @@ def units(s: np.ndarray, bounds: np.ndarray, scheme: Scheme, cross: bool) -> dic
         band, most = own, np.minimum(scheme.partner(size), top)
     need = scheme.apart(size, most) + 1
     m, deep = scheme.segments(band)
-    shown = np.where(cross, np.minimum(m, need * 118 // 100 + 2), m) * use
+    # Sets of the band below fill the segments less, so more units are common ones: half as many again leave enough of the others.
+    shown = np.where(cross, np.minimum(m, need * 3 // 2 + 2), m) * use
     slack = shown + np.minimum(deep, shown) - need
     doc = np.repeat(np.arange(len(size)), size)
     keep = use[doc]
@@ -191,10 +192,10 @@ def _buckets(sigs: DataFrame) -> DataFrame:
 
 
 def _with_hubs(rows: DataFrame) -> DataFrame:
-    """Buckets of two or more with a probe, and the least id of each as its hub: so the buckets of one group have few hubs."""
+    """Buckets of two or more with a probe, and a hub for each: the least id that probes. So the buckets of one group have few hubs, and a bucket is done when all that probe it have been its hub."""
     over = Window.partitionBy("sig")
-    rows = rows.withColumns({"hub": F.min("id").over(over), "asked": F.max("probe").over(over), "most": F.max("id").over(over)})
-    return rows.where("asked and hub < most").drop("asked", "most")
+    rows = rows.withColumns({"hub": F.min(F.when(F.col("probe"), F.col("id"))).over(over), "low": F.min("id").over(over), "high": F.max("id").over(over)})
+    return rows.where("hub is not null and low < high").drop("low", "high")
 
 
 def _of_texts(ids: DataFrame, docs: DataFrame, k: int, what: str) -> DataFrame:
