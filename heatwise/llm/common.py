@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at once.
-SLICE_BYTES = 3_000_000
+SLICE_BYTES = 1_500_000
+#: Rows with texts that go to a Python worker at once.
+TEXTS_A_BATCH = 500
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -36,7 +38,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 @contextmanager
-def arrow_rows(spark: SparkSession, n: int) -> Iterator[None]:
+def arrow_rows(spark: SparkSession, n: int = TEXTS_A_BATCH) -> Iterator[None]:
     """Arrow batches of at most n rows for what runs inside: for wide rows, so that a batch stays small."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     old = spark.conf.get(key)

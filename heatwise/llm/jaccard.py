@@ -33,7 +33,6 @@ MAX_BROADCAST_ROWS = 1_000_000
 #: Sketches, and sets, that a task compares with as many others at once.
 SKETCHES, BLOCK = 1000, 250
 ROWS_A_BATCH = 500
-TEXTS_A_BATCH = 1000
 #: Hubs that a bucket gets one after the other, and members that go with one copy of their hub.
 ROUNDS, MEMBERS = 2, 1000
 #: Bits of a sketch for each element of the largest set of its band; it can be folded once, for the band below.
@@ -127,8 +126,9 @@ def sketches(s: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     first = np.concatenate([[0], np.cumsum(width)])
     doc = np.repeat(np.arange(len(size)), size)
     place = mix(s ^ np.uint64(0x2545F4914F6CDD1D)) & (width[doc] - 1).astype(np.uint64)
-    odd = np.bincount(first[doc] + place.astype(np.int64), minlength=first[-1]) & 1
-    data = np.packbits(odd.astype(np.uint8), bitorder="little")
+    odd = np.zeros(first[-1], np.uint8)
+    np.bitwise_xor.at(odd, first[doc] + place.astype(np.int64), 1)
+    data = np.packbits(odd, bitorder="little")
     return [data[a // 8 : b // 8].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
 
 
@@ -358,7 +358,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     and a link of one of them holds for the id. Other columns are not looked at; an empty table gives an empty result.
     """
     # Texts go to Python in small batches, so that a worker holds little beside the executor's heap.
-    with arrow_rows(docs.sparkSession, TEXTS_A_BATCH):
+    with arrow_rows(docs.sparkSession):
         return _components_of(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), k, percent)
 
 

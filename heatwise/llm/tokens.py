@@ -21,14 +21,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, shared_path, slices, small
+from .common import arrow_rows, cut, shared_path, slices, small
 from .rangecoder import BLOCK, LANES, decode, encode, read_blocks
 from .textops import raw
 
 END_ID = 2
 #: Ids that are coded in step, and pieces of text of which a worker remembers the ids.
 GROUP = BLOCK * LANES
-MOST_PIECES = 500_000
+MOST_PIECES = 250_000
 FOOTER = struct.Struct("<8sQQ")  # magic, documents, bytes of their list
 MAGIC = b"TOKENS01"
 _PLAIN = np.zeros(256, bool)
@@ -165,7 +165,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
     fs, name = pafs.FileSystem.from_uri(folder)
     fs.create_dir(name)
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
-    return cut(ordered.mapInArrow(on, "file string, n_docs long, n_ids long"), "token-files")
+    with arrow_rows(docs.sparkSession):
+        return cut(ordered.mapInArrow(on, "file string, n_docs long, n_ids long"), "token-files")
 
 
 def read_file(path: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]]:

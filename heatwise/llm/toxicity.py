@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, small
+from .common import arrow_rows, cut, slices, small
 from .textops import LETTERS, Words, mix
 
 #: Hash buckets of each level bound the model, whatever the vocabulary: leading bytes, then whole words.
@@ -153,6 +153,12 @@ def _logistic(x: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> tuple[float, flo
 
 
 def train(docs: DataFrame, labels: DataFrame, use: Column | None = None) -> Model:
+    """_fit() with small batches of texts, so that a worker holds little beside the executor's heap."""
+    with arrow_rows(docs.sparkSession):
+        return _fit(docs, labels, use)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, use: Column | None) -> Model:
     """Fit on the documents of which labels(doc_id, toxic) are known, for those doc_id of which `use` holds.
 
     Rows with a null text, doc_id or label are left out; of equal texts one stands for all, with the larger label.
