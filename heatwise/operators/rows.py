@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -166,6 +166,25 @@ def hierarchical_lookup(df: DataFrame, tables: Sequence[tuple[DataFrame, Sequenc
     return out.withColumn(name, F.coalesce(*found, F.lit(default))).drop(*[f"_r{i}" for i in range(len(found))])
 
 
+def connections_score(df: DataFrame, rates: DataFrame, levels: Mapping[str, Sequence[str]], default: float, name: str = "chance") -> DataFrame:
+    """The shrunken rate of the narrowest level (most keys, then as listed) that knows the row's connections; rates has a column level."""
+    order = sorted(levels, key=lambda k: -len(levels[k]))
+    return hierarchical_lookup(df, [(rates.where(F.col("level") == k).select(*levels[k], "rate"), levels[k]) for k in order], default, name)
+
+
+def join_features(df: DataFrame, features: Sequence[tuple[DataFrame, Sequence[str]]]) -> DataFrame:
+    """df with the columns of feature tables that have one row for each key; rows without features keep nulls, and a feature takes the place of a column of its name."""
+    out = df
+    for t, keys in features:
+        out = out.drop(*[x for x in t.columns if x not in keys]).join(if_small(t), list(keys), "left")
+    return out
+
+
+def history_desc(df: DataFrame, entity: str, order: Sequence[str], name: str = "nth") -> DataFrame:
+    """df with each row's place in its entity's history, 1 for the most recent."""
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(entity).orderBy(*[F.desc(x) for x in order])))
+
+
 def attach_odds(candidates: DataFrame, odds: DataFrame) -> DataFrame:
     return candidates.join(odds, ["race", "bet_type", "selection"])
 

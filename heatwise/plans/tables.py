@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import aggregates as A
 from ..operators import rows as O
 from ..operators import windows as W
-from .base import RUN, query, r6, runners, table
+from .base import RUN, SQL, query, r6, runners, table
 
 c = F.col
 SCORED = f"{RUN}, sc AS (SELECT *, exp(q / 10 - 5) / sum(exp(q / 10 - 5)) OVER (PARTITION BY race) AS p FROM run)"
@@ -301,6 +301,29 @@ def j06(spark, sf_dir):
     return O.hierarchical_lookup(r, [(rate(["jockey", "trainer"], 3), ["jockey", "trainer"]), (rate(["jockey"], 60), ["jockey"])], 0.1).select("race", "post", r6(c("rate"), "rate"))
 
 
+@query("J05_join_features", f"""{RUN}, g AS (SELECT race, count(*) AS field, sum(tax) AS race_tax FROM run GROUP BY race), e AS (SELECT entity, count(*) AS starts FROM run WHERE win = 1 GROUP BY entity)
+ SELECT race, post, field, round(race_tax, 6) AS race_tax, starts FROM run LEFT JOIN g USING (race) LEFT JOIN e USING (entity)""")
+def j05(spark, sf_dir):
+    r = runners(spark, sf_dir)
+    field = r.groupBy("race").agg(F.count("*").alias("field"), F.sum("tax").alias("race_tax"))
+    wins = r.where("win = 1").groupBy("entity").agg(F.count("*").alias("starts"))
+    out = O.join_features(r.select("race", "post", "entity"), [(field, ["race"]), (wins, ["entity"])])
+    return out.select("race", "post", "field", r6(c("race_tax"), "race_tax"), "starts")
+
+
+EB = SQL["A09_empirical_bayes"].replace(" SELECT level, track, jockey, trainer, starts,", ", eb AS (SELECT level, track, jockey, trainer, starts,") + ")"
+
+
+@query("M05_connections", f"""{EB} SELECT race, post, round(coalesce(p.rate, j.rate, t.rate, g.rate, 0.1), 6) AS chance FROM run
+ LEFT JOIN (SELECT * FROM eb WHERE level = 'pair') p ON p.track = run.track AND p.jockey = run.jockey AND p.trainer = run.trainer
+ LEFT JOIN (SELECT * FROM eb WHERE level = 'jockey') j ON j.track = run.track AND j.jockey = run.jockey
+ LEFT JOIN (SELECT * FROM eb WHERE level = 'trainer') t ON t.track = run.track AND t.trainer = run.trainer
+ LEFT JOIN (SELECT * FROM eb WHERE level = 'jurisdiction') g ON g.track = run.track""")
+def m05(spark, sf_dir):
+    r = runners(spark, sf_dir)
+    return O.connections_score(r, A.empirical_bayes_rates(r, LEVELS, "win"), LEVELS, 0.1, "chance").select("race", "post", r6(c("chance"), "chance"))
+
+
 @query("J08_ordered_tuples", f"{SCORED} SELECT a.race, [a.post, b.post] AS selection, round(CASE WHEN 1 - a.p <> 0 THEN a.p * b.p / (1 - a.p) END, 6) AS chance FROM sc a JOIN sc b ON a.race = b.race AND a.post <> b.post")
 def j08(spark, sf_dir):
     return O.ordered_tuples(scored(spark, sf_dir), "race", "post", "p", 2).withColumn("chance", F.round("chance", 6))
@@ -337,6 +360,11 @@ def l02(spark, sf_dir):
     return O.rank_candidates(candidates(spark, sf_dir).withColumns({"selection": F.array("post"), "ev": F.round("ev", 9)})).select("race", "post", c("rank").cast("long"))
 
 
+@query("L03_history_desc", f"{RUN} SELECT entity, race, post, row_number() OVER (PARTITION BY entity ORDER BY day DESC, race DESC, post DESC) AS nth FROM run")
+def l03(spark, sf_dir):
+    return O.history_desc(runners(spark, sf_dir), "entity", ["day", "race", "post"]).select("entity", "race", "post", c("nth").cast("long").alias("nth"))
+
+
 @query("L04_first_races", f"{RUN} SELECT race, post FROM run WHERE race IN (SELECT DISTINCT race FROM run ORDER BY race LIMIT 50)")
 def l04(spark, sf_dir):
     return O.first_races(runners(spark, sf_dir), "race", 50).select("race", "post")
@@ -480,15 +508,15 @@ def r11(spark, sf_dir):
     return out.select("race", "level", "n_bets", F.round("stake", 5).alias("stake"), F.round("cvar", 5).alias("cvar"))
 
 
-@query("R13_settle_bets", f"{OUT} SELECT run.race, post, o[1] = post AS won, round(CASE WHEN o[1] = post THEN tax * odds ELSE 0 END - tax, 6) AS pnl FROM run JOIN ou USING (race)")
+@query("R13_settle_bets", f"{OUT} SELECT run.race, post, o[1] = post AS won, round(CASE WHEN o[1] = post THEN tax * odds ELSE 0 END - tax, 9) AS pnl FROM run JOIN ou USING (race)")
 def r13(spark, sf_dir):
-    return O.settle_bets(bets(spark, sf_dir), outcomes(spark, sf_dir)).select("race", "post", "won", r6(c("pnl"), "pnl"))
+    return O.settle_bets(bets(spark, sf_dir), outcomes(spark, sf_dir)).select("race", "post", "won", F.round("pnl", 9).alias("pnl"))
 
 
-@query("R14_pnl_series", f"{OUT} SELECT run.race, post, round(CASE WHEN o[1] = post THEN tax * odds ELSE 0 END - tax, 6) AS pnl FROM run JOIN ou USING (race) WHERE day >= DATE '1996-01-01'")
+@query("R14_pnl_series", f"{OUT} SELECT run.race, post, round(CASE WHEN o[1] = post THEN tax * odds ELSE 0 END - tax, 9) AS pnl FROM run JOIN ou USING (race) WHERE day >= DATE '1996-01-01'")
 def r14(spark, sf_dir):
     b = bets(spark, sf_dir).join(runners(spark, sf_dir).select("race", "post", "day"), ["race", "post"])
-    return O.pnl_series(O.settle_bets(b, outcomes(spark, sf_dir)), "day", F.lit("1996-01-01").cast("date")).select("race", "post", r6(c("pnl"), "pnl"))
+    return O.pnl_series(O.settle_bets(b, outcomes(spark, sf_dir)), "day", F.lit("1996-01-01").cast("date")).select("race", "post", F.round("pnl", 9).alias("pnl"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
