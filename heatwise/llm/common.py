@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -23,7 +24,8 @@ def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, the checkpoint folder that was set on the context, else one in the warehouse, which they share too."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     have = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return (root or (have.get() if have.isDefined() else f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")).rstrip("/")
+    root = root or (have.get() if have.isDefined() else f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
+    return re.sub("^file:/+", "file:///", root).rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
