@@ -78,16 +78,16 @@ def going_to_surface(going: Column, all_weather: Column) -> Column:
 
 
 def first_rule(c: Column, rules: list[tuple[str, str]]) -> Column:
-    """The name of the first rule whose text stands in the column; else the column as it is."""
+    """The name of the first rule whose text stands in the column; else its text in lower case, NULL where that is empty."""
     t, out = F.lower(F.trim(c)), None
     for part, name in rules:
         out = F.when(t.contains(part), name) if out is None else out.when(t.contains(part), name)
-    return out.otherwise(c)
+    return out.otherwise(F.nullif(t, F.lit("")))
 
 
 # Ground descriptions, most specific first.
-UK_GOING = [("good to firm", "firm"), ("good to soft", "yielding"), ("yielding", "yielding"), ("heavy", "heavy"), ("soft", "soft"), ("hard", "firm"), ("firm", "firm"), ("standard", "fast"), ("good", "good")]
-HK_GOING = [("good to firm", "firm"), ("good to yielding", "good"), ("yielding to soft", "yielding"), ("yielding", "yielding"), ("wet fast", "wet_fast"), ("wet slow", "muddy"), ("slow", "muddy"), ("soft", "soft"), ("heavy", "heavy"), ("fast", "fast"), ("good", "good")]
+UK_GOING = [("standard", "fast"), ("heavy", "heavy"), ("good to soft", "good"), ("good to firm", "good"), ("soft", "soft"), ("firm", "fast"), ("good", "good")]
+HK_GOING = [("heavy", "heavy"), ("soft", "soft"), ("good to yielding", "good"), ("yielding", "yielding"), ("good", "good"), ("fast", "fast")]
 
 
 def uk_going_to_condition(c: Column) -> Column:

@@ -26,7 +26,7 @@ def race_violations(df: DataFrame, keys: Sequence[str], entity: str, finish: str
 
 
 # Weights of the checks of a source.
-DATASET_WEIGHTS = {"horse": 0.2, "track": 0.15, "date": 0.15, "finish": 0.15, "distance": 0.1, "odds": 0.05, "span": 0.1, "races": 0.05, "duplicates": 0.05}
+DATASET_WEIGHTS = {"date": 0.15, "track": 0.15, "finish": 0.2, "horse": 0.15, "distance": 0.1, "odds": 0.1, "span": 0.05, "races": 0.05, "duplicates": 0.05}
 
 
 def dataset_score(df: DataFrame, mapping: dict[str, str], day: str, race: Sequence[str], weights: dict[str, float] = DATASET_WEIGHTS, least: float = 0.7) -> DataFrame:

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -14,6 +12,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import stored
 from . import aggregates, rows, windows
 
 
@@ -35,19 +34,69 @@ def score_win_model(model: PipelineModel, df: DataFrame, features: Sequence[str]
     return out.withColumn(name, vector_to_array("probability")[1]).select(*df.columns, name)
 
 
+def fit_gated(train: DataFrame, val: DataFrame, columns: Sequence[str], label: str, rounds: int = 20, depth: int = 4, min_rows: int = 5000, min_share: float = 0.001) -> PipelineModel | None:
+    """A win model on rows that have all the columns; None where one of them has too few values to train on."""
+    if not rows.column_gate(train, columns, min_rows, min_share).agg(F.bool_and("enough").alias("ok")).first()["ok"]:
+        return None
+    return fit_win_model(train.dropna(subset=list(columns)), val.dropna(subset=list(columns)), columns, label, rounds, depth)
+
+
+def score_gated(model: PipelineModel | None, df: DataFrame, columns: Sequence[str], name: str, neutral: float = 0.5) -> DataFrame:
+    """The model's score on rows that have all the columns, neutral elsewhere."""
+    if model is None:
+        return df.withColumn(name, F.lit(neutral))
+    has = F.array_compact(F.array(*[F.col(c).cast("double") for c in columns]))
+    return score_win_model(model, df, columns, name).withColumn(name, F.when(F.size(has) == len(columns), F.col(name)).otherwise(neutral))
+
+
+class Stacker:
+    """Boosted trees over one score, what the others add to it, and further columns. The lines of the residuals stay as fitted, so a row's score does not depend on the rows it is scored with."""
+
+    def __init__(self, lines: DataFrame, model: PipelineModel, scores: Sequence[str], meta: Sequence[str]):
+        self.lines, self.model, self.scores, self.meta = lines, model, list(scores), list(meta)
+
+    @staticmethod
+    def columns(scores: Sequence[str], meta: Sequence[str]) -> list[str]:
+        return [scores[0], *[f"{s}_residual" for s in scores[1:]], *meta]
+
+    def score(self, df: DataFrame, name: str) -> DataFrame:
+        out = aggregates.residuals(df, self.lines, self.scores[0], self.scores[1:])
+        return score_win_model(self.model, out, self.columns(self.scores, self.meta), name).select(*df.columns, name)
+
+
+def fit_stacker(train: DataFrame, val: DataFrame, scores: Sequence[str], meta: Sequence[str], label: str, rounds: int = 20, depth: int = 3) -> Stacker:
+    """The first score is the anchor; of the others only what a straight line on the anchor leaves is used."""
+    lines = aggregates.residual_fit(train, scores[0], list(scores[1:]))
+    frozen = train.sparkSession.createDataFrame([lines.first()], lines.schema)
+    parts = [aggregates.residuals(df, frozen, scores[0], list(scores[1:])) for df in (train, val)]
+    return Stacker(frozen, fit_win_model(*parts, Stacker.columns(scores, meta), label, rounds, depth), scores, meta)
+
+
+class MarketPrior:
+    """Implied chances, normalised in the race, mapped to win rates by isotonic regression."""
+
+    def __init__(self, fit_on: DataFrame, odds: str, race: str, label: str):
+        self.implied = windows.normalise_in_race(F.when(F.col(odds) > 0, 1 / F.col(odds)), windows.race(race))
+        train = fit_on.withColumn("_m", self.implied).where("_m IS NOT NULL").select(F.col("_m").alias("_f"), F.col(label).cast("double").alias("_y"))
+        # Equal scores are pooled before the fit, which runs over distinct scores.
+        train = train.groupBy(F.round("_f", 4).alias("_f")).agg(F.avg("_y").alias("_y"), F.count("*").cast("double").alias("_w"))
+        self.model = IsotonicRegression(featuresCol="_f", labelCol="_y", weightCol="_w", predictionCol="market").fit(train)
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        """df with `market`; without odds NULL."""
+        scored = self.model.transform(df.withColumn("_m", self.implied).withColumn("_f", F.coalesce("_m", F.lit(0.0))))
+        return scored.withColumn("market", F.when(F.col("_m").isNotNull(), F.col("market"))).drop("_m", "_f")
+
+
 def market_prior(df: DataFrame, fit_on: DataFrame, odds: str, race: str, label: str) -> DataFrame:
-    """Implied chances, normalised in the race, mapped to win rates by isotonic regression; without odds NULL."""
-    w = windows.race(race)
-    add = lambda d: d.withColumn("_m", windows.normalise_in_race(F.when(F.col(odds) > 0, 1 / F.col(odds)), w))
-    train = add(fit_on).where("_m IS NOT NULL").select(F.col("_m").alias("_f"), F.col(label).cast("double").alias("_y"))
-    # Equal scores are pooled before the fit, which runs over distinct scores.
-    train = train.groupBy(F.round("_f", 4).alias("_f")).agg(F.avg("_y").alias("_y"), F.count("*").cast("double").alias("_w"))
-    model = IsotonicRegression(featuresCol="_f", labelCol="_y", weightCol="_w", predictionCol="market").fit(train)
-    scored = model.transform(add(df).withColumn("_f", F.coalesce("_m", F.lit(0.0))))
-    return scored.withColumn("market", F.when(F.col("_m").isNotNull(), F.col("market"))).drop("_m", "_f")
-
-
-def calibrate(fit_on: DataFrame, p: str, label: str, method: str):
+    return MarketPrior(fit_on, odds, race, label)(df)
+
+
+#: Adds `calibrated` to a table with the score it was fitted for.
+Calibration = Callable[[DataFrame], DataFrame]
+
+
+def calibrate(fit_on: DataFrame, p: str, label: str, method: str) -> Calibration:
     """A function that adds `calibrated` to a table with p: platt, isotonic or identity."""
     if method == "identity":
         return lambda df: df.withColumn("calibrated", F.col(p))
@@ -98,21 +147,13 @@ def fit_plackett_luce(orders: DataFrame, rounds: int = 50, tol: float = 1e-6) ->
     data = orders.withColumn("chosen", (F.col("position") < last).cast("int"))
     wins = data.where("item IS NOT NULL").groupBy("item").agg(F.sum("chosen").alias("wins"))
     # Strengths are a table, written each round, so that nothing but totals comes to the driver.
-    spark = orders.sparkSession
-    root = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-")).rstrip("/")
-
-    def cut(df: DataFrame, name: str) -> DataFrame:
-        path = f"{root}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    wins = cut(wins, "order-wins")
+    wins = stored(wins, "order-wins")
     strength = wins.select("item", "wins", F.lit(1.0 / max(wins.count(), 1)).alias("v"))
     for _ in range(rounds):
         step = data.join(rows.if_small(strength.select("item", "v")), "item")
         step = step.withColumn("rest", F.sum("v").over(after)).withColumn("share", F.sum(F.when(F.col("chosen") == 1, 1 / F.col("rest")).otherwise(0.0)).over(sofar))
         new = strength.join(step.groupBy("item").agg(F.sum("share").alias("d")), "item")
-        new = cut(new.select("item", "wins", F.col("v").alias("old"), F.when(F.col("d") > 0, (F.col("wins") + 1e-9) / F.col("d")).otherwise(F.col("v")).alias("v")), "order-strengths")
+        new = stored(new.select("item", "wins", F.col("v").alias("old"), F.when(F.col("d") > 0, (F.col("wins") + 1e-9) / F.col("d")).otherwise(F.col("v")).alias("v")), "order-strengths")
         total = new.agg(F.sum("v").alias("total")).first()["total"]
         if total is None:
             break
@@ -130,6 +171,7 @@ def infer_strengths(target: DataFrame, scenarios: int = 200, rounds: int = 4, sh
         s = rows.sample_orders(v, "race", "runner", "v", scenarios, seed=f"fit{i}", shape=shape)
         won = s.where("rank = 1").groupBy("race", "runner").agg(((F.count("*") + 0.5) / (scenarios + 1.0)).alias("implied"))
         v = v.join(won, ["race", "runner"], "left").withColumn("v", F.col("v") * F.sqrt(F.col("p") / F.coalesce("implied", F.lit(0.5 / (scenarios + 1.0))))).drop("implied")
+        v = stored(v, "strengths")  # used twice in the next round
     return v
 
 

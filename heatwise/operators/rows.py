@@ -201,17 +201,21 @@ def ordered_tuples(runners: DataFrame, race: str, runner: str, p: str, k: int) -
 
 
 def prior_history(today: DataFrame, past: DataFrame, entity: str, day: str, keep: Sequence[str], n: int = 10) -> DataFrame:
-    """For each row of today the n latest earlier rows of its entity, as an array with the most recent first.
+    """For each row of today the n latest earlier rows of its entity, as an array with the most recent first, empty where there are none.
 
-    Both sides go through one window per entity, so the work does not grow with pairs: n bounds what a row carries.
+    The past is reduced to n rows a day, then to n rows up to each day; a row of today takes those of the last day before its own. So no row holds
+    more than n of the past, and neither side is joined with the other. Rows of the past without a day are left out.
     """
     fields = F.struct(F.col(day), *[F.col(c) for c in keep])
-    rows = past.select(entity, day, F.lit(0).alias("_t"), fields.alias("_past"), F.lit(None).cast(today.schema.simpleString()).alias("_row"))
-    rows = rows.unionByName(today.select(entity, day, F.lit(1).alias("_t"), F.lit(None).cast(past.select(fields.alias("f")).schema["f"].dataType).alias("_past"), F.struct(*today.columns).alias("_row")))
-    # Rows of the same day come before in order but are no past: the range ends the day before.
-    w = Window.partitionBy(entity).orderBy(F.unix_date(day)).rangeBetween(Window.unboundedPreceding, -1)
-    out = rows.withColumn("history", F.slice(F.reverse(F.array_sort(F.collect_list("_past").over(w))), 1, n))
-    return out.where("_t = 1").select("_row.*", "history")
+    on_day = past.where(F.col(day).isNotNull()).groupBy(entity, day).agg(F.slice(F.sort_array(F.collect_list(fields), asc=False), 1, n).alias("_d"))
+    last_days = Window.partitionBy(entity).orderBy(day).rowsBetween(1 - n, Window.currentRow)
+    known = on_day.select(entity, day, F.slice(F.flatten(F.reverse(F.collect_list("_d").over(last_days))), 1, n).alias("_past"))
+    row = F.struct(*[F.col(c) for c in today.columns])
+    both = known.withColumn("_row", F.lit(None).cast(today.select(row.alias("r")).schema["r"].dataType))
+    both = both.unionByName(today.select(entity, day, F.lit(None).cast(known.schema["_past"].dataType).alias("_past"), row.alias("_row")))
+    before = Window.partitionBy(entity).orderBy(F.unix_date(day)).rangeBetween(Window.unboundedPreceding, -1)
+    out = both.withColumn("history", F.coalesce(F.last("_past", ignorenulls=True).over(before), F.array().cast(known.schema["_past"].dataType)))
+    return out.where("_row IS NOT NULL").select("_row.*", "history")
 
 
 def join_outcomes(recs: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -335,12 +339,28 @@ def uniform(*parts: Column) -> Column:
 
 
 def place_show_prob(runners: DataFrame, race: str, runner: str, p: str) -> DataFrame:
-    """Chances to finish in the first two and three, from ordered pairs and triples; in a field of fewer than three everyone shows."""
-    pairs, triples = (ordered_tuples(runners, race, runner, p, k).select("race", F.explode("selection").alias("runner"), "chance") for k in (2, 3))
-    two = pairs.groupBy("race", "runner").agg(F.sum("chance").alias("place"))
-    three = triples.groupBy("race", "runner").agg(F.sum("chance").alias("show"))
-    base = runners.select(F.col(race).alias("race"), F.col(runner).alias("runner"))
-    return base.join(two, ["race", "runner"], "left").join(three, ["race", "runner"], "left").select("race", "runner", F.coalesce("place", F.lit(1.0)).alias("place"), F.coalesce("show", F.lit(1.0)).alias("show"))
+    """Chances to finish in the first two and three; in a field too small for a pair or a triple they are 1.
+
+    A field is gathered once, and the sums over who comes before run inside the row: no pairs or triples become rows.
+    """
+    field = F.array_sort(F.collect_list(F.struct(F.col(runner).alias("r"), F.col(p).alias("p"))))
+    races = runners.groupBy(F.col(race).alias("race")).agg(field.alias("_f"))
+
+    def sum_over(others: Column, of) -> Column:
+        return F.aggregate(others, F.lit(0.0), lambda a, x: a + of(x))
+
+    def second(me: Column) -> Column:
+        return sum_over(F.filter("_f", lambda j: j["r"] != me["r"]), lambda j: j["p"] * F.try_divide(me["p"], 1 - j["p"]))
+
+    def third(me: Column) -> Column:
+        others = F.filter("_f", lambda j: j["r"] != me["r"])
+        return sum_over(others, lambda j: F.try_divide(j["p"], 1 - j["p"]) * sum_over(F.filter(others, lambda k: k["r"] != j["r"]), lambda k: k["p"] * F.try_divide(me["p"], 1 - j["p"] - k["p"])))
+
+    each = F.transform("_f", lambda me: F.struct(me["r"].alias("runner"), me["p"].alias("p"), second(me).alias("second"), third(me).alias("third")))
+    out = races.withColumn("_n", F.size("_f")).select("race", "_n", F.explode(each).alias("e"))
+    place = F.when(F.col("_n") < 2, 1.0).otherwise(F.col("e.p") + F.col("e.second"))
+    show = F.when(F.col("_n") < 3, 1.0).otherwise(F.col("e.p") + F.col("e.second") + F.col("e.third"))
+    return out.select("race", "e.runner", F.coalesce(place, F.lit(1.0)).alias("place"), F.coalesce(show, F.lit(1.0)).alias("show"))
 
 
 def sample_orders(runners: DataFrame, race: str, runner: str, strength: str, n: int, seed: str = "orders", shape: int = 1, style: str | None = None, rho: float = 0.0) -> DataFrame:

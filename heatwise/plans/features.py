@@ -24,25 +24,30 @@ def _ready() -> None:
     SEQ = W.prior_sequence({"figure": c("figure"), "finish": c("finish"), "gap": c("odds")}, H)
 
 
-def _over(name: str, columns, select_sql: str, tail: str = ""):
+def _over(name: str, columns, select_sql: str, tail: str = "", prepare=lambda df: df):
     """Register a query that shows columns over the runners, with its SQL."""
 
     @query(name, f"{RUN}{tail} SELECT race, post, {select_sql} FROM run")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         _ready()
-        return runners(spark, sf_dir).select(*KEY, *[v.alias(k) for k, v in columns().items()])
+        return prepare(runners(spark, sf_dir)).select(*KEY, *[v.alias(k) for k, v in columns().items()])
 
     return run
 
 
+def weighted(df: DataFrame) -> DataFrame:
+    return W.with_ewm_prior(df, "weighted", F.col("figure"), H)
+
+
 c = F.col
 _over("W01_field_size", lambda: {"field_size": W.field_size(F.when(c("race") % 2 == 0, 5), R).cast("long")}, "coalesce(CASE WHEN race % 2 = 0 THEN 5 END, count(*) OVER (PARTITION BY race)) AS field_size")
 _over("W02_labels", lambda: {"y": W.win_label(c("finish")), "finish_pct": F.round(W.finish_pct(c("finish"), F.count("*").over(R)), 6)}, "CASE WHEN finish = 1 THEN 1 ELSE 0 END AS y, round(finish / count(*) OVER (PARTITION BY race), 6) AS finish_pct")
 _over("W03_lag_delta", lambda: {"last": W.lag1(c("figure"), H), "delta": W.delta_prior(c("figure"), H)}, f"lag(figure) OVER ({HIST}) AS last, lag(figure) OVER ({HIST}) - lag(figure, 2) OVER ({HIST}) AS delta")
 _over(
-    "W04_ewm_prior", lambda: {"ewm": F.round(W.ewm_prior(c("figure"), H), 6)},
+    "W04_ewm_prior", lambda: {"ewm": F.round("weighted", 6)},
     f"""round(list_reduce(list_prepend(0e0, list_transform(list(figure) OVER p, lambda x: coalesce(x, 0e0))), lambda a, x: a * 0.6 + x)
  / nullif(list_reduce(list_prepend(0e0, list_transform(list(figure) OVER p, lambda x: CASE WHEN x IS NULL THEN 0e0 ELSE 1e0 END)), lambda a, x: a * 0.6 + x), 0), 6) AS ewm""",
+    prepare=weighted,
 )
 _over("W05_roll_prior", lambda: {"best": W.roll_max_prior(c("figure"), H), "mean": F.round(W.roll_mean_prior(c("figure"), H), 6)}, f"max(figure) OVER p AS best, round(avg(figure) OVER p, 6) AS mean")
 _over("W06_prior_starts", lambda: {"n_prior": W.n_prior_starts(H).cast("long")}, f"row_number() OVER ({HIST}) - 1 AS n_prior")
@@ -57,9 +62,9 @@ _over("W13_pace_pressure", lambda: {"pressure": F.round(W.pace_pressure(c("q"),
 _over("W14_pace_per_row", lambda: {k: F.round(v, 6) for k, v in PACE.items()}, "CASE WHEN disc = 0 THEN NULL ELSE round(q / (disc * 0.25), 6) END AS first_call_pace, round((q + tax) - q, 6) AS second_call, round(disc - tax, 6) AS beaten_change")
 _over("W15_pressure_index", lambda: {"n_front": W.pace_pressure_index(c("tax") * 20, R).cast("long")}, "CAST(sum(CASE WHEN tax * 20 <= 1.5 THEN 1 ELSE 0 END) OVER r AS BIGINT) AS n_front")
 _over("W16_recent_pace", lambda: {k: F.round(v, 6) if k != "n_rows" else v for k, v in RECENT.items()}, "round(avg(tax) OVER p5, 6) AS mean_margin, round(-avg(tax) OVER p5, 6) AS early_speed, round(avg(disc - tax) OVER p5, 6) AS late_kick, count(*) OVER p5 AS n_rows")
-_over("W17_recent_speed", lambda: {k: F.round(v, 6) if k == "ewm" else v for k, v in SPEED.items()}, f"""round(list_reduce(list_prepend(0e0, list_transform(list(figure) OVER p, lambda x: coalesce(x, 0e0))), lambda a, x: a * 0.6 + x)
+_over("W17_recent_speed", lambda: {k: F.round("weighted", 6) if k == "ewm" else v for k, v in SPEED.items()}, f"""round(list_reduce(list_prepend(0e0, list_transform(list(figure) OVER p, lambda x: coalesce(x, 0e0))), lambda a, x: a * 0.6 + x)
  / nullif(list_reduce(list_prepend(0e0, list_transform(list(figure) OVER p, lambda x: CASE WHEN x IS NULL THEN 0e0 ELSE 1e0 END)), lambda a, x: a * 0.6 + x), 0), 6) AS ewm,
- max(figure) OVER (HISTORY ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS best, lag(figure) OVER ({HIST}) AS last, lag(figure) OVER ({HIST}) - lag(figure, 2) OVER ({HIST}) AS delta, count(figure) OVER (HISTORY ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n_figures""")
+ max(figure) OVER (HISTORY ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS best, lag(figure) OVER ({HIST}) AS last, lag(figure) OVER ({HIST}) - lag(figure, 2) OVER ({HIST}) AS delta, count(figure) OVER (HISTORY ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n_figures""", prepare=weighted)
 _over(
     "W18_class_trajectory", lambda: {"class_change": F.round(CLASS["class_change"], 4), "dropping": CLASS["dropping"], "type_change": CLASS["type_change"]},
     """round(CASE WHEN claim IS NOT NULL AND avg(claim) OVER p4 IS NOT NULL THEN claim - avg(claim) OVER p4 ELSE purse - avg(purse) OVER p4 END, 4) AS class_change,
@@ -89,7 +94,7 @@ def _finish() -> None:
     for name, sql in SQL.items():
         if not name.startswith("W"):
             continue
-        depth = 6 if name == "W05_roll_prior" else 64
+        depth = 6 if name == "W05_roll_prior" else "UNBOUNDED"
         h = "PARTITION BY entity ORDER BY day, race, post"
         source = "run3" if "run3 AS" in sql else "run2" if "run2 AS" in sql else "run"
         sql = sql.replace("HISTORY ROWS", f"{h} ROWS")

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
+import datetime as dt
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cards as C
+from ..operators import jobs
 from ..operators import models as M
 from ..operators import rows as O
 from ..operators import windows as W
 from ..sources import files as S
+from ..sources import registry
+from ..sources.files import scratch
 from ..streaming import streams as T
 from .base import RUN, query, r6, runners, table
 from .tables import OUT, bets, candidates, outcomes, scored
@@ -19,12 +23,6 @@ from .tables import OUT, bets, candidates, outcomes, scored
 c = F.col
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in storage that all executors share."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def drained(stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over what is there and read its rows."""
     spark, out = stream.sparkSession, scratch(stream.sparkSession, name)
@@ -56,12 +54,65 @@ def m03(spark, sf_dir):
     return M.score_win_model(M.fit_win_model(train, val, FEATURES, "win", 5, 3), val, FEATURES, "speed").select("race", "post", "win", "speed")
 
 
+PACE = ["last", "gap"]
+
+
+@query("M04_pace_scenario")
+def m04(spark, sf_dir):
+    """Rows without all pace columns score 0.5."""
+    train, val = O.time_split(features(spark, sf_dir), "day")
+    model = M.fit_gated(train, val, PACE, "win", 5, 3, min_rows=1000)
+    return M.score_gated(model, val, PACE, "pace").select("race", "post", "win", "pace")
+
+
 @query("M06_market_prior")
 def m06(spark, sf_dir):
     train, val = O.time_split(features(spark, sf_dir), "day")
     return M.market_prior(val, train, "odds", "race", "win").select("race", "post", "market")
 
 
+def staked(spark, sf_dir) -> DataFrame:
+    return features(spark, sf_dir).withColumns({"size": F.count("*").over(W.race("race")).cast("double"), "price": 1 / c("odds")})
+
+
+@query("M07_stacker")
+def m07(spark, sf_dir):
+    """Trees over the form score, what market and rank add to it, and the field size."""
+    train, val = O.time_split(staked(spark, sf_dir).withColumns({"speed": 1 / (1 + c("rank")), "share": c("price")}), "day")
+    stacker = M.fit_stacker(train, val, ["share", "speed", "z"], ["size"], "win", 5, 3)
+    return stacker.score(val, "stacked").select("race", "post", "win", "stacked")
+
+
+def roles() -> jobs.Roles:
+    return jobs.Roles("race", "post", "day", "odds", "win", FEATURES, PACE, ["size"])
+
+
+@query("M11_rolling_retrain")
+def m11(spark, sf_dir):
+    """Retrained on the seven years before 1999 if the events show drift; how chances do on the newest tenth before and after calibration."""
+    return jobs.rolling_retrain(staked(spark, sf_dir), roles(), dt.date(1999, 1, 1), 7, t06(spark, sf_dir), 4, 3, 1000)[1]
+
+
+@query("R15_score_card")
+def r15(spark, sf_dir):
+    """Cards of the newest tenth of the dates: chances, bets and a stake plan for each level."""
+    parts = O.three_way_time_split(staked(spark, sf_dir), "day")
+    train, calib, new = (parts.where(c("part") == p).drop("part") for p in ("train", "calib", "test"))
+    bundle = jobs.fit_bundle(train, calib, roles(), 4, 3, 1000)
+    return jobs.score_card(new, bundle, [0.05, 0.1, 0.2], 0.05, 50)[1]
+
+
+@query("S12_load_models")
+def s12(spark, sf_dir):
+    """A saved form model scores as before it was saved; the pace model is optional and was not saved."""
+    train, val = O.time_split(features(spark, sf_dir), "day")
+    root = scratch(spark, "models")
+    S.save_models({"speed": M.fit_win_model(train, val, FEATURES, "win", 3, 2), "pace": None}, root)
+    models = S.load_models(spark, root, ["speed"], ["pace"])
+    out = M.score_win_model(models["speed"], val, FEATURES, "speed")
+    return M.score_gated(models["pace"], out, PACE, "pace").select("race", "post", "speed", "pace")
+
+
 @query("M08_calibrate")
 def m08(spark, sf_dir):
     train, val = O.time_split(scored(spark, sf_dir), "day")
@@ -123,6 +174,29 @@ def r12(spark, sf_dir):
 # Streams
 
 
+@query("T01_stream_ingest", "SELECT o_orderkey::VARCHAR AS key, o_totalprice AS price FROM orders WHERE o_orderstatus <> 'F' AND o_totalprice > 0")
+def t01(spark, sf_dir):
+    """Arriving orders are mapped, scored and merged into a table by key. A second stream over the same files adds nothing."""
+    spec = {"key": {"column": "o_orderkey"}, "price": {"column": "o_totalprice", "type": "double"}, "status": {"column": "o_orderstatus"}}
+    score = lambda df: O.quality_score(df, {"done": c("status") == "F", "free": c("price") <= 0}, {"unknown": (c("status").isNull(), 0.2)})
+    out = scratch(spark, "ingested")
+    for _ in range(2):
+        q = T.stream_ingest(stream_of(spark, sf_dir, "orders"), spec, score, out, "key", scratch(spark, "ingest")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    return spark.read.parquet(out).select("key", "price")
+
+
+@query("T04_stream_settle", """SELECT l_orderkey AS race, l_linenumber AS post, l_linenumber = 1 + o_orderkey % 3 AS won, round(CASE WHEN l_linenumber = 1 + o_orderkey % 3 THEN 1 + l_extendedprice / 5000 ELSE 0 END - 1, 9) AS pnl
+ FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderdate >= l_shipdate AND o_orderdate <= l_shipdate + INTERVAL 60 DAY""")
+def t04(spark, sf_dir):
+    """Lines are bets at their ship date, orders are outcomes at their order date; those settle that come within sixty days."""
+    line = stream_of(spark, sf_dir, "lineitem")
+    bet = line.select(c("l_orderkey").alias("race"), F.array(c("l_linenumber").cast("long")).alias("selection"), F.lit(1.0).alias("stake"), (1 + c("l_extendedprice") / 5000).alias("odds"), c("l_shipdate").alias("placed"))
+    done = stream_of(spark, sf_dir, "orders").select(c("o_orderkey").alias("race"), F.array(1 + c("o_orderkey") % 3).alias("finishing_order"), c("o_orderdate").alias("settled"))
+    out = drained(T.stream_settle(bet, done, "placed", "settled", "60 days"), "settled")
+    return out.select("race", F.get("selection", F.lit(0)).cast("int").alias("post"), "won", F.round("pnl", 9).alias("pnl"))
+
+
 @query("T02_stream_outcomes", "SELECT count(DISTINCT user_id) AS n_keys, count(DISTINCT user_id) AS n_rows FROM events")
 def t02(spark, sf_dir):
     first = T.stream_outcomes(stream_of(spark, sf_dir, "events").select("user_id", "ts", "event_id"), "user_id", "ts", "3650 days")
@@ -130,15 +204,17 @@ def t02(spark, sf_dir):
 
 
 @query("T03_stream_cusum", """WITH e AS (SELECT event_id, user_id, ts, (value - 50) / 25 AS z FROM events),
- s AS (SELECT *, row_number() OVER w AS step, sum(z - 0.5) OVER w AS up, sum(-z - 0.5) OVER w AS down FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
- SELECT event_id, step, round(up - least(0, min(up) OVER w), 6) AS s_high, round(down - least(0, min(down) OVER w), 6) AS s_low FROM s WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+ s AS (SELECT *, row_number() OVER w AS step, sum(z - 0.5) OVER w AS up, sum(-z - 0.5) OVER w AS down FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+ t AS (SELECT *, up - least(0, min(up) OVER w) AS hi, down - least(0, min(down) OVER w) AS lo FROM s WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+ a AS (SELECT user_id, min(step * 2 + CASE WHEN hi > 4 THEN 0 ELSE 1 END) AS f FROM t WHERE hi > 4 OR lo > 4 GROUP BY user_id)
+ SELECT event_id, step, round(hi, 6) AS s_high, round(lo, 6) AS s_low, CASE WHEN step >= f // 2 THEN f // 2 END AS alarm_step, CASE WHEN step >= f // 2 THEN CASE WHEN f % 2 = 0 THEN 'high' ELSE 'low' END END AS direction FROM t LEFT JOIN a USING (user_id)""")
 def t03(spark, sf_dir):
     key = "spark.sql.streaming.stateStore.providerClass"
     old = spark.conf.get(key, None)
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         e = stream_of(spark, sf_dir, "events").select("user_id", "event_id", "ts", ((c("value") - 50) / 25).alias("z"))
-        return drained(T.stream_cusum(e, "user_id"), "cusum").select("event_id", "step", r6(c("s_high"), "s_high"), r6(c("s_low"), "s_low"))
+        return drained(T.stream_cusum(e, "user_id"), "cusum").select("event_id", "step", r6(c("s_high"), "s_high"), r6(c("s_low"), "s_low"), "alarm_step", "direction")
     finally:
         spark.conf.unset(key) if old is None else spark.conf.set(key, old)
 
@@ -146,8 +222,12 @@ def t03(spark, sf_dir):
 @query("T05_stream_calibration", """SELECT w AS start, least(floor(value / 100 * 15), 14)::INT AS bin, count(*) AS n, round(avg(value / 100), 6) AS mean_p, round(avg((event_type = 'click')::INT), 6) AS mean_y
  FROM events, LATERAL (SELECT unnest(range(date_trunc('day', ts) - INTERVAL 6 DAY, date_trunc('day', ts) + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS w) GROUP BY 1, 2""")
 def t05(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("ts", (c("value") / 100).alias("p"), (c("event_type") == "click").cast("int").alias("y"))
-    return T.stream_calibration(e, "ts", "p", "y").select(c("w.start").alias("start"), "bin", "n", r6(c("mean_p"), "mean_p"), r6(c("mean_y"), "mean_y"))
+    """A stream that rewrites its whole result with each batch, as the last windows stay open."""
+    e = stream_of(spark, sf_dir, "events").select("ts", (c("value") / 100).alias("p"), (c("event_type") == "click").cast("int").alias("y"))
+    out = scratch(spark, "calibration")
+    windows = T.stream_calibration(e, "ts", "p", "y").writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out))
+    windows.option("checkpointLocation", scratch(spark, "calibration-log")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select(c("w.start").cast("timestamp_ntz").alias("start"), "bin", "n", r6(c("mean_p"), "mean_p"), r6(c("mean_y"), "mean_y"))
 
 
 @query("T06_drift_flag", "SELECT bool_or(value > 99) AS triggered, min(ts) FILTER (value > 99) AS since FROM events")
@@ -245,6 +325,58 @@ def s01(spark, sf_dir):
     return S.read_csv_source(spark, path)
 
 
+@query("S02_bundle", "SELECT o_orderkey::VARCHAR AS run_id, o_custkey::VARCHAR AS race_id, o_orderpriority AS name, c_name AS name_dim FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+def s02(spark, sf_dir):
+    path = scratch(spark, "bundle")
+    table(spark, sf_dir, "orders").select(c("o_orderkey").alias("run_id"), c("o_custkey").alias("race_id"), c("o_orderpriority").alias("name")).write.option("header", True).csv(f"{path}/runs")
+    table(spark, sf_dir, "customer").select(c("c_custkey").alias("race_id"), c("c_name").alias("name")).write.option("header", True).csv(f"{path}/races")
+    return registry.read_source(spark, "runs_and_races", path).select("run_id", "race_id", "name", "name_dim")
+
+
+@query("L06_largest_file", "SELECT n_name AS name FROM nation")
+def l06(spark, sf_dir):
+    """Of a folder with the names of nations and of regions, the larger file."""
+    path = scratch(spark, "files")
+    table(spark, sf_dir, "nation").select(c("n_name").alias("name")).coalesce(1).write.option("header", True).csv(path)
+    table(spark, sf_dir, "region").select(c("r_name").alias("name")).coalesce(1).write.option("header", True).mode("append").csv(path)
+    return S.read_csv_source(spark, path, largest=True)
+
+
+@query("S04_cards", f"{RUN} SELECT trainer::VARCHAR AS source, race AS number, count(*) AS n_entries, round(sum(odds), 9) AS sum_odds FROM run GROUP BY 1, 2")
+def s04(spark, sf_dir):
+    path = scratch(spark, "cards")
+    card_table(spark, sf_dir).select(c("card").cast("string").alias("source"), "races").write.json(path)
+    r = S.read_cards(spark, path).select("source", F.explode("races").alias("r"))
+    odds = F.aggregate("r.entries", F.lit(0.0), lambda a, e: a + e["odds"])
+    return r.select("source", c("r.number").cast("long").alias("number"), F.size("r.entries").cast("long").alias("n_entries"), F.round(odds, 9).alias("sum_odds"))
+
+
+@query("S07_create_tables", "SELECT DISTINCT l_suppkey::VARCHAR AS jockey_key FROM lineitem")
+def s07(spark, sf_dir):
+    """Made twice and filled twice: nothing is lost and nothing doubled."""
+    root = scratch(spark, "star")
+    for _ in range(2):
+        S.create_tables(spark, root)
+        have = spark.read.schema(S.STAR["jockeys"]).parquet(f"{root}/jockeys")
+        new = table(spark, sf_dir, "lineitem").select(c("l_suppkey").cast("string").alias("jockey_key"), F.lit("x").alias("name"), F.lit("us").alias("jurisdiction"))
+        O.insert_if_absent(new, have, "jockey_key").write.mode("append").parquet(f"{root}/jockeys")
+    return spark.read.schema(S.STAR["jockeys"]).parquet(f"{root}/jockeys").select("jockey_key")
+
+
+@query("S09_report", "SELECT count(*) AS n_rows, max(l_quantity) AS most FROM lineitem")
+def s09(spark, sf_dir):
+    path = scratch(spark, "report")
+    S.write_report(table(spark, sf_dir, "lineitem").agg(F.count("*").alias("n_rows"), F.max("l_quantity").alias("most")), path)
+    return spark.read.schema("n_rows long, most double").json(path)
+
+
+@query("D03_field_map", "SELECT o_orderkey::VARCHAR AS key, 'us' AS jurisdiction, o_totalprice AS purse, CAST(NULL AS VARCHAR) AS weather FROM orders")
+def d03(spark, sf_dir):
+    maps = registry.FieldMaps()
+    maps.load("orders", json.dumps({"key": {"column": "o_orderkey"}, "jurisdiction": {"const": "us"}, "purse": {"column": "o_totalprice", "type": "double"}, "weather": {"column": "absent"}}))
+    return maps.apply(table(spark, sf_dir, "orders"), "orders")
+
+
 @query("S03_training_table", "SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS l_shipdate, CASE WHEN l_quantity % 7 <> 0 THEN l_quantity END AS l_quantity FROM lineitem")
 def s03(spark, sf_dir):
     path = scratch(spark, "training")

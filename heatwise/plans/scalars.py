@@ -48,8 +48,8 @@ _lines("F07_card_odds", lambda: {"n": U.card_odds_to_decimal(s(q * 30)), "o": U.
 _lines("F08_sp_to_decimal", lambda: {"o": U.sp_to_decimal(F.concat(s(q), F.lit("/"), s(k2), F.lit("F"))), "e": U.sp_to_decimal(F.lit("EvensF"))}, "round(q / k2 + 1, 4) AS o, 2e0 AS e")
 GOING = "CASE WHEN q % 3 = 0 THEN 'Standard to Slow' WHEN q % 3 = 1 THEN 'Good to Firm' ELSE 'Soft' END"
 _lines("F09_going_to_surface", lambda: {"surface": U.going_to_surface(going, k2 == 1)}, "CASE WHEN k2 = 1 OR q % 3 = 0 THEN 'synthetic' ELSE 'turf' END AS surface")
-_lines("F10_uk_going", lambda: {"condition": U.uk_going_to_condition(going)}, "CASE WHEN q % 3 = 0 THEN 'fast' WHEN q % 3 = 1 THEN 'firm' ELSE 'soft' END AS condition")
-_lines("F11_hk_going", lambda: {"condition": U.hk_going_to_condition(F.when(k2 == 1, "WET FAST").when(k2 == 2, "Good to Yielding").otherwise("odd"))}, "CASE WHEN k2 = 1 THEN 'wet_fast' WHEN k2 = 2 THEN 'good' ELSE 'odd' END AS condition")
+_lines("F10_uk_going", lambda: {"condition": U.uk_going_to_condition(going)}, "CASE WHEN q % 3 = 0 THEN 'fast' WHEN q % 3 = 1 THEN 'good' ELSE 'soft' END AS condition")
+_lines("F11_hk_going", lambda: {"condition": U.hk_going_to_condition(F.when(k2 == 1, "WET FAST").when(k2 == 2, "Good to Yielding").otherwise("odd"))}, "CASE WHEN k2 = 1 THEN 'fast' WHEN k2 = 2 THEN 'good' ELSE 'odd' END AS condition")
 _lines("F13_time_to_seconds", lambda: {"t": U.time_to_seconds(F.concat(s(k2), F.lit(":"), F.lpad(s(q), 2, "0"), F.lit(".25"))), "u": U.time_to_seconds(F.concat(F.lit(":"), s(q), F.lit(".5"))), "n": U.time_to_seconds(s(q - 3))}, "k2 * 60 + q + 0.25e0 AS t, q + 0.5e0 AS u, CASE WHEN q > 3 THEN CAST(q - 3 AS DOUBLE) END AS n")
 _lines("F14_clock_to_minutes", lambda: {"m": U.clock_to_minutes(F.concat(s(k2 * 5), F.lit(":"), F.lpad(s(q), 2, "0")))}, "CASE WHEN k2 * 5 < 24 AND q < 60 THEN CAST(k2 * 300 + q AS INTEGER) END AS m")
 _lines("F15_first_number", lambda: {"i": U.first_int(F.concat(F.lit("no "), s(q), F.lit(" of 9"))), "d": U.first_number(F.concat(F.lit("up -"), s(q), F.lit(".5 x"))), "m": U.money(F.concat(F.lit("$1,"), F.lpad(s(q), 3, "0")))}, "CAST(q AS INTEGER) AS i, -(q + 0.5e0) AS d, CAST(1000 + q AS DOUBLE) AS m")
@@ -90,7 +90,7 @@ def f19(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", T.clean_name(F.concat(F.lit("  "), n, F.lit("   x **"))).alias("name"), T.clean_name(F.lit("MAXIMUM  SECURITY*")).alias("caps"), T.collapse_ws(F.concat(n, F.lit("  a "))).alias("spaced"))
 
 
-@query("F20_race_type", "SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'maiden_claiming' WHEN '2-HIGH' THEN 'stakes' WHEN '3-MEDIUM' THEN 'claiming' ELSE 'unknown' END AS kind FROM orders")
+@query("F20_race_type", "SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'maiden_claiming' WHEN '2-HIGH' THEN 'graded_stakes' WHEN '3-MEDIUM' THEN 'claiming' ELSE 'unknown' END AS kind FROM orders")
 def f20(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = c("o_orderpriority")
     words = F.when(p == "1-URGENT", "Maiden Claiming 10k").when(p == "2-HIGH", "Grade 1 Stakes").when(p == "3-MEDIUM", "CLAIMING").otherwise("match race")

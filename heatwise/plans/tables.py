@@ -37,7 +37,7 @@ MAPPED = {"horse": "entity", "track": "track", "date": "day", "finish": "finish"
 
 @query("A02_dataset_score", f"""{RUN}, s AS (SELECT date_diff('day', min(day), max(day)) >= 365 AS span, count(DISTINCT race) >= 1000 AS races FROM run),
  d AS (SELECT 1 - count(*) / sum(n) < 0.05 AS dup FROM (SELECT entity, track, day, finish, q, odds, race, count(*) AS n FROM run GROUP BY ALL))
- SELECT span, races, dup AS duplicates, round(0.8 + span::INT * 0.1 + races::INT * 0.05 + dup::INT * 0.05, 4)::DOUBLE AS score, 0.8 + span::INT * 0.1 + races::INT * 0.05 + dup::INT * 0.05 >= 0.7 AS passed FROM s, d""")
+ SELECT span, races, dup AS duplicates, round(0.85 + span::INT * 0.05 + races::INT * 0.05 + dup::INT * 0.05, 4)::DOUBLE AS score, 0.85 + span::INT * 0.05 + races::INT * 0.05 + dup::INT * 0.05 >= 0.7 AS passed FROM s, d""")
 def a02(spark, sf_dir):
     r = runners(spark, sf_dir).select("entity", "track", "day", "finish", "q", "odds", "race")
     return A.dataset_score(r, MAPPED, "day", ["race"]).select("span", "races", "duplicates", "score", "passed")
@@ -439,21 +439,20 @@ def m02(spark, sf_dir):
 # Orders, prices, settlement
 
 
-@query("R01_enumerate_exotics", f"{SCORED} SELECT a.race, [a.post, b.post, d.post] AS selection, round(CASE WHEN 1 - a.p <> 0 AND 1 - (a.p + b.p) <> 0 THEN a.p * (b.p / (1 - a.p)) * (d.p / (1 - (a.p + b.p))) END, 6) AS chance FROM sc a JOIN sc b ON a.race = b.race AND a.post <> b.post JOIN sc d ON a.race = d.race AND d.post <> a.post AND d.post <> b.post WHERE a.race % 10 = 0")
+@query("R01_enumerate_exotics", f"{SCORED} SELECT a.race, [a.post, b.post, d.post] AS selection, round(CASE WHEN 1 - a.p <> 0 AND 1 - (a.p + b.p) <> 0 THEN a.p * (b.p / (1 - a.p)) * (d.p / (1 - (a.p + b.p))) END, 6) AS chance FROM sc a JOIN sc b ON a.race = b.race AND a.post <> b.post JOIN sc d ON a.race = d.race AND d.post <> a.post AND d.post <> b.post")
 def r01(spark, sf_dir):
-    return O.ordered_tuples(scored(spark, sf_dir).where("race % 10 = 0"), "race", "post", "p", 3).withColumn("chance", F.round("chance", 6))
+    return O.ordered_tuples(scored(spark, sf_dir), "race", "post", "p", 3).withColumn("chance", F.round("chance", 6))
 
 
-# The one above and its twin take a tenth of the races; this is the whole enumeration.
-@query("R01_enumerate_exotics_all", f"{SCORED} SELECT a.race, [a.post, b.post, d.post] AS selection, round(CASE WHEN 1 - a.p <> 0 AND 1 - (a.p + b.p) <> 0 THEN a.p * (b.p / (1 - a.p)) * (d.p / (1 - (a.p + b.p))) END, 6) AS chance FROM sc a JOIN sc b ON a.race = b.race AND a.post <> b.post JOIN sc d ON a.race = d.race AND d.post <> a.post AND d.post <> b.post")
-def r01_all(spark, sf_dir):
-    return O.ordered_tuples(scored(spark, sf_dir), "race", "post", "p", 3).withColumn("chance", F.round("chance", 6))
+query("R01_enumerate_exotics_all", SQL["R01_enumerate_exotics"])(r01)  # the name under which the whole enumeration was added
 
 
-@query("R02_place_show", f"""{SCORED}, t AS (SELECT a.race, a.post AS x, b.post AS y, a.p * b.p / (1 - a.p) AS ch FROM sc a JOIN sc b ON a.race = b.race AND a.post <> b.post), n AS (SELECT race, count(*) AS n FROM sc GROUP BY race)
- SELECT sc.race, sc.post AS runner, round(coalesce((SELECT sum(ch) FROM t WHERE t.race = sc.race AND (x = sc.post OR y = sc.post)), 1), 5) AS place FROM sc""")
+@query("R02_place_show", f"""{SCORED}, t AS (SELECT a.race, a.post AS x, b.post AS y, a.p * b.p / (1 - a.p) AS ch, a.p + b.p AS used FROM sc a JOIN sc b ON a.race = b.race AND a.post <> b.post),
+ two AS (SELECT race, runner, sum(ch) AS place FROM (SELECT race, unnest([x, y]) AS runner, ch FROM t) GROUP BY ALL),
+ three AS (SELECT race, runner, sum(ch) AS third FROM (SELECT t.race, unnest([x, y, sc.post]) AS runner, ch * sc.p / (1 - used) AS ch FROM t JOIN sc ON t.race = sc.race AND sc.post <> x AND sc.post <> y) GROUP BY ALL)
+ SELECT sc.race, sc.post AS runner, round(coalesce(place, 1), 5) AS place, round(coalesce(third, 1), 5) AS "show" FROM sc LEFT JOIN two ON two.race = sc.race AND two.runner = sc.post LEFT JOIN three ON three.race = sc.race AND three.runner = sc.post""")
 def r02(spark, sf_dir):
-    return O.place_show_prob(scored(spark, sf_dir), "race", "post", "p").select("race", "runner", F.round("place", 5).alias("place"))
+    return O.place_show_prob(scored(spark, sf_dir), "race", "post", "p").select("race", "runner", F.round("place", 5).alias("place"), F.round("show", 5).alias("show"))
 
 
 UNI = "(('0x' || substr(md5('orders|' || race || '|' || s || '|' || post || '|0'), 1, 8))::BIGINT + 0.5) / 4294967296.0"
@@ -513,6 +512,26 @@ def r13(spark, sf_dir):
     return O.settle_bets(bets(spark, sf_dir), outcomes(spark, sf_dir)).select("race", "post", "won", F.round("pnl", 9).alias("pnl"))
 
 
+@query("R10_capped_allocation", f"{RISK}, t AS (SELECT race, sum(tax) AS stake, count(*) AS n_bets FROM run GROUP BY race), k AS (SELECT race, n_bets, least(1, stake) AS stake, expected_return / greatest(1, stake) AS er, cvar / greatest(1, stake) AS cv FROM ri JOIN t USING (race)) SELECT race, n_bets, round(stake * CASE WHEN cv > 0.15 THEN 0.15e0 / cv ELSE 1 END, 11) AS stake, round(er * CASE WHEN cv > 0.15 THEN 0.15e0 / cv ELSE 1 END, 11) AS expected_return FROM k")
+def r10(spark, sf_dir):
+    out = O.risk_capped_allocation(bets(spark, sf_dir), O.finishing_orders(samples(spark, sf_dir), 1), [0.15])
+    return out.select("race", "n_bets", F.round("stake", 11).alias("stake"), F.round("expected_return", 11).alias("expected_return"))
+
+
+@query("J07_attach_odds", f"{CAND}, b AS (SELECT race, post, p FROM ca) SELECT b.race, b.post, ca.bet_type, round(b.p, 6) AS p, round(ca.odds, 6) AS odds FROM b JOIN ca ON b.race = ca.race AND b.post = ca.post WHERE ca.odds > 2")
+def j07(spark, sf_dir):
+    """Chances meet the odds of the same selection; selections without odds go."""
+    cand = candidates(spark, sf_dir).withColumn("selection", F.array("post"))
+    out = O.attach_odds(cand.select("race", "post", "bet_type", "selection", "p"), cand.where("odds > 2").select("race", "bet_type", "selection", "odds"))
+    return out.select("race", "post", "bet_type", r6(c("p"), "p"), r6(c("odds"), "odds"))
+
+
+@query("J10_join_outcomes", f"{OUT} SELECT run.race, post, len(o) AS n_finishers, o[1] AS first FROM run JOIN ou USING (race)")
+def j10(spark, sf_dir):
+    out = O.join_outcomes(bets(spark, sf_dir), outcomes(spark, sf_dir))
+    return out.select("race", "post", F.size("finishing_order").cast("long").alias("n_finishers"), F.get("finishing_order", F.lit(0)).alias("first"))
+
+
 @query("R14_pnl_series", f"{OUT} SELECT run.race, post, round(CASE WHEN o[1] = post THEN tax * odds ELSE 0 END - tax, 9) AS pnl FROM run JOIN ou USING (race) WHERE day >= DATE '1996-01-01'")
 def r14(spark, sf_dir):
     b = bets(spark, sf_dir).join(runners(spark, sf_dir).select("race", "post", "day"), ["race", "post"])

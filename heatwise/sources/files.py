@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.rows import merge_bundle
+
 CARD_SCHEMA = "source string, card_date date, track string, races array<struct<number:int,distance:double,surface:string,confidence:double,entries:array<struct<post:int,horse:string,jockey:string,odds:double,history:array<struct<day:date,finish:int,figure:double>>>>>>"
 #: The star schema: each table's key comes first.
 STAR = {
@@ -20,6 +24,19 @@ STAR = {
 }
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in storage that all executors share: the checkpoint folder, else the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to shared storage and read back: its lineage ends there, and lost executors cost no more than a read."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_csv_source(spark: SparkSession, path: str, largest: bool = False) -> DataFrame:
     """All columns as text, so that types do not depend on the file; of a folder all files, or the largest only."""
     df = spark.read.option("header", True).csv(path)
@@ -30,6 +47,31 @@ def read_csv_source(spark: SparkSession, path: str, largest: bool = False) -> Da
     return df
 
 
+def read_bundle(spark: SparkSession, path: str, fact: str, dim: str, key: str) -> DataFrame:
+    """Files of facts and of one dimension in one folder, joined: all facts stay, a clashing name gets a suffix on the dimension's side."""
+    return merge_bundle(read_csv_source(spark, f"{path}/{fact}"), read_csv_source(spark, f"{path}/{dim}"), key)
+
+
+def save_models(models: dict[str, PipelineModel | None], root: str) -> None:
+    for name, model in models.items():
+        if model is not None:
+            model.write().overwrite().save(f"{root}/{name}")
+
+
+def load_models(spark: SparkSession, root: str, required: Sequence[str], optional: Sequence[str] = ()) -> dict[str, PipelineModel | None]:
+    """Saved models by name; an optional one that is not there is None, a required one is an error that names all missing."""
+    there = {n: _exists(spark, f"{root}/{n}") for n in [*required, *optional]}
+    missing = [n for n in required if not there[n]]
+    if missing:
+        raise FileNotFoundError(f"no saved model {', '.join(missing)} in {root}")
+    return {n: PipelineModel.load(f"{root}/{n}") if ok else None for n, ok in there.items()}
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def read_training_table(spark: SparkSession, path: str, day: str, numbers: Sequence[str]) -> DataFrame:
     """Dates without a time of day; numeric columns as numbers, NaN as NULL."""
     df = spark.read.parquet(path)

@@ -6,11 +6,12 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import aggregates, rows
+from ..sources.files import _exists
 
 
 def stream_ingest(source: DataFrame, spec: dict[str, dict], score: Callable[[DataFrame], DataFrame], table: str, key: str, checkpoint: str):
@@ -24,11 +25,6 @@ def stream_ingest(source: DataFrame, spec: dict[str, dict], score: Callable[[Dat
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def stream_outcomes(source: DataFrame, key: str, at: str, delay: str = "7 days") -> DataFrame:
     """The first outcome of each race within the watermark. Later repeats are for insert_if_absent at the sink."""
     return source.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
@@ -45,6 +41,7 @@ class Cusum(StatefulProcessor):
 
     def handleInputRows(self, key: Any, batches: Iterator[pd.DataFrame], timer: Any) -> Iterator[pd.DataFrame]:
         high, low, n, step, side = self.state.get() if self.state.exists() else (0.0, 0.0, 0, -1, "")
+        # Rows of a batch may come in any order, so they are sorted before the sums go over them.
         for pdf in [pd.concat(list(batches)).sort_values(["ts", "event_id"])]:
             out = []
             for e, t, z in zip(pdf["event_id"], pdf["ts"], pdf["z"], strict=True):

@@ -147,3 +147,102 @@ def test_entry_and_names(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() == 1
+
+
+def test_ewm_reaches_back_over_any_number_of_nulls(spark):
+    values = [2.0, 5.0] + [None] * 150 + [1.0, None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").withColumn("k", F.lit(1))
+    got = [r["x"] for r in W.with_ewm_prior(df, "x", F.col("v"), Window.partitionBy("k").orderBy("i")).orderBy("i").collect()]
+    want = pd.Series(values).ewm(alpha=0.4).mean().shift()
+    assert got[0] is None
+    assert np.allclose(got[1:], want[1:])
+
+
+def test_prior_history_equals_brute_force(spark):
+    rng = np.random.default_rng(5)
+    past = [(int(rng.integers(3)), dt.date(2020, 1, 1 + int(rng.integers(12))), i) for i in range(60)] + [(1, None, 99)]
+    today = [(int(rng.integers(4)), dt.date(2020, 1, 1 + int(rng.integers(14))), i) for i in range(30)] + [(1, None, 98), (None, dt.date(2020, 1, 9), 97)]
+    p, t = (spark.createDataFrame(x, "e int, d date, n int") for x in (past, today))
+    got = {r["n"]: [tuple(h) for h in r["history"]] for r in rows.prior_history(t, p, "e", "d", ["n"], 4).collect()}
+    for e, d, n in today:
+        want = sorted(((pd_, pn) for pe, pd_, pn in past if pe == e and pd_ and d and pd_ < d), reverse=True)[:4]
+        assert got[n] == want
+
+
+@pytest.mark.parametrize("field", [1, 2, 3, 5])
+def test_place_and_show_equal_enumeration(spark, field):
+    import itertools
+
+    p = np.arange(1, field + 1) / sum(range(1, field + 1))
+    df = spark.createDataFrame([(1, i, float(x)) for i, x in enumerate(p)], "race int, r int, p double")
+    got = {r["runner"]: (r["place"], r["show"]) for r in rows.place_show_prob(df, "race", "r", "p").collect()}
+    for me in range(field):
+        for n, at in ((2, 0), (3, 1)):
+            want = 0.0
+            for pick in itertools.permutations(range(field), n):
+                chance, used = 1.0, 0.0
+                for x in pick:
+                    chance, used = chance * p[x] / (1 - used) if used < 1 else 0.0, used + p[x]
+                want += chance * (me in pick)
+            assert np.isclose(got[me][at], want if field >= n else 1.0)
+
+
+def training(spark, n=600):
+    rng = np.random.default_rng(3)
+    out = []
+    for i in range(n):
+        a, b = rng.normal(), rng.normal()
+        out.append((i // 6, i % 6, dt.date(2018, 1, 1) + dt.timedelta(days=i), 2.0 + abs(b) * 3, int(a + rng.normal() > 0.8), float(a), None if i % 5 == 0 else float(b), 6.0))
+    return spark.createDataFrame(out, "race int, post int, day date, odds double, win int, a double, b double, size double")
+
+
+def test_stacker_scores_a_row_alike_in_any_company(spark):
+    df = training(spark).withColumns({"s": 1 / (1 + F.exp(-F.col("a"))), "m": 1 / F.col("odds")})
+    stacker = models.fit_stacker(df, df, ["s", "m", "b"], ["size"], "win", 3, 2)
+    whole = {(r["race"], r["post"]): r["x"] for r in stacker.score(df, "x").collect()}
+    some = stacker.score(df.where("race < 3"), "x").collect()
+    assert len(some) == 18 and all(whole[r["race"], r["post"]] == r["x"] for r in some)
+    assert all(0 <= x <= 1 for x in whole.values())
+
+
+def test_gated_model_is_neutral_without_its_columns(spark):
+    df = training(spark)
+    assert models.fit_gated(df, df, ["a", "b"], "win", 2, 2, min_rows=5000) is None
+    model = models.fit_gated(df, df, ["a", "b"], "win", 2, 2, min_rows=100)
+    got = models.score_gated(model, df, ["a", "b"], "x")
+    assert {r["x"] for r in got.where("b IS NULL").collect()} == {0.5}
+    assert got.where("b IS NOT NULL").select("x").distinct().count() > 2
+    assert {r["x"] for r in models.score_gated(None, df, ["a", "b"], "x").collect()} == {0.5}
+
+
+def test_card_scoring_and_retraining(spark):
+    from heatwise.operators import jobs
+
+    df, r = training(spark), jobs.Roles("race", "post", "day", "odds", "win", ["a"], ["a", "b"], ["size"])
+    calm = spark.createDataFrame([(False,)], "triggered boolean")
+    none, report = jobs.rolling_retrain(df, r, dt.date(2020, 1, 1), 2, calm)
+    assert none is None and [x["stage"] for x in report.collect()] == ["skipped"]
+    bundle, report = jobs.rolling_retrain(df, r, dt.date(2020, 1, 1), 2, None, 2, 2, 50)
+    assert {x["stage"] for x in report.collect()} == {"before", "after"}
+    chances, plans = jobs.score_card(df.where("race >= 90"), bundle, [0.1, 0.3], 0.05, 20)
+    assert all(np.isclose(x["s"], 1) for x in chances.groupBy("race").agg(F.sum("p").alias("s")).collect())
+    for x in plans.collect():
+        assert x["cvar"] <= x["level"] + 1e-9 and x["stake"] <= 1
+
+
+def test_registries_tell_what_they_know(spark):
+    from heatwise.sources import registry
+
+    maps = registry.FieldMaps()
+    with pytest.raises(ValueError, match="needs a column or a constant.*no transform 'x'"):
+        maps.load("m", '{"a": {}, "b": {"column": "q", "transform": "x"}}')
+    maps.load("m", '{"a": {"column": "q", "type": "int"}}')
+    with pytest.raises(KeyError, match="known: m"):
+        maps.get("n")
+    with pytest.raises(KeyError, match="runs_and_races"):
+        registry.read_source(spark, "n", "/nowhere")
+
+
+def test_a_required_model_must_be_there(spark, tmp_path):
+    with pytest.raises(FileNotFoundError, match="stacker"):
+        files.load_models(spark, str(tmp_path), ["stacker"], ["pace"])

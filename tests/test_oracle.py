@@ -23,12 +23,12 @@ def plain(v):
     if v is None or isinstance(v, bool | np.bool_):
         return None if v is None else bool(v)
     if isinstance(v, float | np.floating):
-        return None if v != v else round(float(v), 5) + 0.0
+        return None if v != v else float(f"{v:.12g}") + 0.0
     if isinstance(v, int | np.integer):
         return int(v)
     if isinstance(v, list | tuple | np.ndarray):
         return tuple(plain(x) for x in v)
-    return str(v)[:26]
+    return str(v)
 
 
 def order(row):
