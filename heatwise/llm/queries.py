@@ -62,7 +62,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.cascade(table(spark, sf_dir, "documents"))
+    return quality.cascade(table(spark, sf_dir, "documents")).drop("reason")
 
 
 def op10_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,4 +84,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_cascade": op9_quality_cascade,
     "op10_toxic_segments": op10_toxic_segments,
 }
-ORACLE: dict[str, str] = {}
