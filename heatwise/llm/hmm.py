@@ -3,8 +3,8 @@
 A state emits a class of words, and a class emits a word. The TOP most frequent words are classes of their own; the other words fall
 into SHAPES classes by their first and last bytes, and within a class a word has its share of the training counts, less the mass of the
 words seen once, which stands for words not seen. So the model's size is fixed, while the counts of all words stay in a
-table that texts are joined with. Training starts with states that hold for a whole document, then frees the
-transitions, over windows of WINDOW tokens; scoring runs through whole documents.
+table that texts are joined with. Training finds starting values with states that hold for a whole document, then frees the
+transitions in rounds of Baum-Welch. All rounds, and scoring, run through whole documents.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +23,9 @@ from .common import cut, slices
 from .textops import LOWER, Words, mix
 
 TOP, SHAPES, STATES = 30_000, 4096, 8
-WHOLE_ROUNDS, FREE_ROUNDS, WINDOW = 3, 3, 128
+WHOLE_ROUNDS, FREE_ROUNDS = 3, 3
+#: Tokens that a worker handles at once.
+STRETCH = 800_000
 END = np.uint64(0x0E0D)  # stands for the end of a text; no word has this hash but by chance
 CLASSES = TOP + SHAPES + 1
 MOST_COUNTS = 1_500_000
@@ -89,6 +92,23 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(on, "h long, shape int, c long").groupBy("h", "shape").agg(F.sum("c").alias("c"))
 
 
+def frequent(counts: DataFrame, most: int = TOP) -> DataFrame:
+    """The words with the highest counts, `most` at most and nearly as many. Two histograms of fixed size tell which: one of counts on a
+    log scale, and for the level at which the room ends, one of hashes. Nothing is sorted, so no task sees the words of others."""
+    words = counts.where(F.col("shape") < SHAPES).withColumns({"level": F.floor(F.log2("c") * 8), "cell": F.pmod("h", F.lit(1024))})
+    room, least, cells = most, -1, 0
+    for level, n in sorted(((r["level"], r["n"]) for r in words.groupBy("level").agg(F.count("*").alias("n")).collect()), reverse=True):
+        if n > room:
+            least = level
+            for cell, k in sorted((r["cell"], r["n"]) for r in words.where(F.col("level") == level).groupBy("cell").agg(F.count("*").alias("n")).collect()):
+                if k > room:
+                    break
+                room, cells = room - k, cell + 1
+            break
+        room -= n
+    return words.where((F.col("level") > least) | ((F.col("level") == least) & (F.col("cell") < cells))).select("h", "shape", "c")
+
+
 def _encode(docs: DataFrame, model: Model, held: Column | None) -> DataFrame:
     """Each text as classes, with the hashes of its words that have no class of their own. Rows get a number of their own, as doc_id may repeat."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -144,55 +164,72 @@ def _whole(tokens: np.ndarray, bounds: np.ndarray, m: Model, emitted: np.ndarray
 
 
 def _free(tokens: np.ndarray, bounds: np.ndarray, m: Model, emitted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of the forward and backward recursions, in step over windows; a window that starts inside a text starts from the states' long-run shares."""
+    """Counts of the scaled forward and backward recursions over whole texts, in step over texts. Forward values are held for
+    a stretch of STRETCH tokens; those of earlier stretches are made again from the values they start with."""
     size = np.diff(bounds)
-    n_win = -(-size // WINDOW)
-    doc = np.repeat(np.arange(len(size)), n_win)
-    nth = np.arange(len(doc)) - np.repeat(np.cumsum(n_win) - n_win, n_win)
-    first = bounds[doc] + nth * WINDOW
-    length = np.minimum(WINDOW, size[doc] - nth * WINDOW)
-    order = np.argsort(-length, kind="stable")
-    first, length, head = first[order], length[order], nth[order] == 0
-    long_run = np.linalg.matrix_power(m.move, 64)[0]
-    begin = np.where(head[:, None], m.start, long_run).astype(np.float32)
-    move, emit = m.move.astype(np.float32), m.emit.astype(np.float32)
-    open_ = np.searchsorted(-length, -np.arange(int(length[0])), side="left")
-    alpha, out = [], []
-    for t, n in enumerate(open_):
+    order = np.argsort(-size, kind="stable")
+    first = bounds[:-1][order]
+    steps = int(size.max())
+    open_ = np.searchsorted(-size[order], -np.arange(steps), side="left")
+    stretches = np.flatnonzero(np.diff(np.cumsum(open_) // STRETCH, prepend=-1)).tolist()
+    begin, move, emit = m.start.astype(np.float32), m.move.astype(np.float32), m.emit.astype(np.float32)
+
+    def step(t: int, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        n = open_[t]
         b = emit[tokens[first[:n] + t]]
-        a = (begin if t == 0 else alpha[-1][:n] @ move)[:n] * b
-        a /= a.sum(1, keepdims=True)
-        alpha.append(a)
-        out.append(b)
-    moved = np.zeros((STATES, STATES))
+        a = (begin if before is None else before[:n] @ move) * b
+        return a / a.sum(1, keepdims=True), b
+
+    a, entries = None, {0: None}
+    for t in range(stretches[-1]):
+        a, _ = step(t, a)
+        if t + 1 in stretches:
+            entries[t + 1] = a
+    moved, starts = np.zeros((STATES, STATES)), np.zeros(STATES)
     beta = np.ones((0, STATES), np.float32)
-    gammas, places = [], []
-    starts = np.zeros(STATES)
-    for t in range(len(open_) - 1, -1, -1):
-        n = open_[t]
-        after = np.ones((n, STATES), np.float32)
-        if len(beta):
+    for low, high in reversed(list(zip(stretches, [*stretches[1:], steps], strict=True))):
+        alpha, out = [entries[low]], []
+        for t in range(low, high):
+            a, b = step(t, alpha[-1])
+            alpha.append(a)
+            out.append(b)
+        gammas, places = [], []
+        for t in range(high - 1, low - 1, -1):
+            n = open_[t]
+            after = np.ones((n, STATES), np.float32)
             after[: len(beta)] = beta
-        g = alpha[t] * after
-        g /= g.sum(1, keepdims=True)
-        gammas.append(g)
-        places.append(first[:n] + t)
-        if t:
-            # A step's evidence, scaled so that it sums to one for each window.
-            ev = out[t] * after
-            before = alpha[t - 1][:n]
-            weight = ((before @ move) * ev).sum(1, keepdims=True)
-            ev /= weight
-            moved += before.T @ ev * move
-            beta = ev @ move.T
-        else:
-            starts += g[head].sum(0)
-    g, at = np.concatenate(gammas), tokens[np.concatenate(places)]
-    for k in range(STATES):
-        emitted[:, k] += np.bincount(at, weights=g[:, k], minlength=CLASSES)
+            g = alpha[t - low + 1] * after
+            g /= g.sum(1, keepdims=True)
+            gammas.append(g)
+            places.append(first[:n] + t)
+            if t:
+                # A step's evidence, scaled so that it sums to one for each text.
+                ev = out[t - low] * after
+                before = alpha[t - low][:n]
+                ev /= ((before @ move) * ev).sum(1, keepdims=True)
+                moved += before.T @ ev * move
+                beta = ev @ move.T
+            else:
+                starts += g.sum(0)
+        g, at = np.concatenate(gammas), tokens[np.concatenate(places)]
+        for k in range(STATES):
+            emitted[:, k] += np.bincount(at, weights=g[:, k], minlength=CLASSES)
     return starts, moved
 
 
+def _parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most STRETCH tokens; a longer text is a slice of its own."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False) // 2 + 1
+    at, held = 0, 0
+    for i, n in enumerate(size.tolist()):
+        if held and held + n > STRETCH:
+            yield batch.slice(at, i - at)
+            at, held = i, 0
+        held += n
+    if at < len(size):
+        yield batch.slice(at)
+
+
 def _round(coded: DataFrame, m: Model, free: bool) -> Model:
     """One step of Baum-Welch: each task sums its expected counts, Spark sums those of the tasks; CLASSES rows come back."""
     shared = coded.sparkSession.sparkContext.broadcast(m)
@@ -200,8 +237,8 @@ def _round(coded: DataFrame, m: Model, free: bool) -> Model:
     def on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         emitted, start, move = np.zeros((CLASSES, STATES)), np.zeros(STATES), np.zeros((STATES, STATES))
         for batch in batches:
-            for i in range(0, len(batch), 1500):
-                tokens, bounds = _tokens(batch.column(0).slice(i, 1500))
+            for part in _parts(batch, 0):
+                tokens, bounds = _tokens(part.column(0))
                 s, v = (_free if free else _whole)(tokens, bounds, shared.value, emitted)
                 start += s
                 move += v
@@ -251,7 +288,7 @@ def score(docs: DataFrame, held: Column | None = None) -> DataFrame:
     counts = cut(word_counts(train), "hmm-counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = int(total["n"]), int(total["v"])
-    top = counts.where(F.col("shape") < SHAPES).orderBy(F.desc("c"), "h").limit(TOP).toArrow()
+    top = frequent(counts).toArrow().sort_by([("c", "descending"), ("h", "ascending")])
     word = top.column("h").to_numpy().view(np.uint64) if top.num_rows else np.zeros(0, np.uint64)
     order = np.argsort(word)
     number = np.arange(len(word))[order]
@@ -285,8 +322,7 @@ def score(docs: DataFrame, held: Column | None = None) -> DataFrame:
 
     def on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, len(batch), 3000):
-                part = batch.slice(i, 3000)
+            for part in _parts(batch, batch.num_columns - 1):
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(_forward(*_tokens(part.column(part.num_columns - 1)), shared.value))], names=[*part.schema.names[:-1], "log_classes"])
 
     keep = ["row", "doc_id", "held_out", "n_words", "log_count", "log_unseen", "n_own"]

@@ -321,6 +321,46 @@ def test_forward_recursion_equals_sum_over_paths():
         assert math.isclose(g, math.log10(a.sum()), rel_tol=1e-9)
 
 
+@pytest.mark.parametrize("stretch", [1, 7, 800_000])
+def test_baum_welch_counts_equal_plain_forward_and_backward(monkeypatch, stretch):
+    monkeypatch.setattr(hmm, "STRETCH", stretch)
+    rng = np.random.default_rng(2)
+    k = hmm.STATES
+    norm = lambda a: a / a.sum(-1, keepdims=True)
+    m = hmm.Model(None, None, None, None, norm(rng.random(k)), norm(rng.random((k, k))), norm(rng.random((k, hmm.CLASSES))).T)
+    seqs = [rng.integers(0, 50, n).tolist() for n in (1, 9, 2, 300, 9, 40)]
+    emitted = np.zeros((hmm.CLASSES, k))
+    starts, moved = hmm._free(np.concatenate(seqs), np.cumsum([0, *map(len, seqs)]), m, emitted)
+    want_emitted, want_starts, want_moved = np.zeros_like(emitted), np.zeros(k), np.zeros((k, k))
+    for s in seqs:
+        alpha = [m.start * m.emit[s[0]]]
+        for x in s[1:]:
+            alpha.append(alpha[-1] @ m.move * m.emit[x])
+            alpha[-1] /= alpha[-1].sum()
+        beta = np.ones(k)
+        for t in range(len(s) - 1, -1, -1):
+            g = norm(alpha[t] * beta)
+            want_emitted[s[t]] += g
+            if t:
+                pair = alpha[t - 1][:, None] * m.move * (m.emit[s[t]] * beta)
+                want_moved += pair / pair.sum()
+                beta = norm(m.move @ (m.emit[s[t]] * beta))
+            else:
+                want_starts += g
+    assert np.allclose(emitted, want_emitted, rtol=1e-3, atol=1e-5)
+    assert np.allclose(starts, want_starts, rtol=1e-3) and np.allclose(moved, want_moved, rtol=1e-3)
+
+
+def test_words_of_their_own_class(spark):
+    rows = [(h * 7919, 1, 1 + h % 4 if h < 900 else 50 + h) for h in range(1000)] + [(5, hmm.SHAPES, 10**6)]
+    counts = spark.createDataFrame(rows, "h long, shape int, c long")
+    assert hmm.frequent(counts).count() == 1000
+    for most in (0, 1, 100, 101, 400, 999):
+        c = sorted((r["c"] for r in hmm.frequent(counts, most).collect()), reverse=True)
+        assert most * 0.9 - 2 <= len(c) <= most
+        assert not c or min(c) >= 0.9 * sorted((r[2] for r in rows[:-1]), reverse=True)[most - 1]
+
+
 # 8
 
 
