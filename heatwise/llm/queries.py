@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hmm, jaccard, mixing, quality, secrets, styletree, tokens, toxicity, warc
+from . import alignment, decontaminate, hmm, jaccard, mixing, quality, secrets, styletree, tokens, toxicity, warc
 from .common import crc_mod5
 
 
@@ -72,6 +72,12 @@ def op10_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_mod5(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_benchmark_leaks": op2_benchmark_leaks,
@@ -83,4 +89,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_quality_cascade": op9_quality_cascade,
     "op10_toxic_segments": op10_toxic_segments,
+    "op12_token_alignment": op12_token_alignment,
 }
