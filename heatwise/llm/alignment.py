@@ -12,11 +12,13 @@ pairs (`most_pairs`) whatever the corpus: that bounds the hash, the vector and w
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +31,12 @@ from .textops import M1, mix
 from .tokens import pieces
 
 #: Pieces of text whose alignment a worker remembers, and bytes of text it handles at once.
-MOST_PIECES = 200_000
+MOST_PIECES = 400_000
 SLICE = 1_000_000
+#: A space and then letters, digits and signs of Latin script: any two such parts have a boundary between them, so A may get many as one text.
+PLAIN = re.compile(r" [!-~\u00C0-\u024F]+")
+#: How the byte-level tokenizer splits a text before it merges bytes. A fixed value of its public vocabulary.
+SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 COLUMNS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
@@ -53,6 +59,7 @@ class Pair:
     def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a, self.b = Tokenizer.from_file(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
@@ -62,9 +69,15 @@ class Pair:
         self.bytes_a = [b""] * (max(words.values()) + 1)
         for w, i in words.items():
             self.bytes_a[i] = bytes(level[c] for c in w) if all(c in level for c in w) else w.encode()
+        # The same vocabulary in a faster library, for plain parts; its ids are the order of its merges.
+        with open(path_a, encoding="utf-8") as f:
+            vocabulary = json.load(f)["model"]["vocab"]
+        self.fast = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks={self.bytes_a[i]: i for i in vocabulary.values()}, special_tokens={})
         self.n_b = self.b.vocab_size()
         own = [self.b.id_to_piece(i) for i in range(self.n_b)]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(own)]
+        self.size_a = np.array([len(x) for x in self.bytes_a], np.int64)
+        self.size_b = np.array([len(x) for x in self.bytes_b], np.int64)
         self.text_a = [f"{i}{s}".encode() for s in ",|" for i in range(len(self.bytes_a))]
         self.text_b = [f"{i}{s}".encode() for s in ",;" for i in range(self.n_b)]
 
@@ -74,11 +87,29 @@ class Pair:
         longer_a = sum(n * b.get(t[i:], 0) for t, n in a.items() for i in range(len(t)))
         return longer_a + sum(n * a.get(t[i:], 0) for t, n in b.items() for i in range(1, len(t)))
 
-    def encode(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """A's and B's ids of parts of texts. B puts a space before what it is given, so a part's own first space is left to it; before another part stands a line break, whose two ids (space, break) go again."""
-        a = [e.ids for e in self.a.encode_batch(parts, add_special_tokens=False)]
+    def encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """A's ids of all parts in a row and how many each has, then B's.
+
+        A gets the plain parts as one text, whose ids are dealt out by their bytes. B puts a space before what it is
+        given, so a part's own first space is left to it; before another part stands a line break, whose two ids
+        (space, break) go again.
+        """
+        plain = np.array([PLAIN.fullmatch(p) is not None for p in parts], bool)
+        together = list(compress(parts, plain))
+        ids = np.array(self.fast.encode_ordinary("".join(together)), np.int64)
+        ends = np.cumsum(self.size_a[ids])
+        stops = np.cumsum(np.fromiter((len(p.encode()) for p in together), np.int64, len(together)))
+        others = [e.ids for e in self.a.encode_batch_fast(list(compress(parts, ~plain)), add_special_tokens=False)]
+        n_a = np.empty(len(parts), np.int64)
+        n_a[plain] = np.diff(np.searchsorted(ends, stops, side="right"), prepend=0)
+        n_a[~plain] = np.fromiter(map(len, others), np.int64, len(others))
+        flat_a, of_plain = np.empty(int(n_a.sum()), np.int64), np.repeat(plain, n_a)
+        flat_a[of_plain] = ids
+        flat_a[~of_plain] = np.fromiter(chain.from_iterable(others), np.int64, len(flat_a) - len(ids))
         b = self.b.encode([p[1:] if p.startswith(" ") else "\n" + p for p in parts], num_threads=1)
-        return a, [x if p.startswith(" ") else x[2:] for p, x in zip(parts, b, strict=True)]
+        b = [x if p.startswith(" ") else x[2:] for p, x in zip(parts, b, strict=True)]
+        n_b = np.fromiter(map(len, b), np.int64, len(b))
+        return flat_a, n_a, np.fromiter(chain.from_iterable(b), np.int64, int(n_b.sum())), n_b
 
 
 @cache
@@ -87,12 +118,11 @@ def pair(path_a: str, path_b: str) -> Pair:
 
 
 class Aligned:
-    """Alignments of the pieces a worker has met: ids of each, groups as text, and the codes of linked pairs."""
+    """Alignments of the pieces a worker has met: ids of each, the codes of linked pairs, and, if spell is set, groups as text."""
 
-    def __init__(self, tokenizers: Pair):
-        self.t = tokenizers
-        self.size_a = np.array([len(x) for x in tokenizers.bytes_a], np.int64)
-        self.size_b = np.array([len(x) for x in tokenizers.bytes_b], np.int64)
+    def __init__(self, tokenizers: Pair, spell: bool):
+        self.t, self.spell = tokenizers, spell
+        self.size_a, self.size_b = tokenizers.size_a, tokenizers.size_b
         self.clear()
 
     def clear(self) -> None:
@@ -115,12 +145,8 @@ class Aligned:
         return out
 
     def _align(self, fresh: list[str]) -> None:
-        ids_a, ids_b = self.t.encode(fresh)
+        flat_a, n_a, flat_b, n_b = self.t.encode(fresh)
         whole_a, whole_b = self.t.bytes_a, self.t.bytes_b
-        n_a = np.fromiter(map(len, ids_a), np.int64, len(ids_a))
-        n_b = np.fromiter(map(len, ids_b), np.int64, len(ids_b))
-        flat_a = np.fromiter(chain.from_iterable(ids_a), np.int64, int(n_a.sum()))
-        flat_b = np.fromiter(chain.from_iterable(ids_b), np.int64, int(n_b.sum()))
         # Where all bytes of the batch agree, each piece's do, if their sizes do; else each piece is looked at.
         size = np.array([len(w.encode()) for w in fresh], np.int64)
         text = "".join(fresh).encode()
@@ -128,7 +154,8 @@ class Aligned:
         got_a, got_b = np.bincount(doc_a, self.size_a[flat_a], len(fresh)), np.bincount(doc_b, self.size_b[flat_b], len(fresh))
         ok = (got_a == size) & (got_b == size)
         if not (ok.all() and b"".join(map(whole_a.__getitem__, flat_a.tolist())) == text == b"".join(map(whole_b.__getitem__, flat_b.tolist()))):
-            ok = np.array([b"".join(map(whole_a.__getitem__, x)) == w.encode() == b"".join(map(whole_b.__getitem__, y)) for w, x, y in zip(fresh, ids_a, ids_b, strict=True)])
+            a, b = (np.split(flat, np.cumsum(n)[:-1]) for flat, n in ((flat_a, n_a), (flat_b, n_b)))
+            ok = np.array([b"".join(map(whole_a.__getitem__, x.tolist())) == w.encode() == b"".join(map(whole_b.__getitem__, y.tolist())) for w, x, y in zip(fresh, a, b, strict=True)])
             keep_a, keep_b = ok[doc_a], ok[doc_b]
             flat_a, flat_b, doc_a, doc_b = flat_a[keep_a], flat_b[keep_b], doc_a[keep_a], doc_b[keep_b]
             n_a, n_b = np.where(ok, n_a, 0), np.where(ok, n_b, 0)
@@ -136,16 +163,20 @@ class Aligned:
         shut_a, shut_b = np.isin(end_a, end_b), np.isin(end_b, end_a)
         codes = flat_a[shut_a] * self.t.n_b + flat_b[shut_b]  # tokens have bytes, so one of each ends at a common end
         groups = np.bincount(doc_a[shut_a], minlength=len(fresh))
-        # Ids as text: those of A in a group, then those of B; what follows an id is , or | or ;
+        if self.spell:
+            self._spell(flat_a, flat_b, shut_a, shut_b, n_a + n_b)
+        self.n_a, self.n_b, self.ok = np.concatenate([self.n_a, n_a]), np.concatenate([self.n_b, n_b]), np.concatenate([self.ok, ok])
+        self.codes, self.start = np.concatenate([self.codes, codes]), np.concatenate([self.start, self.start[-1] + np.cumsum(groups)])
+
+    def _spell(self, flat_a: np.ndarray, flat_b: np.ndarray, shut_a: np.ndarray, shut_b: np.ndarray, n: np.ndarray) -> None:
+        """Ids as text: those of A in a group, then those of B; what follows an id is , or | or ;"""
         group_a, group_b = np.cumsum(shut_a) - shut_a, np.cumsum(shut_b) - shut_b
         place = np.lexsort((np.concatenate([np.zeros(len(flat_a), bool), np.ones(len(flat_b), bool)]), np.concatenate([group_a, group_b])))
-        said = list(map(self.t.text_a.__getitem__, (flat_a + shut_a * len(whole_a)).tolist()))
+        said = list(map(self.t.text_a.__getitem__, (flat_a + shut_a * len(self.t.bytes_a)).tolist()))
         said += map(self.t.text_b.__getitem__, (flat_b + shut_b * self.t.n_b).tolist())
         said = [said[i] for i in place.tolist()]
-        upto = np.concatenate([[0], np.cumsum(n_a + n_b)]).tolist()
+        upto = np.concatenate([[0], np.cumsum(n)]).tolist()
         self.texts += [b"".join(said[i:j]) for i, j in zip(upto, upto[1:], strict=False)]
-        self.n_a, self.n_b, self.ok = np.concatenate([self.n_a, n_a]), np.concatenate([self.n_b, n_b]), np.concatenate([self.ok, ok])
-        self.codes, self.start = np.concatenate([self.codes, codes]), np.concatenate([self.start, self.start[-1] + np.cumsum(groups)])
 
     def documents(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of all pieces of the texts, each with a space before it, and the n + 1 places where texts begin. Empty texts, and those whose bytes either tokenizer changes, have no pieces."""
@@ -169,9 +200,9 @@ class Aligned:
 
 
 @cache
-def remembered(path_a: str, path_b: str) -> Aligned:
-    """One for each worker: tasks that follow each other know the pieces of those before."""
-    return Aligned(pair(path_a, path_b))
+def remembered(path_a: str, path_b: str, spell: bool) -> Aligned:
+    """One for each worker and pass: tasks that follow each other know the pieces of those before."""
+    return Aligned(pair(path_a, path_b), spell)
 
 
 def texts_of(batches: Iterator[pa.RecordBatch], known: Aligned) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -227,7 +258,7 @@ def seen_pairs(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """First pass: (pair, n), how often each task saw each pair of ids linked; pair is A's id times B's size plus B's id."""
 
     def on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, totals = remembered(path_a, path_b), [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        known, totals = remembered(path_a, path_b, False), [np.zeros(0, np.int64), np.zeros(0, np.int64)]
 
         def settle(times: np.ndarray) -> None:
             """Pairs of the pieces met so far, each as often as its piece."""
@@ -289,7 +320,7 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((numbers, counts, best))
 
     def on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, (numbers, counts, best) = remembered(path_a, path_b), shared.value
+        known, (numbers, counts, best) = remembered(path_a, path_b, True), shared.value
         stats = np.zeros((7, 0), np.int64)  # of each piece met so far: COLUMNS, and links whose pair has no number
 
         for batch, which, first in texts_of(batches, known):
