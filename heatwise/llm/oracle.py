@@ -100,9 +100,30 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
+COLLOCATIONS = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+s AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+f AS (SELECT lang, k, array_to_string(g, ' ') AS phrase, count(*) AS f FROM (
+    SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS g FROM s, (VALUES (1), (2), (3)) AS t(k)) GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+cuts AS (SELECT lang, phrase, any_value(k) AS k, any_value(a) AS a,
+    min(struct_pack(score := (1000000::HUGEINT * a * a) // (l::HUGEINT * r), cut := cut, l := l, r := r)) AS best FROM (
+    SELECT c.*, cut, x.f AS l, y.f AS r FROM c JOIN (VALUES (1), (2)) AS t(cut) ON cut < k
+    JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:cut], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[cut + 1:], ' ')) GROUP BY lang, phrase),
+m AS (SELECT lang, phrase, max(a) AS longest FROM (
+    SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a FROM c WHERE k = 3 UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM c WHERE k = 3) GROUP BY ALL),
+o AS (SELECT cuts.lang, cuts.phrase, a, best, row_number() OVER (PARTITION BY cuts.lang ORDER BY best.score DESC, a DESC, cuts.phrase) AS rank
+    FROM cuts LEFT JOIN m ON m.lang = cuts.lang AND m.phrase = cuts.phrase WHERE k = 3 OR coalesce(100 * longest, 0) < 50 * a)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, best.l::BIGINT AS l, best.r::BIGINT AS r, n::BIGINT AS n, best.score::BIGINT AS score
+FROM o JOIN n USING (lang) WHERE rank <= 2000
+"""
+
 SQL: dict[str, str] = {
     "op3_warc_records": WARC,
     "op6_source_mix": MIX,
     "op8_secret_scan": SECRETS,
     "op9_quality_cascade": QUALITY,
+    "op13_collocations": COLLOCATIONS,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontaminate, hmm, jaccard, mixing, quality, secrets, styletree, tokens, toxicity, warc
+from . import alignment, collocations, decontaminate, hmm, jaccard, languages, mixing, quality, secrets, styletree, tokens, toxicity, warc
 from .common import crc_mod5
 
 
@@ -72,12 +72,22 @@ def op10_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_mod5(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
 
 
+def op11_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1, F.lit(False))
+    found = languages.identify(docs, languages.train(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_benchmark_leaks": op2_benchmark_leaks,
@@ -89,5 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_quality_cascade": op9_quality_cascade,
     "op10_toxic_segments": op10_toxic_segments,
+    "op11_language_spans": op11_language_spans,
     "op12_token_alignment": op12_token_alignment,
+    "op13_collocations": op13_collocations,
 }

@@ -31,11 +31,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def hash_spans(buf: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span."""
+def hash_spans(buf: np.ndarray, start: np.ndarray, length: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each byte span; spans that share a hash under one seed differ under another."""
     padded = np.concatenate([buf, np.zeros(8, np.uint8)])
     wide = np.ndarray((len(buf) + 1,), np.uint64, padded, 0, (1,))  # eight bytes from each position
-    h = length.astype(np.uint64) * M1
+    h = length.astype(np.uint64) * M1 + np.uint64(seed)
     at, left, who = start, length, None
     while len(at):
         part = mix(((h if who is None else h[who]) ^ (wide[at] & _KEEP[np.minimum(left, 8)])) * M1)
@@ -54,7 +54,7 @@ def hash_spans(buf: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.nda
 class Words:
     """Words of a batch of texts: byte start and length, document number, and hash of each."""
 
-    def __init__(self, text: pa.Array, table: np.ndarray | None = None, hashes: bool = True):
+    def __init__(self, text: pa.Array, table: np.ndarray | None = None, hashes: bool = True, seed: int = 0):
         buf, self.offsets = raw(text)
         self.buf = table[buf] if table is not None else buf
         n = len(self.offsets) - 1
@@ -75,7 +75,7 @@ class Words:
         self.count = np.diff(np.searchsorted(self.start, self.offsets))
         self.doc = np.repeat(np.arange(n), self.count)
         self.bounds = np.concatenate([[0], np.cumsum(self.count)])
-        self.hash = hash_spans(self.buf, self.start, self.length) if hashes else None
+        self.hash = hash_spans(self.buf, self.start, self.length, seed) if hashes else None
 
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of every k-word window, with its document; a text of fewer words gives its whole sequence, one without words nothing."""
