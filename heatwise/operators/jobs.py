@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.files import stored
-from . import models, rows, windows
+from . import models, outcomes, rows, windows
 
 
 @dataclass(frozen=True)
@@ -77,7 +77,7 @@ def rolling_retrain(table: DataFrame, r: Roles, as_of: dt.date, years: int, drif
     return bundle, report.select("stage", "brier", "log_loss", "ece", "n_test")
 
 
-def score_card(cards: DataFrame, bundle: Bundle, levels: Sequence[float], min_edge: float = 0.05, scenarios: int = 200) -> tuple[DataFrame, DataFrame]:
+def score_card(cards: DataFrame, bundle: Bundle, levels: Sequence[float], min_edge: float = 0.05) -> tuple[DataFrame, DataFrame]:
     """Chances of all runners of all cards, and a stake plan of each race for each level of tail loss.
 
     Chances: race, runner, p (sums to 1 in a race), odds. Plans are those of risk_capped_allocation; races without a bet of enough edge have none.
@@ -88,5 +88,4 @@ def score_card(cards: DataFrame, bundle: Bundle, levels: Sequence[float], min_ed
     chances = stored(scored.select("race", "runner", "odds", windows.normalise_in_race(F.col("_c"), windows.race("race")).alias("p")), "chances")
     bets = chances.select("race", F.lit("win").alias("bet_type"), F.array("runner").alias("selection"), "p", "odds")
     worth = rows.ev_candidates(bets.drop("odds"), bets.drop("p"), min_edge)
-    winners = rows.finishing_orders(rows.sample_orders(chances, "race", "runner", "p", scenarios), 1)
-    return chances, rows.risk_capped_allocation(worth, winners, levels)
+    return chances, outcomes.risk_capped_allocation(chances, worth, levels)

@@ -401,28 +401,3 @@ def finishing_orders(samples: DataFrame, depth: int) -> DataFrame:
 def tally_topk(orders: DataFrame, k: int, scenarios: int) -> DataFrame:
     """race, selection, share: how often each beginning of k runners came."""
     return orders.groupBy("race", F.slice("finishing_order", 1, k).alias("selection")).agg((F.count("*") / scenarios).alias("share"))
-
-
-def payoffs(candidates: DataFrame, orders: DataFrame) -> DataFrame:
-    """Per candidate and scenario: odds - 1 if the selection begins the order, else -1."""
-    both = candidates.join(orders, "race")
-    return both.withColumn("payoff", F.when(F.expr("slice(finishing_order, 1, size(selection))") == F.col("selection"), F.col("odds") - 1).otherwise(-1.0))
-
-
-def portfolio_risk(paid: DataFrame, keys: Sequence[str], stake: str = "stake", alpha: float = 0.05) -> DataFrame:
-    """Expected return, value at risk and its tail mean of the stakes over scenarios."""
-    from .aggregates import var_cvar
-
-    pnl = paid.groupBy(*keys, "scenario").agg(F.sum(F.col(stake) * F.col("payoff")).alias("pnl"))
-    return pnl.groupBy(*keys).agg(F.avg("pnl").alias("expected_return")).join(var_cvar(pnl, keys, "pnl", alpha), list(keys))
-
-
-def risk_capped_allocation(candidates: DataFrame, orders: DataFrame, levels: Sequence[float], alpha: float = 0.05) -> DataFrame:
-    """Per race and level: capped Kelly stakes, at most 1 in all, scaled so that their tail loss meets the level. The tail loss is positively homogeneous, so one pass over the scenarios serves all levels."""
-    whole = F.sum("stake").over(Window.partitionBy("race"))
-    paid = payoffs(candidates.withColumn("stake", F.col("stake") / F.greatest(F.lit(1.0), whole)), orders)
-    risk = portfolio_risk(paid, ["race"], alpha=alpha)
-    total = candidates.groupBy("race").agg(F.least(F.lit(1.0), F.sum("stake")).alias("stake"), F.count("*").alias("n_bets"))
-    both = cross_levels(risk.join(total, "race"), levels)
-    scale = F.when(F.col("cvar") > F.col("level"), F.col("level") / F.col("cvar")).otherwise(1.0)
-    return both.select("race", "level", "n_bets", (F.col("stake") * scale).alias("stake"), (F.col("expected_return") * scale).alias("expected_return"), (F.col("var") * scale).alias("var"), (F.col("cvar") * scale).alias("cvar"))

@@ -99,7 +99,7 @@ def r15(spark, sf_dir):
     parts = O.three_way_time_split(staked(spark, sf_dir), "day")
     train, calib, new = (parts.where(c("part") == p).drop("part") for p in ("train", "calib", "test"))
     bundle = jobs.fit_bundle(train, calib, roles(), 4, 3, 1000)
-    return jobs.score_card(new, bundle, [0.05, 0.1, 0.2], 0.05, 50)[1]
+    return jobs.score_card(new, bundle, [0.05, 0.1, 0.2], 0.05)[1]
 
 
 @query("S12_load_models")

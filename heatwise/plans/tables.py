@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
+from ..operators import outcomes as X
 from ..operators import rows as O
 from ..operators import windows as W
 from .base import RUN, SQL, query, r6, runners, table
@@ -444,9 +445,6 @@ def r01(spark, sf_dir):
     return O.ordered_tuples(scored(spark, sf_dir), "race", "post", "p", 3).withColumn("chance", F.round("chance", 6))
 
 
-query("R01_enumerate_exotics_all", SQL["R01_enumerate_exotics"])(r01)  # the name under which the whole enumeration was added
-
-
 @query("R02_place_show", f"""{SCORED}, t AS (SELECT a.race, a.post AS x, b.post AS y, a.p * b.p / (1 - a.p) AS ch, a.p + b.p AS used FROM sc a JOIN sc b ON a.race = b.race AND a.post <> b.post),
  two AS (SELECT race, runner, sum(ch) AS place FROM (SELECT race, unnest([x, y]) AS runner, ch FROM t) GROUP BY ALL),
  three AS (SELECT race, runner, sum(ch) AS third FROM (SELECT t.race, unnest([x, y, sc.post]) AS runner, ch * sc.p / (1 - used) AS ch FROM t JOIN sc ON t.race = sc.race AND sc.post <> x AND sc.post <> y) GROUP BY ALL)
@@ -480,31 +478,65 @@ def r07(spark, sf_dir):
     return out.select("race", "post", "bet_type", *[r6(c(x), x) for x in ("edge", "ev", "stake")])
 
 
-BETS = f"{SAMPLES}, o AS (SELECT race, scenario, max(CASE WHEN rank = 1 THEN runner END) AS w FROM sm GROUP BY race, scenario), py AS (SELECT run.race, post, scenario, tax AS stake, CASE WHEN w = post THEN odds - 1 ELSE -1 END AS payoff FROM run JOIN o USING (race))"
+#: Bets to win on each runner, and what each winner leaves of them.
+BETS = f"{SCORED}, py AS (SELECT a.race, a.post, b.post AS winner, b.p AS chance, a.tax AS stake, CASE WHEN a.post = b.post THEN a.odds - 1 ELSE -1 END AS payoff FROM sc a JOIN sc b ON a.race = b.race)"
 
 
 def bets(spark, sf_dir):
     return runners(spark, sf_dir).select("race", "post", F.array("post").alias("selection"), "odds", c("tax").alias("stake"))
 
 
-@query("R08_payoffs", f"{BETS} SELECT race, post, scenario, round(payoff, 6) AS payoff FROM py")
+def chances(spark, sf_dir):
+    return scored(spark, sf_dir).select("race", c("post").alias("runner"), "p")
+
+
+@query("R08_payoffs", f"{BETS} SELECT race, post, winner, round(chance, 9) AS chance, round(payoff, 6) AS payoff FROM py")
 def r08(spark, sf_dir):
-    return O.payoffs(bets(spark, sf_dir), O.finishing_orders(samples(spark, sf_dir), 1)).select("race", "post", "scenario", r6(c("payoff"), "payoff"))
+    out = X.payoffs(bets(spark, sf_dir), X.outcome_tree(chances(spark, sf_dir), bets(spark, sf_dir)))
+    return out.select("race", "post", F.element_at("finishing_order", 1).alias("winner"), F.round("chance", 9).alias("chance"), r6(c("payoff"), "payoff"))
 
 
-RISK = f"{BETS}, pl AS (SELECT race, scenario, sum(stake * payoff) AS pnl FROM py GROUP BY race, scenario), qv AS (SELECT race, quantile_cont(pnl, 0.05) AS v, avg(pnl) AS m FROM pl GROUP BY race), ri AS (SELECT race, m AS expected_return, -v AS var, -avg(pnl) AS cvar FROM pl JOIN qv USING (race) WHERE pnl <= v + 1e-9 GROUP BY race, m, v)"
+def _risk(outcomes: str, alpha: float = 0.05) -> str:
+    """Tail of a table ol(race, pnl, chance): outcomes from the worst on until they hold alpha of the chance."""
+    return f"{outcomes}, tl AS (SELECT race, round(pnl, 12) AS pnl, sum(chance) AS chance FROM ol GROUP BY ALL), cu AS (SELECT *, sum(chance) OVER (PARTITION BY race ORDER BY pnl) - chance < {alpha} - 1e-12 AS worst FROM tl), ri AS (SELECT race, sum(pnl * chance) AS expected_return, -max(CASE WHEN worst THEN pnl END) AS var, -sum(CASE WHEN worst THEN pnl * chance END) / sum(CASE WHEN worst THEN chance END) AS cvar FROM cu GROUP BY race)"
+
+
+RISK = _risk(f"{BETS}, ol AS (SELECT race, sum(stake * payoff) AS pnl, any_value(chance) AS chance FROM py GROUP BY race, winner)")
 
 
 @query("R09_portfolio_risk", f"{RISK} SELECT race, round(expected_return, 9) AS expected_return, round(var, 9) AS var, round(cvar, 9) AS cvar FROM ri")
 def r09(spark, sf_dir):
-    out = O.portfolio_risk(O.payoffs(bets(spark, sf_dir), O.finishing_orders(samples(spark, sf_dir), 1)), ["race"])
-    return out.select("race", *[F.round(x, 9).alias(x) for x in ("expected_return", "var", "cvar")])
+    return X.portfolio_risk(chances(spark, sf_dir), bets(spark, sf_dir)).select("race", *[F.round(x, 9).alias(x) for x in ("expected_return", "var", "cvar")])
+
+
+#: Bets of one, two and three runners: each to win, the two next to each other by post in both orders, and each with the two before it.
+EXOTICS = f"""{SCORED}, xb AS (SELECT race, [post] AS sel, tax AS stake, odds FROM sc UNION ALL SELECT race, [post, post - 1], tax / 2, odds * 3 FROM sc WHERE post > 1
+ UNION ALL SELECT race, [post - 1, post], tax / 2, odds * 4 FROM sc WHERE post > 1 UNION ALL SELECT race, [post, post - 2, post - 1], tax / 4, odds * 9 FROM sc WHERE post > 2),
+ fo AS (SELECT a.race, list_filter([a.post, b.post, d.post], lambda x: x IS NOT NULL) AS o, a.p * coalesce(b.p / (1 - a.p), 1) * coalesce(d.p / (1 - (a.p + b.p)), 1) AS chance
+  FROM sc a LEFT JOIN sc b ON a.race = b.race AND b.post <> a.post LEFT JOIN sc d ON d.race = a.race AND d.post <> a.post AND d.post <> b.post),
+ ol AS (SELECT fo.race, o, any_value(chance) AS chance, sum(CASE WHEN o[1:len(sel)] = sel THEN stake * (odds - 1) ELSE -stake END) AS pnl FROM fo JOIN xb USING (race) GROUP BY fo.race, o)"""
+
+
+def exotic_bets(spark, sf_dir):
+    s = scored(spark, sf_dir).select("race", "post", "odds", c("tax").alias("stake"))
+    kinds = [(0, ["post"], 1, 1), (1, ["post", "post - 1"], 2, 3), (1, ["post - 1", "post"], 2, 4), (2, ["post", "post - 2", "post - 1"], 4, 9)]
+    parts = [s.where(c("post") > least).select("race", F.array(*[F.expr(x) for x in chosen]).alias("selection"), (c("stake") / part).alias("stake"), (c("odds") * times).alias("odds")) for least, chosen, part, times in kinds]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query("R09_portfolio_risk_exotics", f"{_risk(EXOTICS, 0.2)} SELECT race, round(expected_return, 9) AS expected_return, round(var, 9) AS var, round(cvar, 9) AS cvar FROM ri")
+def r09_exotics(spark, sf_dir):
+    """Bets of one to three runners of a race together, over all its finishing orders."""
+    return X.portfolio_risk(chances(spark, sf_dir), exotic_bets(spark, sf_dir), 0.2).select("race", *[F.round(x, 9).alias(x) for x in ("expected_return", "var", "cvar")])
+
+
+CAPPED = f"{RISK}, t AS (SELECT race, sum(tax) AS stake, count(*) AS n_bets FROM sc GROUP BY race), k AS (SELECT race, level, n_bets, least(1, stake) AS stake, expected_return / greatest(1, stake) AS er, cvar / greatest(1, stake) AS cv FROM ri JOIN t USING (race) CROSS JOIN (SELECT unnest([0.02e0, 0.05e0, 0.1e0, 0.15e0]) AS level))"
 
 
-@query("R11_pareto_frontier", f"{RISK}, t AS (SELECT race, sum(tax) AS stake, count(*) AS n_bets FROM run GROUP BY race) SELECT race, level, n_bets, round(least(1, stake) * CASE WHEN cvar / greatest(1, stake) > level THEN level / (cvar / greatest(1, stake)) ELSE 1 END, 5) AS stake, round(least(cvar / greatest(1, stake), level), 5) AS cvar FROM ri JOIN t USING (race) CROSS JOIN (SELECT unnest([0.05e0, 0.1e0, 0.2e0, 0.3e0]) AS level)")
+@query("R11_pareto_frontier", f"{CAPPED} SELECT race, level, n_bets, round(stake * CASE WHEN cv > level THEN level / cv ELSE 1 END, 9) AS stake, round(least(cv, level), 9) AS cvar FROM k")
 def r11(spark, sf_dir):
-    out = O.risk_capped_allocation(bets(spark, sf_dir), O.finishing_orders(samples(spark, sf_dir), 1), [0.05, 0.1, 0.2, 0.3])
-    return out.select("race", "level", "n_bets", F.round("stake", 5).alias("stake"), F.round("cvar", 5).alias("cvar"))
+    out = X.risk_capped_allocation(chances(spark, sf_dir), bets(spark, sf_dir), [0.02, 0.05, 0.1, 0.15])
+    return out.select("race", "level", "n_bets", F.round("stake", 9).alias("stake"), F.round("cvar", 9).alias("cvar"))
 
 
 @query("R13_settle_bets", f"{OUT} SELECT run.race, post, o[1] = post AS won, round(CASE WHEN o[1] = post THEN tax * odds ELSE 0 END - tax, 9) AS pnl FROM run JOIN ou USING (race)")
@@ -512,10 +544,10 @@ def r13(spark, sf_dir):
     return O.settle_bets(bets(spark, sf_dir), outcomes(spark, sf_dir)).select("race", "post", "won", F.round("pnl", 9).alias("pnl"))
 
 
-@query("R10_capped_allocation", f"{RISK}, t AS (SELECT race, sum(tax) AS stake, count(*) AS n_bets FROM run GROUP BY race), k AS (SELECT race, n_bets, least(1, stake) AS stake, expected_return / greatest(1, stake) AS er, cvar / greatest(1, stake) AS cv FROM ri JOIN t USING (race)) SELECT race, n_bets, round(stake * CASE WHEN cv > 0.15 THEN 0.15e0 / cv ELSE 1 END, 11) AS stake, round(er * CASE WHEN cv > 0.15 THEN 0.15e0 / cv ELSE 1 END, 11) AS expected_return FROM k")
+@query("R10_capped_allocation", f"{CAPPED} SELECT race, n_bets, round(stake * CASE WHEN cv > 0.15 THEN 0.15e0 / cv ELSE 1 END, 9) AS stake, round(er * CASE WHEN cv > 0.15 THEN 0.15e0 / cv ELSE 1 END, 9) AS expected_return FROM k WHERE level = 0.15")
 def r10(spark, sf_dir):
-    out = O.risk_capped_allocation(bets(spark, sf_dir), O.finishing_orders(samples(spark, sf_dir), 1), [0.15])
-    return out.select("race", "n_bets", F.round("stake", 11).alias("stake"), F.round("expected_return", 11).alias("expected_return"))
+    out = X.risk_capped_allocation(chances(spark, sf_dir), bets(spark, sf_dir), [0.15])
+    return out.select("race", "n_bets", F.round("stake", 9).alias("stake"), F.round("expected_return", 9).alias("expected_return"))
 
 
 @query("J07_attach_odds", f"{CAND}, b AS (SELECT race, post, p FROM ca) SELECT b.race, b.post, ca.bet_type, round(b.p, 6) AS p, round(ca.odds, 6) AS odds FROM b JOIN ca ON b.race = ca.race AND b.post = ca.post WHERE ca.odds > 2")

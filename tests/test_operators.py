@@ -1,6 +1,7 @@
 """Edge rules that the shared tables do not reach."""
 
 import datetime as dt
+import itertools
 
 import numpy as np
 import pandas as pd
@@ -9,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from heatwise.functions import pricing, text, units
-from heatwise.operators import cards, models, rows
+from heatwise.operators import cards, models, outcomes, rows
 from heatwise.operators import windows as W
 from heatwise.sources import files
 
@@ -93,11 +94,42 @@ def test_samples_follow_strengths(spark):
         assert all(abs(won[i] - w) < 0.04 for i, w in enumerate([0.4, 0.3, 0.2, 0.1]))
 
 
+def every_outcome(field, bets, alpha):
+    """Expected return, value at risk and tail mean over all whole finishing orders of a race."""
+    pnl = []
+    for order in itertools.permutations(field):
+        chance, left = 1.0, 1.0
+        for x in order:
+            chance, left = chance * (field[x] / left if left > 1e-12 else 0.0), left - field[x]
+        pnl.append((sum(s * (o - 1) if list(order[: len(sel)]) == sel else -s for sel, o, s in bets), chance))
+    worst, held = [], 0.0
+    for v, chance in sorted(pnl):
+        if held >= alpha - 1e-12 and v > worst[-1][0] + 1e-12:
+            break
+        worst.append((v, chance))
+        held += chance
+    return sum(v * c for v, c in pnl), -worst[-1][0], -sum(v * c for v, c in worst) / sum(c for _, c in worst)
+
+
+@pytest.mark.parametrize("alpha", [0.05, 0.3])
+def test_tail_over_all_orders(spark, alpha):
+    fields = {1: {0: 0.4, 1: 0.3, 2: 0.2, 3: 0.07, 4: 0.03}, 2: {0: 0.9, 7: 0.1}, 3: {5: 1.0}, 4: {0: 0.25, 1: 0.25, 2: 0.25, 3: 0.25}}
+    bets = {1: [([0], 3.5, 0.3), ([1], 4.5, 0.2), ([1, 0], 9.0, 0.1), ([0, 1, 2], 12.0, 0.05), ([0, 1, 2], 11.0, 0.05), ([4, 9], 5.0, 0.1)], 2: [([7], 15.0, 0.2), ([0, 7, 3], 4.0, 0.1)], 3: [([5], 1.2, 1.0)], 4: [([0], 4.4, 0.1), ([2, 1], 20.0, 0.1)]}
+    runners = spark.createDataFrame([(r, x, p) for r, f in fields.items() for x, p in f.items()] + [(9, 1, 1.0)], "race int, runner int, p double")
+    placed = spark.createDataFrame([(r, *b) for r, x in bets.items() for b in x] + [(8, [1], 2.0, 1.0)], "race int, selection array<int>, odds double, stake double")
+    tree = outcomes.outcome_tree(runners, placed).groupBy("race").agg(F.sum("chance").alias("c"), F.count("*").alias("n")).collect()
+    assert sorted(r["race"] for r in tree) == [1, 2, 3, 4] and all(abs(r["c"] - 1) < 1e-9 for r in tree)
+    got = {r["race"]: r[1:] for r in outcomes.portfolio_risk(runners, placed, alpha).collect()}
+    assert sorted(got) == [1, 2, 3, 4]
+    for race, values in got.items():
+        assert values == pytest.approx(every_outcome(fields[race], bets[race], alpha), abs=1e-9)
+    assert outcomes.portfolio_risk(runners, placed.limit(0)).count() == 0 == outcomes.portfolio_risk(runners.limit(0), placed).count()
+
+
 def test_cap_holds_and_return_grows_with_level(spark):
-    df = spark.createDataFrame([(1, i, v) for i, v in enumerate([4.0, 3.0, 2.0, 1.0])], "race int, r int, v double")
-    orders = rows.finishing_orders(rows.sample_orders(df, "race", "r", "v", 500), 1)
+    field = spark.createDataFrame([(1, i, v) for i, v in enumerate([0.4, 0.3, 0.2, 0.1])], "race int, runner int, p double")
     bets = spark.createDataFrame([(1, [0], 3.5, 0.3), (1, [1], 4.5, 0.3)], "race int, selection array<int>, odds double, stake double")
-    got = rows.risk_capped_allocation(bets, orders, [0.05, 0.2, 0.6]).orderBy("level").collect()
+    got = outcomes.risk_capped_allocation(field, bets, [0.05, 0.2, 0.6]).orderBy("level").collect()
     assert all(g["cvar"] <= g["level"] + 1e-9 for g in got)
     assert got[0]["expected_return"] <= got[1]["expected_return"] <= got[2]["expected_return"]
 
