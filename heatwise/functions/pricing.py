@@ -54,6 +54,16 @@ def inferred_pool_share(odds: Column, pool: Column, takeout: Column | float) ->
     return (1 - takeout) * pool / odds
 
 
+# Usual shares of a pool that the operator of the bets keeps.
+TAKEOUT = {"win": 0.17, "place": 0.17, "show": 0.17, "exacta": 0.21, "trifecta": 0.25, "superfecta": 0.25, "pick3": 0.25, "pick4": 0.25, "pick6": 0.25}
+
+
+def takeout_of(bet_type: Column, own: dict[str, float] | None = None, default: float = 0.17) -> Column:
+    """The share kept from the pool of a kind of bet; a track's own shares come first, an unknown kind has the default."""
+    shares = TAKEOUT | (own or {})
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in shares.items() for x in kv])[F.lower(bet_type)], F.lit(default))
+
+
 def post_bet_odds(odds: Column, stake: Column, pool: Column, takeout: Column | float) -> Column:
     """Odds after our stake has gone into the pool; without a pool or a stake they stay."""
     moved = (1 - takeout) * (pool + stake) / (inferred_pool_share(odds, pool, takeout) + stake)

@@ -35,10 +35,14 @@ def uk_distance_to_furlongs(c: Column) -> Column:
 
 
 def text_distance_to_furlongs(c: Column) -> Column:
-    """Card text: 1 1/16 Miles, 5 1/2f, About 6 Furlongs, 1 Mile 70 Yards."""
-    t = F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), "½", " 1/2"), r"^\s*about\s+", ""))
-    pattern = r"^(\d+)?(?:\s*(\d+)/(\d+))?\s*(m(?:iles?)?|f(?:urlongs?)?)(?:\s+(\d+)\s*y(?:ards?|ds?)?)?$"
-    unit = F.when(F.regexp_extract(t, pattern, 4).startswith("m"), 8.0).otherwise(1.0)
+    """Card text: 1 1/16 Miles, 5½f, 1¼ miles, About 6 Furlongs, 1 Mile 70 Yards, 880 yards."""
+    t = F.lower(c)
+    for sign, text in (("½", "1/2"), ("¼", "1/4"), ("¾", "3/4")):
+        t = F.replace(t, F.lit(sign), F.lit(f" {text} "))
+    t = F.trim(F.regexp_replace(F.regexp_replace(t, r"\s+", " "), r"^\s*about\s+", ""))
+    pattern = r"^(\d+)?(?:\s*(\d+)/(\d+))?\s*(m(?:iles?)?|f(?:urlongs?)?|y(?:ards?|ds?))(?:\s+(\d+)\s*y(?:ards?|ds?)?)?$"
+    kind = F.regexp_extract(t, pattern, 4)
+    unit = F.when(kind.startswith("m"), 8.0).when(kind.startswith("y"), 1 / 220).otherwise(1.0)
     whole = _zero(_group(t, pattern, 1)) + _zero(F.try_divide(_group(t, pattern, 2), _group(t, pattern, 3)))
     total = whole * unit + _zero(_group(t, pattern, 5)) / 220
     return F.round(F.when(t.rlike(pattern) & (total > 0), total), 4)
@@ -85,13 +89,14 @@ def first_rule(c: Column, rules: list[tuple[str, str]]) -> Column:
     return out.otherwise(F.nullif(t, F.lit("")))
 
 
-# Ground descriptions, most specific first.
-UK_GOING = [("standard", "fast"), ("heavy", "heavy"), ("good to soft", "good"), ("good to firm", "good"), ("soft", "soft"), ("firm", "fast"), ("good", "good")]
-HK_GOING = [("heavy", "heavy"), ("soft", "soft"), ("good to yielding", "good"), ("yielding", "yielding"), ("good", "good"), ("fast", "fast")]
+# Words of ground descriptions and what they come to. The first that stands in the text counts, so `Good, Firm in places` is good.
+UK_GOING = [("heavy", "heavy"), ("good", "good"), ("soft", "soft"), ("firm", "fast")]
+HK_GOING = [("heavy", "heavy"), ("soft", "soft"), ("good", "good"), ("yielding", "yielding"), ("fast", "fast")]
 
 
 def uk_going_to_condition(c: Column) -> Column:
-    return first_rule(c, UK_GOING)
+    """Ground of artificial tracks (standard, standard to slow) counts as fast."""
+    return F.when(F.lower(F.trim(c)).startswith("standard"), "fast").otherwise(first_rule(c, UK_GOING))
 
 
 def hk_going_to_condition(c: Column) -> Column:

@@ -84,6 +84,31 @@ def quality_score(df: DataFrame, hard: dict[str, Column], soft: dict[str, tuple[
     return df.withColumns({"quality": F.when(first.isNotNull(), 0.0).otherwise(F.round(F.greatest(F.lit(0.0), 1 - lost), 4)), "issues": F.when(first.isNotNull(), F.array(first)).otherwise(failed)})
 
 
+# The columns a result cannot do without, in order of precedence; what the absence of others costs; and ranges: column, least, most, cost.
+NEEDED = {"race_date": "race_race_date", "track_code": "race_track_code", "horse_name": "horse_name_normalized", "finish_position": "finish_position", "race_number": "race_race_number", "distance_furlongs": "race_distance_furlongs", "surface": "race_surface", "jurisdiction": "race_jurisdiction"}
+WANTED = {"odds": ("odds_final", 0.10), "speed figure": ("speed_figure", 0.10), "jockey": ("jockey_name_normalized", 0.05), "weight": ("weight_lbs", 0.05), "final time": ("fraction_finish_sec", 0.10)}
+RANGES = {"finish_position": ("finish_position", 1, 30, 0.15), "odds": ("odds_final", 1, None, 0.15), "distance": ("race_distance_furlongs", 2, 20, 0.20), "weight": ("weight_lbs", 95, 145, 0.10)}
+
+
+def result_quality(df: DataFrame) -> DataFrame:
+    """quality_score() by the default rules for flat results. Columns may be of any type or absent, which counts as missing; a value that is no number is out of its range. A finish position counts by its whole part."""
+
+    def text(name: str) -> Column:
+        c = F.col(name).cast("string") if name in df.columns else F.lit(None).cast("string")
+        return F.when((F.trim(c) != "") & (F.lower(F.trim(c)) != "nan"), F.trim(c))
+
+    def outside(name: str, least: float, most: float | None) -> Column:
+        v = units.number(text(name))
+        v = F.when(v >= 0, F.floor(v)).otherwise(F.ceil(v)) if name == "finish_position" else v
+        inside = (v >= least) if most is None else v.between(least, most)
+        return text(name).isNotNull() & ~F.coalesce(inside, F.lit(False))
+
+    hard = {f"missing {what}": text(name).isNull() for what, name in NEEDED.items()}
+    soft = {f"missing {what}": (text(name).isNull(), cost) for what, (name, cost) in WANTED.items()}
+    soft |= {f"implausible {what}": (outside(name, least, most), cost) for what, (name, least, most, cost) in RANGES.items()}
+    return quality_score(df, hard, soft)
+
+
 def accept_reject(df: DataFrame, score: str = "quality", least: float = 0.6) -> tuple[DataFrame, DataFrame]:
     ok = F.coalesce(F.col(score) >= least, F.lit(False))
     return df.where(ok), df.where(~ok)
@@ -319,13 +344,13 @@ def pnl_series(settled: DataFrame, at: str, since: Column | None = None) -> Data
     return (settled if since is None else settled.where(F.col(at) >= since)).orderBy(at, "race", "selection")
 
 
-def ev_candidates(probs: DataFrame, odds: DataFrame, min_edge: float = 0.05, k: float = 0.25, cap: float = 0.03, takeout: float = 0.17) -> DataFrame:
-    """Bets worth placing: edge p - 1/odds of at least min_edge, and with a pool still so at the odds after our stake. odds may have `pool`."""
+def ev_candidates(probs: DataFrame, odds: DataFrame, min_edge: float = 0.05, k: float = 0.25, cap: float = 0.03, takeout: dict[str, float] | None = None) -> DataFrame:
+    """Bets worth placing: edge p - 1/odds of at least min_edge, and with a pool still so at the odds after our stake. odds may have `pool`; what the pool keeps goes by bet_type, where takeout has a track's own shares."""
     both = attach_odds(probs, odds)
     pool = F.col("pool") if "pool" in both.columns else F.lit(None).cast("double")
     both = both.withColumn("edge", F.col("p") - 1 / F.col("odds")).where((F.col("odds") > 1) & (F.col("edge") >= min_edge))
     both = both.withColumn("stake", pricing.bet_cap(pricing.kelly_fraction(F.col("edge"), F.col("odds"), k), cap))
-    both = both.withColumns({"impact": pool.isNotNull(), "odds": pricing.post_bet_odds(F.col("odds"), F.col("stake") * pool, pool, takeout)})
+    both = both.withColumns({"impact": pool.isNotNull(), "odds": pricing.post_bet_odds(F.col("odds"), F.col("stake") * pool, pool, pricing.takeout_of(F.col("bet_type"), takeout))})
     both = both.withColumn("edge", F.col("p") - 1 / F.col("odds")).where(F.col("edge") >= min_edge)
     return both.withColumns({"ev": pricing.expected_value(F.col("p"), F.col("odds")), "stake": pricing.bet_cap(pricing.kelly_fraction(F.col("edge"), F.col("odds"), k), cap)})
 

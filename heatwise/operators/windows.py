@@ -149,8 +149,10 @@ def recent_pace_summary(beaten_q1: Column, beaten_q2: Column, final: Column, w:
     return {"mean_margin": F.avg(beaten_q1).over(p), "early_speed": -F.avg(beaten_q1).over(p), "late_kick": F.avg(beaten_q2 - final).over(p), "n_rows": F.count("*").over(p)}
 
 
-def recent_speed_summary(c: Column, w: WindowSpec, n: int = 6) -> dict[str, Column]:
-    return {"ewm": ewm_prior(c, w), "best": roll_max_prior(c, w, n), "last": lag1(c, w), "delta": delta_prior(c, w), "n_figures": F.count(c).over(prior(w))}
+def with_recent_speed(df: DataFrame, c: Column, w: WindowSpec, n: int = 6) -> DataFrame:
+    """df with ewm (over the whole history, see with_ewm_prior), best of the last n rows, last, delta and n_figures of earlier rows."""
+    out = with_ewm_prior(df, "ewm", c, w)
+    return out.withColumns({"best": roll_max_prior(c, w, n), "last": lag1(c, w), "delta": delta_prior(c, w), "n_figures": F.count(c).over(prior(w))})
 
 
 def modal_value(values: Column, unknown: str = "unknown") -> Column:

@@ -13,12 +13,11 @@ KEY = ["race", "post"]
 
 def _ready() -> None:
     """Windows and shared columns: they need a session, so they are made when the first query runs."""
-    global H, R, PACE, RECENT, SPEED, CLASS, CONT, SEQ
+    global H, R, PACE, RECENT, CLASS, CONT, SEQ
     H = W.history("entity", ["day", "race", "post"])
     R = W.race("race")
     PACE = W.pace_per_row(c("q"), c("q") + c("tax"), c("disc"), c("tax"), c("disc"))
     RECENT = W.recent_pace_summary(c("tax"), c("disc"), c("tax"), H)
-    SPEED = W.recent_speed_summary(c("figure"), H)
     CLASS = W.class_trajectory(c("claim"), c("purse"), c("kind"), H)
     CONT = W.continuity(c("jockey"), c("win"), H)
     SEQ = W.prior_sequence({"figure": c("figure"), "finish": c("finish"), "gap": c("odds")}, H)
@@ -39,6 +38,10 @@ def weighted(df: DataFrame) -> DataFrame:
     return W.with_ewm_prior(df, "weighted", F.col("figure"), H)
 
 
+def recent_speed(df: DataFrame) -> DataFrame:
+    return W.with_recent_speed(df, F.col("figure"), H)
+
+
 c = F.col
 _over("W01_field_size", lambda: {"field_size": W.field_size(F.when(c("race") % 2 == 0, 5), R).cast("long")}, "coalesce(CASE WHEN race % 2 = 0 THEN 5 END, count(*) OVER (PARTITION BY race)) AS field_size")
 _over("W02_labels", lambda: {"y": W.win_label(c("finish")), "finish_pct": F.round(W.finish_pct(c("finish"), F.count("*").over(R)), 6)}, "CASE WHEN finish = 1 THEN 1 ELSE 0 END AS y, round(finish / count(*) OVER (PARTITION BY race), 6) AS finish_pct")
@@ -62,9 +65,9 @@ _over("W13_pace_pressure", lambda: {"pressure": F.round(W.pace_pressure(c("q"),
 _over("W14_pace_per_row", lambda: {k: F.round(v, 6) for k, v in PACE.items()}, "CASE WHEN disc = 0 THEN NULL ELSE round(q / (disc * 0.25), 6) END AS first_call_pace, round((q + tax) - q, 6) AS second_call, round(disc - tax, 6) AS beaten_change")
 _over("W15_pressure_index", lambda: {"n_front": W.pace_pressure_index(c("tax") * 20, R).cast("long")}, "CAST(sum(CASE WHEN tax * 20 <= 1.5 THEN 1 ELSE 0 END) OVER r AS BIGINT) AS n_front")
 _over("W16_recent_pace", lambda: {k: F.round(v, 6) if k != "n_rows" else v for k, v in RECENT.items()}, "round(avg(tax) OVER p5, 6) AS mean_margin, round(-avg(tax) OVER p5, 6) AS early_speed, round(avg(disc - tax) OVER p5, 6) AS late_kick, count(*) OVER p5 AS n_rows")
-_over("W17_recent_speed", lambda: {k: F.round("weighted", 6) if k == "ewm" else v for k, v in SPEED.items()}, f"""round(list_reduce(list_prepend(0e0, list_transform(list(figure) OVER p, lambda x: coalesce(x, 0e0))), lambda a, x: a * 0.6 + x)
+_over("W17_recent_speed", lambda: {"ewm": F.round("ewm", 6)} | {k: c(k) for k in ("best", "last", "delta", "n_figures")}, f"""round(list_reduce(list_prepend(0e0, list_transform(list(figure) OVER p, lambda x: coalesce(x, 0e0))), lambda a, x: a * 0.6 + x)
  / nullif(list_reduce(list_prepend(0e0, list_transform(list(figure) OVER p, lambda x: CASE WHEN x IS NULL THEN 0e0 ELSE 1e0 END)), lambda a, x: a * 0.6 + x), 0), 6) AS ewm,
- max(figure) OVER (HISTORY ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS best, lag(figure) OVER ({HIST}) AS last, lag(figure) OVER ({HIST}) - lag(figure, 2) OVER ({HIST}) AS delta, count(figure) OVER (HISTORY ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n_figures""", prepare=weighted)
+ max(figure) OVER (HISTORY ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS best, lag(figure) OVER ({HIST}) AS last, lag(figure) OVER ({HIST}) - lag(figure, 2) OVER ({HIST}) AS delta, count(figure) OVER (HISTORY ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n_figures""", prepare=recent_speed)
 _over(
     "W18_class_trajectory", lambda: {"class_change": F.round(CLASS["class_change"], 4), "dropping": CLASS["dropping"], "type_change": CLASS["type_change"]},
     """round(CASE WHEN claim IS NOT NULL AND avg(claim) OVER p4 IS NOT NULL THEN claim - avg(claim) OVER p4 ELSE purse - avg(purse) OVER p4 END, 4) AS class_change,

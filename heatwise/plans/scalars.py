@@ -40,7 +40,7 @@ def s(x) -> F.Column:
 
 _lines("F01_metres_to_furlongs", lambda: {"f": U.metres_to_furlongs(s(q * 100)), "bad": U.metres_to_furlongs(F.lit("x"))}, "round(q * 100 / 201.168, 4) AS f, CAST(NULL AS DOUBLE) AS bad")
 _lines("F02_uk_distance", lambda: {"f": U.uk_distance_to_furlongs(F.concat(s(k2), F.lit("m"), s(q % 8), F.lit("f "), s(q), F.lit("y"))), "n": U.uk_distance_to_furlongs(s(q)), "z": U.uk_distance_to_furlongs(F.lit("0f"))}, "round(k2 * 8 + q % 8 + q / 220, 4) AS f, CAST(q AS DOUBLE) AS n, CAST(NULL AS DOUBLE) AS z")
-_lines("F03_text_distance", lambda: {"a": U.text_distance_to_furlongs(F.concat(s(k2), F.lit(" 1/"), s(q), F.lit(" Miles"))), "b": U.text_distance_to_furlongs(F.concat(F.lit("About "), s(q), F.lit("½f"))), "y": U.text_distance_to_furlongs(F.concat(F.lit("1 Mile "), s(q), F.lit(" Yards")))}, "round((k2 + 1.0 / q) * 8, 4) AS a, q + 0.5e0 AS b, round(8 + q / 220, 4) AS y")
+_lines("F03_text_distance", lambda: {"a": U.text_distance_to_furlongs(F.concat(s(k2), F.lit(" 1/"), s(q), F.lit(" Miles"))), "b": U.text_distance_to_furlongs(F.concat(F.lit("About "), s(q), F.lit("½f"))), "y": U.text_distance_to_furlongs(F.concat(F.lit("1 Mile "), s(q), F.lit(" Yards"))), "w": U.text_distance_to_furlongs(F.concat(s(q), F.lit("¾ miles"))), "x": U.text_distance_to_furlongs(F.concat(s(q * 11), F.lit(" yards")))}, "round((q + 0.75e0) * 8, 4) AS w, round(q / 20, 4) AS x, round((k2 + 1.0 / q) * 8, 4) AS a, q + 0.5e0 AS b, round(8 + q / 220, 4) AS y")
 _lines("F04_kg_to_lbs", lambda: {"lbs": U.kg_to_lbs(s(q - 10))}, "CASE WHEN q > 10 THEN round((q - 10) / 0.45359237e0, 2) END AS lbs")
 _lines("F05_stones_to_lbs", lambda: {"lbs": U.stones_to_lbs(F.concat(s(k2), F.lit("-"), s(q % 14)))}, "CAST(k2 * 14 + q % 14 AS DOUBLE) AS lbs")
 _lines("F06_odds_to_decimal", lambda: {"o": U.odds_to_decimal(F.concat(s(q), F.lit("/"), s(k2 - 1))), "e": U.odds_to_decimal(F.lit(" evens ")), "n": U.odds_to_decimal(s(q - 5))}, "CASE WHEN k2 > 1 THEN round(q / (k2 - 1) + 1, 4) END AS o, 2e0 AS e, CASE WHEN q > 5 THEN CAST(q - 5 AS DOUBLE) END AS n")
@@ -48,8 +48,19 @@ _lines("F07_card_odds", lambda: {"n": U.card_odds_to_decimal(s(q * 30)), "o": U.
 _lines("F08_sp_to_decimal", lambda: {"o": U.sp_to_decimal(F.concat(s(q), F.lit("/"), s(k2), F.lit("F"))), "e": U.sp_to_decimal(F.lit("EvensF"))}, "round(q / k2 + 1, 4) AS o, 2e0 AS e")
 GOING = "CASE WHEN q % 3 = 0 THEN 'Standard to Slow' WHEN q % 3 = 1 THEN 'Good to Firm' ELSE 'Soft' END"
 _lines("F09_going_to_surface", lambda: {"surface": U.going_to_surface(going, k2 == 1)}, "CASE WHEN k2 = 1 OR q % 3 = 0 THEN 'synthetic' ELSE 'turf' END AS surface")
-_lines("F10_uk_going", lambda: {"condition": U.uk_going_to_condition(going)}, "CASE WHEN q % 3 = 0 THEN 'fast' WHEN q % 3 = 1 THEN 'good' ELSE 'soft' END AS condition")
-_lines("F11_hk_going", lambda: {"condition": U.hk_going_to_condition(F.when(k2 == 1, "WET FAST").when(k2 == 2, "Good to Yielding").otherwise("odd"))}, "CASE WHEN k2 = 1 THEN 'fast' WHEN k2 = 2 THEN 'good' ELSE 'odd' END AS condition")
+# All pairs of ground words, with three ways to join them.
+GROUNDS = ["Firm", "Good", "Soft", "Heavy", "Yielding", "Standard", "Fast", "Slow"]
+JOINS = [" to ", ", ", " (in places) "]
+
+
+def _ground() -> F.Column:
+    pick = lambda of, at: F.element_at(F.array(*map(F.lit, of)), (at + 1).cast("int"))
+    return F.concat(pick(GROUNDS, c("k3") % 8), pick(JOINS, q % 3), pick(GROUNDS, c("k4") % 8))
+
+
+GROUND = f"lower({GROUNDS}[(k3 % 8 + 1)::INT] || {JOINS}[(q % 3 + 1)::INT] || {GROUNDS}[(k4 % 8 + 1)::INT])"
+_lines("F10_uk_going", lambda: {"condition": U.uk_going_to_condition(_ground())}, f"CASE WHEN starts_with({GROUND}, 'standard') THEN 'fast' WHEN contains({GROUND}, 'heavy') THEN 'heavy' WHEN contains({GROUND}, 'soft') AND NOT contains({GROUND}, 'good') THEN 'soft' WHEN contains({GROUND}, 'good') AND (contains({GROUND}, 'soft') OR contains({GROUND}, 'firm')) THEN 'good' WHEN contains({GROUND}, 'firm') THEN 'fast' WHEN contains({GROUND}, 'good') THEN 'good' ELSE {GROUND} END AS condition")
+_lines("F11_hk_going", lambda: {"condition": U.hk_going_to_condition(_ground())}, f"CASE WHEN contains({GROUND}, 'heavy') THEN 'heavy' WHEN contains({GROUND}, 'soft') THEN 'soft' WHEN contains({GROUND}, 'yielding') THEN CASE WHEN contains({GROUND}, 'good') THEN 'good' ELSE 'yielding' END WHEN contains({GROUND}, 'good') THEN 'good' WHEN contains({GROUND}, 'fast') THEN 'fast' ELSE {GROUND} END AS condition")
 _lines("F13_time_to_seconds", lambda: {"t": U.time_to_seconds(F.concat(s(k2), F.lit(":"), F.lpad(s(q), 2, "0"), F.lit(".25"))), "u": U.time_to_seconds(F.concat(F.lit(":"), s(q), F.lit(".5"))), "n": U.time_to_seconds(s(q - 3))}, "k2 * 60 + q + 0.25e0 AS t, q + 0.5e0 AS u, CASE WHEN q > 3 THEN CAST(q - 3 AS DOUBLE) END AS n")
 _lines("F14_clock_to_minutes", lambda: {"m": U.clock_to_minutes(F.concat(s(k2 * 5), F.lit(":"), F.lpad(s(q), 2, "0")))}, "CASE WHEN k2 * 5 < 24 AND q < 60 THEN CAST(k2 * 300 + q AS INTEGER) END AS m")
 _lines("F15_first_number", lambda: {"i": U.first_int(F.concat(F.lit("no "), s(q), F.lit(" of 9"))), "d": U.first_number(F.concat(F.lit("up -"), s(q), F.lit(".5 x"))), "m": U.money(F.concat(F.lit("$1,"), F.lpad(s(q), 3, "0")))}, "CAST(q AS INTEGER) AS i, -(q + 0.5e0) AS d, CAST(1000 + q AS DOUBLE) AS m")
@@ -62,7 +73,7 @@ _lines("F26_validate_ranges", lambda: {"broken": P.validate_ranges({"few": q >=
 _lines("F27_fractions", lambda: {"a": F.round(ratios[0], 6), "b": F.round(ratios[1], 8), "early": P.early_speed(q), "late": P.late_kick(q, k2)}, "CASE WHEN k2 > 1 THEN round(q / (k2 - 1), 6) END AS a, round((k2 - 1 - q) / price, 8) AS b, -q AS early, q - k2 AS late")
 _lines("F28_expected_value", lambda: {"ev": F.round(P.expected_value(q / 50, k2 + 1.5), 6)}, "round(q / 50 * (k2 + 1.5e0) - 1, 6) AS ev")
 _lines("F29_kelly", lambda: {"edge": F.round(P.kelly_fraction(q / 50, odds), 6), "prob": F.round(P.kelly_fraction(q / 50, odds, basis="prob"), 6), "capped": F.round(P.bet_cap(P.kelly_fraction(q / 50, odds)), 6)}, "round(greatest(0, (q / 50 * (k2 + 1.5e0) - (1 - q / 50)) / (k2 + 1.5e0)) * 0.25, 6) AS edge, round(greatest(0, (q / 50 * (k2 + 0.5e0) - (1 - q / 50)) / (k2 + 0.5e0)) * 0.25, 6) AS prob, round(least(greatest(0, (q / 50 * (k2 + 1.5e0) - (1 - q / 50)) / (k2 + 1.5e0)) * 0.25, 0.03), 6) AS capped")
-_lines("F30_post_bet_odds", lambda: {"after": F.round(P.post_bet_odds(odds, (q - 1).cast("double"), pool, 0.17), 6), "backed": F.round(P.inferred_pool_share(odds, pool, 0.17), 4)}, "round(CASE WHEN k2 = 1 OR q <= 1 THEN k2 + 1.5e0 ELSE 0.83e0 * (price + q - 1) / (0.83e0 * price / (k2 + 1.5e0) + q - 1) END, 6) AS after, CASE WHEN k2 <> 1 THEN round(0.83e0 * price / (k2 + 1.5e0), 4) END AS backed")
+_lines("F30_post_bet_odds", lambda: {"after": F.round(P.post_bet_odds(odds, (q - 1).cast("double"), pool, 0.17), 6), "backed": F.round(P.inferred_pool_share(odds, pool, 0.17), 4), "takeout": P.takeout_of(F.when(k2 == 1, "Trifecta").when(k2 == 2, "exacta").when(k2 == 3, "odd").otherwise("place"))}, "CASE k2 WHEN 1 THEN 0.25e0 WHEN 2 THEN 0.21e0 ELSE 0.17e0 END AS takeout, round(CASE WHEN k2 = 1 OR q <= 1 THEN k2 + 1.5e0 ELSE 0.83e0 * (price + q - 1) / (0.83e0 * price / (k2 + 1.5e0) + q - 1) END, 6) AS after, CASE WHEN k2 <> 1 THEN round(0.83e0 * price / (k2 + 1.5e0), 4) END AS backed")
 _lines("F31_logit_loss", lambda: {"logit": F.round(P.clip_logit(q / 50), 5), "loss": F.round(P.log_loss_term(q / 50, k2 % 2), 6)}, "round(ln(greatest(1e-9, least(1 - 1e-9, q / 50)) / (1 - greatest(1e-9, least(1 - 1e-9, q / 50)))), 5) AS logit, round(-(k2 % 2 * ln(greatest(1e-7, least(1 - 1e-7, q / 50))) + (1 - k2 % 2) * ln(1 - greatest(1e-7, least(1 - 1e-7, q / 50)))), 6) AS loss")
 _lines("F32_bernoulli_z", lambda: {"z": F.round(P.bernoulli_z(q / 50, k2 % 2), 6)}, "round(greatest(-5, least(5, (k2 % 2 - q / 50) / sqrt(greatest(q / 50 * (1 - q / 50), 1e-4)))), 6) AS z")
 _lines("F33_pnl_z", lambda: {"z": F.round(P.pnl_z(F.lit(0.1), q - 20.0, k2.cast("double"), F.when(k2 != 2, q / 60), odds), 6)}, "round(greatest(-5, least(5, (q - 20 - 0.1e0 * k2) / greatest(CASE WHEN k2 <> 2 THEN k2 * sqrt(greatest(q / 60 * (1 - q / 60), 1e-4)) * (k2 + 1.5e0) ELSE k2 END, 1e-4))), 6) AS z")
@@ -84,10 +95,10 @@ def f18(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.normalize_text(c("text")).alias("clean"))
 
 
-@query("F19_clean_name", r"SELECT c_custkey, trim(regexp_replace('  ' || c_name || '   x **', '\s+', ' ', 'g').regexp_replace('\*+$', '')) AS name, 'Maximum Security' AS caps, trim(regexp_replace(c_name || '  a ', '\s+', ' ', 'g')) AS spaced FROM customer")
+@query("F19_clean_name", r"SELECT c_custkey, trim(regexp_replace('  ' || c_name || '   x **', '\s+', ' ', 'g').regexp_replace('\*+$', '')) AS name, 'O''Brien-Smith''S Boy' AS caps, trim(regexp_replace(c_name || '  a ', '\s+', ' ', 'g')) AS spaced FROM customer")
 def f19(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = c("c_name")
-    return table(spark, sf_dir, "customer").select("c_custkey", T.clean_name(F.concat(F.lit("  "), n, F.lit("   x **"))).alias("name"), T.clean_name(F.lit("MAXIMUM  SECURITY*")).alias("caps"), T.collapse_ws(F.concat(n, F.lit("  a "))).alias("spaced"))
+    return table(spark, sf_dir, "customer").select("c_custkey", T.clean_name(F.concat(F.lit("  "), n, F.lit("   x **"))).alias("name"), T.clean_name(F.lit("O'BRIEN-SMITH'S  BOY*")).alias("caps"), T.collapse_ws(F.concat(n, F.lit("  a "))).alias("spaced"))
 
 
 @query("F20_race_type", "SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'maiden_claiming' WHEN '2-HIGH' THEN 'graded_stakes' WHEN '3-MEDIUM' THEN 'claiming' ELSE 'unknown' END AS kind FROM orders")

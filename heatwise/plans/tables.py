@@ -229,6 +229,25 @@ def p05(spark, sf_dir):
     return quality(spark, sf_dir).select("race", "post", "quality", F.when(c("quality") == 0, c("issues")[0]).alias("hard"))
 
 
+RESULT = {
+    "race_race_date": ("day", "day"), "race_track_code": ("CASE WHEN post = 7 THEN ' ' ELSE track END",) * 2, "horse_name_normalized": ("CAST(entity AS STRING)", "CAST(entity AS VARCHAR)"), "finish_position": ("finish * 5",) * 2, "race_race_number": ("race % 12",) * 2,
+    "race_distance_furlongs": ("CASE WHEN q > 2 THEN q / 2 END",) * 2, "race_surface": ("kind",) * 2, "race_jurisdiction": ("style",) * 2, "odds_final": ("CASE WHEN q % 11 <> 0 THEN odds - 1 END",) * 2, "speed_figure": ("figure",) * 2, "jockey_name_normalized": ("CASE WHEN jockey % 4 = 0 THEN '' ELSE 'j' END",) * 2,
+    "weight_lbs": ("CASE WHEN q % 13 <> 0 THEN 90 + q * 1.5 END",) * 2, "fraction_finish_sec": ("claim",) * 2,
+}
+
+
+@query("P05_result_quality", f"""{RUN}, x AS (SELECT race, post, {", ".join(f"{b} AS {k}" for k, (_, b) in RESULT.items())} FROM run),
+ m AS (SELECT race, post, CASE WHEN trim(race_track_code) = '' THEN 'missing track_code' WHEN race_distance_furlongs IS NULL THEN 'missing distance_furlongs' END AS hard,
+  list_filter([CASE WHEN odds_final IS NULL THEN 'missing odds' END, CASE WHEN speed_figure IS NULL THEN 'missing speed figure' END, CASE WHEN jockey_name_normalized = '' THEN 'missing jockey' END, CASE WHEN weight_lbs IS NULL THEN 'missing weight' END, CASE WHEN fraction_finish_sec IS NULL THEN 'missing final time' END,
+   CASE WHEN finish_position > 30 THEN 'implausible finish_position' END, CASE WHEN odds_final < 1 THEN 'implausible odds' END, CASE WHEN race_distance_furlongs NOT BETWEEN 2 AND 20 THEN 'implausible distance' END, CASE WHEN weight_lbs NOT BETWEEN 95 AND 145 THEN 'implausible weight' END], lambda i: i IS NOT NULL) AS soft FROM x)
+ SELECT race, post, CASE WHEN hard IS NOT NULL THEN 0 ELSE round(greatest(0, 1 - list_sum(list_transform(list_append(soft, ''), lambda i: CASE i WHEN '' THEN 0 WHEN 'missing odds' THEN 0.1e0 WHEN 'missing speed figure' THEN 0.1e0 WHEN 'missing jockey' THEN 0.05e0 WHEN 'missing weight' THEN 0.05e0 WHEN 'missing final time' THEN 0.1e0 WHEN 'implausible finish_position' THEN 0.15e0 WHEN 'implausible odds' THEN 0.15e0 WHEN 'implausible distance' THEN 0.2e0 ELSE 0.1e0 END))), 4) END AS quality,
+  CASE WHEN hard IS NOT NULL THEN hard ELSE array_to_string(soft, '; ') END AS issues FROM m""")
+def p05_result(spark, sf_dir):
+    """Results scored by the default rules: eight needed columns, five wanted ones, four ranges."""
+    rows = runners(spark, sf_dir).select("race", "post", *[F.expr(a).alias(k) for k, (a, _) in RESULT.items()])
+    return O.result_quality(rows).select("race", "post", "quality", F.array_join("issues", "; ").alias("issues"))
+
+
 @query("P06_accept_reject", f"{QUALITY} SELECT race, post, quality FROM qq WHERE quality >= 0.8")
 def p06(spark, sf_dir):
     return O.accept_reject(quality(spark, sf_dir), least=0.8)[0].select("race", "post", "quality")
