@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import pricing
 from ..sources.files import stored
 from . import aggregates, rows, windows
 
@@ -75,41 +76,58 @@ def fit_stacker(train: DataFrame, val: DataFrame, scores: Sequence[str], meta: S
 class MarketPrior:
     """Implied chances, normalised in the race, mapped to win rates by isotonic regression."""
 
-    def __init__(self, fit_on: DataFrame, odds: str, race: str, label: str):
-        self.implied = windows.normalise_in_race(F.when(F.col(odds) > 0, 1 / F.col(odds)), windows.race(race))
-        train = fit_on.withColumn("_m", self.implied).where("_m IS NOT NULL").select(F.col("_m").alias("_f"), F.col(label).cast("double").alias("_y"))
-        # Equal scores are pooled before the fit, which runs over distinct scores.
-        train = train.groupBy(F.round("_f", 4).alias("_f")).agg(F.avg("_y").alias("_y"), F.count("*").cast("double").alias("_w"))
-        self.model = IsotonicRegression(featuresCol="_f", labelCol="_y", weightCol="_w", predictionCol="market").fit(train)
+    def __init__(self, model: IsotonicRegressionModel, odds: str, race: str):
+        self.model, self.odds, self.race = model, odds, race
+
+    def implied(self) -> Column:
+        return windows.normalise_in_race(F.when(F.col(self.odds) > 0, 1 / F.col(self.odds)), windows.race(self.race))
+
+    @classmethod
+    def fit(cls, fit_on: DataFrame, odds: str, race: str, label: str) -> MarketPrior:
+        out = cls(None, odds, race)
+        train = fit_on.withColumn("_m", out.implied()).where("_m IS NOT NULL").select(F.col("_m").alias("_f"), F.col(label).cast("double").alias("_y"))
+        # Equal scores are pooled, which changes no fit; MLlib pools violators in ranges, and then the blocks that are left.
+        train = train.groupBy("_f").agg(F.avg("_y").alias("_y"), F.count("*").cast("double").alias("_w"))
+        out.model = IsotonicRegression(featuresCol="_f", labelCol="_y", weightCol="_w", predictionCol="market").fit(train)
+        return out
 
     def __call__(self, df: DataFrame) -> DataFrame:
         """df with `market`; without odds NULL."""
-        scored = self.model.transform(df.withColumn("_m", self.implied).withColumn("_f", F.coalesce("_m", F.lit(0.0))))
+        scored = self.model.transform(df.withColumn("_m", self.implied()).withColumn("_f", F.coalesce("_m", F.lit(0.0))))
         return scored.withColumn("market", F.when(F.col("_m").isNotNull(), F.col("market"))).drop("_m", "_f")
 
 
 def market_prior(df: DataFrame, fit_on: DataFrame, odds: str, race: str, label: str) -> DataFrame:
-    return MarketPrior(fit_on, odds, race, label)(df)
+    return MarketPrior.fit(fit_on, odds, race, label)(df)
+
 
+class Calibration:
+    """Adds `calibrated` to a table with the score p: by a logistic curve through its log-odds (platt), by an isotonic one, or as it is (identity)."""
 
-#: Adds `calibrated` to a table with the score it was fitted for.
-Calibration = Callable[[DataFrame], DataFrame]
+    def __init__(self, method: str, p: str, curve: tuple[float, float] | None = None, model: IsotonicRegressionModel | None = None):
+        self.method, self.p, self.curve, self.model = method, p, curve, model
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        if self.method == "isotonic":
+            return self.model.transform(df.withColumn("_p", F.col(self.p))).drop("_p")
+        if self.method == "platt":
+            a, b = self.curve
+            return df.withColumn("calibrated", 1 / (1 + F.exp(-(a * pricing.clip_logit(F.col(self.p)) + b))))
+        return df.withColumn("calibrated", F.col(self.p))
 
 
 def calibrate(fit_on: DataFrame, p: str, label: str, method: str) -> Calibration:
-    """A function that adds `calibrated` to a table with p: platt, isotonic or identity."""
+    """Fit platt or isotonic on the different scores, each with its rate and weight; identity needs no fit."""
     if method == "identity":
-        return lambda df: df.withColumn("calibrated", F.col(p))
-    train = fit_on.groupBy(F.round(p, 5).alias("_p")).agg(F.avg(label).alias("_m"), F.count("*").alias("_n"))
+        return Calibration(method, p)
+    train = fit_on.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.avg(label).alias("_m"), F.count("*").cast("double").alias("_w"))
     if method == "isotonic":
-        model = IsotonicRegression(featuresCol="_p", labelCol="_m", weightCol="_w", predictionCol="calibrated").fit(train.withColumn("_w", F.col("_n").cast("double")))
-        return lambda df: model.transform(df.withColumn("_p", F.col(p))).drop("_p")
-    logit = lambda c: F.log(F.greatest(F.least(c, F.lit(1 - 1e-9)), F.lit(1e-9)) / (1 - F.greatest(F.least(c, F.lit(1 - 1e-9)), F.lit(1e-9))))
-    part = train.select(logit(F.col("_p")).alias("_l"), F.explode(F.array(F.struct(F.lit(1.0).alias("y"), (F.col("_m") * F.col("_n")).alias("w")), F.struct(F.lit(0.0).alias("y"), ((1 - F.col("_m")) * F.col("_n")).alias("w")))).alias("s")).select("_l", "s.y", "s.w").where("w > 0")
+        return Calibration(method, p, model=IsotonicRegression(featuresCol="_p", labelCol="_m", weightCol="_w", predictionCol="calibrated").fit(train))
+    both = F.array(F.struct(F.lit(1.0).alias("y"), (F.col("_m") * F.col("_w")).alias("w")), F.struct(F.lit(0.0).alias("y"), ((1 - F.col("_m")) * F.col("_w")).alias("w")))
+    part = train.select(pricing.clip_logit(F.col("_p")).alias("_l"), F.explode(both).alias("s")).select("_l", "s.y", "s.w").where("w > 0")
     x = VectorAssembler(inputCols=["_l"], outputCol="_x")
     model = LogisticRegression(featuresCol="_x", labelCol="y", weightCol="w", regParam=0.0).fit(x.transform(part))
-    a, b = float(model.coefficients[0]), float(model.intercept)
-    return lambda df: df.withColumn("calibrated", 1 / (1 + F.exp(-(a * logit(F.col(p)) + b))))
+    return Calibration(method, p, (float(model.coefficients[0]), float(model.intercept)))
 
 
 def auto_select(fit_on: DataFrame, holdout: DataFrame, p: str, label: str) -> str:
@@ -124,6 +142,22 @@ def auto_select(fit_on: DataFrame, holdout: DataFrame, p: str, label: str) -> st
     return best if seen[best][0] < raw[0] - 0.001 and seen[best][1] < raw[1] - 1e-4 else "identity"
 
 
+def calibrate_auto(df: DataFrame, p: str, label: str, holdout: DataFrame | None = None, by: Sequence[str] = (), seed: int = 42, least: int = 100) -> Calibration:
+    """The method that auto_select() prefers, fitted again on all rows.
+
+    It is chosen on the caller's hold-out, such as the newest dates; without one on a fifth of the rows, by a hash of the columns `by` (all columns, if none
+    are given) and the seed; and with fewer than `least` rows on the rows it was fitted on.
+    """
+    if holdout is not None:
+        fit, held, whole = df, holdout, df.unionByName(holdout)
+    elif df.limit(least).count() < least:
+        fit = held = whole = df
+    else:
+        fifth = F.pmod(F.xxhash64(F.lit(seed), *[F.col(c) for c in (by or df.columns)]), F.lit(5)) == 0
+        fit, held, whole = df.where(~fifth), df.where(fifth), df
+    return calibrate(whole, p, label, auto_select(fit, held, p, label))
+
+
 def calibration_report(df: DataFrame, p: str, calibrated: str, label: str) -> DataFrame:
     """Before and after: calibration error, Brier's score, log loss."""
     out = None

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,15 +103,21 @@ def r15(spark, sf_dir):
     return jobs.score_card(new, bundle, [0.05, 0.1, 0.2], 0.05)[1]
 
 
-@query("S12_load_models")
+@query("S12_load_models", f"{RUN}, k AS (SELECT quantile_cont(date_diff('day', DATE '1970-01-01', day), 0.9) AS v FROM run) SELECT race, post, true AS same, true AS neutral, 'lineitem' AS data_source FROM run, k WHERE date_diff('day', DATE '1970-01-01', day) > v")
 def s12(spark, sf_dir):
-    """A saved form model scores as before it was saved; the pace model is optional and was not saved."""
-    train, val = O.time_split(features(spark, sf_dir), "day")
-    root = scratch(spark, "models")
-    S.save_models({"speed": M.fit_win_model(train, val, FEATURES, "win", 3, 2), "pace": None}, root)
-    models = S.load_models(spark, root, ["speed"], ["pace"])
-    out = M.score_win_model(models["speed"], val, FEATURES, "speed")
-    return M.score_gated(models["pace"], out, PACE, "pace").select("race", "post", "speed", "pace")
+    """A whole ensemble, saved and loaded: every score of the newest tenth is what it was before, and without the optional parts the scores stay neutral."""
+    parts = O.three_way_time_split(staked(spark, sf_dir), "day")
+    train, calib, new = (parts.where(c("part") == p).drop("part") for p in ("train", "calib", "test"))
+    bundle, root = jobs.fit_bundle(train, calib, roles(), 3, 2, 1000), scratch(spark, "bundle")
+    made = spark.createDataFrame([("ensemble", "lineitem", dt.datetime(1999, 1, 1), False)], S.PROVENANCE)
+    jobs.save_bundle(bundle, root, made)
+    loaded, provenance = jobs.load_bundle(spark, root)
+    bare = replace(loaded, speed=None, pace=None, market=None)
+    before, after = (b.score(new).select("race", "post", *[c(x).alias(f"{x}{n}") for x in ("speed", "pace_score", "market", "stacked", "calibrated")]) for b, n in ((bundle, ""), (loaded, "_after")))
+    without = bare.score(new).select("race", "post", ((c("speed") == 0.5) & (c("pace_score") == 0.5) & (c("market") == 0.5) & c("calibrated").isNotNull()).alias("neutral"))
+    same = [F.coalesce(c(x) == c(f"{x}_after"), F.lit(False)) for x in ("speed", "pace_score", "market", "stacked", "calibrated")]
+    out = before.join(after, ["race", "post"]).join(without, ["race", "post"]).select("race", "post", (same[0] & same[1] & same[2] & same[3] & same[4]).alias("same"), "neutral")
+    return out.crossJoin(provenance.select("data_source"))  # one row
 
 
 @query("M08_calibrate")
@@ -124,8 +131,8 @@ def m08(spark, sf_dir):
 def m09(spark, sf_dir):
     parts = O.three_way_time_split(scored(spark, sf_dir), "day")
     fit, hold, test = (parts.where(c("part") == p) for p in ("train", "calib", "test"))
-    method = M.auto_select(fit, hold, "p", "win")
-    return M.calibrate(fit, "p", "win", method)(test).select("race", "post", "calibrated", F.lit(method).alias("method"))
+    chosen = M.calibrate_auto(fit.drop("part"), "p", "win", hold.drop("part"))
+    return chosen(test).select("race", "post", "calibrated", F.lit(chosen.method).alias("method"))
 
 
 @query("M10_calibration_report")

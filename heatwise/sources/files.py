@@ -60,14 +60,14 @@ def save_models(models: dict[str, PipelineModel | None], root: str) -> None:
 
 def load_models(spark: SparkSession, root: str, required: Sequence[str], optional: Sequence[str] = ()) -> dict[str, PipelineModel | None]:
     """Saved models by name; an optional one that is not there is None, a required one is an error that names all missing."""
-    there = {n: _exists(spark, f"{root}/{n}") for n in [*required, *optional]}
+    there = {n: exists(spark, f"{root}/{n}") for n in [*required, *optional]}
     missing = [n for n in required if not there[n]]
     if missing:
         raise FileNotFoundError(f"no saved model {', '.join(missing)} in {root}")
     return {n: PipelineModel.load(f"{root}/{n}") if ok else None for n, ok in there.items()}
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 

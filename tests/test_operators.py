@@ -2,6 +2,7 @@
 
 import datetime as dt
 import itertools
+import shutil
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from heatwise.functions import pricing, text, units
-from heatwise.operators import cards, models, outcomes, rows
+from heatwise.operators import cards, jobs, models, outcomes, rows
 from heatwise.operators import windows as W
 from heatwise.sources import files
 
@@ -278,3 +279,60 @@ def test_registries_tell_what_they_know(spark):
 def test_a_required_model_must_be_there(spark, tmp_path):
     with pytest.raises(FileNotFoundError, match="stacker"):
         files.load_models(spark, str(tmp_path), ["stacker"], ["pace"])
+
+
+def pooled(points):
+    """Isotonic fit of (score, label) by pooling neighbours that fall, in one go over all different scores."""
+    blocks = []
+    for x, ys in itertools.groupby(sorted(points), key=lambda p: p[0]):
+        ys = [y for _, y in ys]
+        blocks.append([sum(ys), len(ys), [x]])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
+            total, n, xs = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + total, blocks[-1][1] + n, blocks[-1][2] + xs]
+    return {x: total / n for total, n, xs in blocks for x in xs}
+
+
+def test_isotonic_fit_of_unrounded_scores(spark):
+    rng = np.random.default_rng(4)
+    p = np.round(rng.random(20_000), 7)
+    p[:8000] = rng.choice(p[:500], 8000)
+    points = list(zip(p.tolist(), (rng.random(len(p)) < p**2).astype(float).tolist()))
+    df = spark.createDataFrame(points, "p double, y double").repartition(7)
+    want = pooled(points)
+    got = models.calibrate(df, "p", "y", "isotonic")(df).select("p", "calibrated").distinct().collect()
+    assert len(got) == len(want) and all(abs(r["calibrated"] - want[r["p"]]) < 1e-9 for r in got)
+
+
+def test_hold_out_modes_of_calibration(spark):
+    rng = np.random.default_rng(6)
+    p = rng.random(6000)
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(zip(p, rng.random(6000) < p**3))], "i int, p double, y double")
+    parts = [df.where("i < 4000"), df.where("i >= 4000")]
+    for chosen in (models.calibrate_auto(parts[0], "p", "y", parts[1]), models.calibrate_auto(df, "p", "y", by=["i"])):
+        assert chosen.method in ("platt", "isotonic")
+        again = models.calibrate(df, "p", "y", chosen.method)  # fitted on all rows, the hold-out too
+        both = again(df).select("i", F.col("calibrated").alias("a")).join(chosen(df), "i")
+        assert both.where("abs(a - calibrated) > 1e-12").count() == 0
+    true = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(zip(p[:60], rng.random(60) < p[:60]))], "i int, p double, y double")
+    assert models.calibrate_auto(true, "p", "y").method in ("identity", "platt", "isotonic")
+
+
+def test_bundle_without_parts(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    rows_ = [(i // 8, i % 8, dt.date(2020, 1, 1) + dt.timedelta(days=i // 40), float(1 + rng.random() * 9), int(i % 8 == rng.integers(8)), float(rng.random()), 8.0) for i in range(1600)]
+    df = spark.createDataFrame(rows_, "race int, post int, day date, odds double, win int, form double, size double")
+    r = jobs.Roles("race", "post", "day", "odds", "win", ["form"], ["form"], ["size"])
+    bundle, root = jobs.fit_bundle(df.where("race < 150"), df.where("race >= 150"), r, 2, 2, 100), f"file://{tmp_path}/b"
+    with pytest.raises(FileNotFoundError):
+        jobs.load_bundle(spark, root)
+    jobs.save_bundle(bundle, root, spark.createDataFrame([("m", "s", None, False)], files.PROVENANCE))
+    shutil.rmtree(tmp_path / "b" / "speed")
+    shutil.rmtree(tmp_path / "b" / "provenance")
+    loaded, provenance = jobs.load_bundle(spark, root)
+    assert loaded.roles == jobs.Roles("race", "post", "day", "odds", "win", ["form"], ["form"], ["size"], ["speed", "pace_score", "market"])
+    assert loaded.speed is None and loaded.pace is not None and provenance.first()["synthetic"]
+    assert loaded.score(df).where("speed = 0.5 and calibrated between 0 and 1").count() == 1600
+    shutil.rmtree(tmp_path / "b" / "stacker")
+    with pytest.raises(FileNotFoundError, match="stacker"):
+        jobs.load_bundle(spark, root)
