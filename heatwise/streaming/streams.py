@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import aggregates, rows
-from ..sources.files import _exists
+from ..sources.files import exists
 
 
 def stream_ingest(source: DataFrame, spec: dict[str, dict], score: Callable[[DataFrame], DataFrame], table: str, key: str, checkpoint: str):
@@ -19,7 +19,7 @@ def stream_ingest(source: DataFrame, spec: dict[str, dict], score: Callable[[Dat
 
     def batch(df: DataFrame, _: int) -> None:
         good, _bad = rows.accept_reject(score(rows.apply_field_map(df, spec)))
-        have = df.sparkSession.read.parquet(table) if _exists(df.sparkSession, table) else good.limit(0)
+        have = df.sparkSession.read.parquet(table) if exists(df.sparkSession, table) else good.limit(0)
         rows.insert_if_absent(good, have, key).write.mode("append").parquet(table)
 
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
