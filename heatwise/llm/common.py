@@ -22,9 +22,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, the checkpoint folder that was set on the context, else one in the warehouse, which they share too."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    have = spark.sparkContext._jsc.sc().getCheckpointDir()
-    root = root or (have.get() if have.isDefined() else f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
+    context = spark.sparkContext
+    have = context._jsc.sc().getCheckpointDir()
+    root = context.getConf().get("spark.checkpoint.dir") or (have.get() if have.isDefined() else None)
+    if root is None:
+        root = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+        if re.match("file:|/", root) and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return re.sub("^file:/+", "file:///", root).rstrip("/")
 
 
@@ -32,10 +36,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Names of the folders that cut() made: forget() deletes no others.
+_MADE: set[str] = set()
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df to shared storage and read it again: lineage ends here, and a lost executor loses nothing."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
+    _MADE.add(path.rsplit("/", 1)[-1])
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -52,15 +61,18 @@ def arrow_rows(spark: SparkSession, n: int = TEXTS_A_BATCH) -> Iterator[None]:
 
 
 def forget(*tables: DataFrame) -> None:
-    """Delete tables of cut() that nothing reads any more: what was made of them has been cut itself.
+    """Delete tables of cut() that nothing reads any more: what was made of them has been cut itself. Other tables stay as they are.
 
     Spark drops the shuffle files of queries that are over when the driver collects its garbage, so that is asked for as well.
     """
     for t in tables:
         jvm, conf = t.sparkSession._jvm, t.sparkSession._jsc.hadoopConfiguration()
         for folder in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+            name = folder.rsplit("/", 1)[-1]
+            if name in _MADE:
+                _MADE.discard(name)
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(conf).delete(path, True)
     tables[0].sparkSession._jvm.System.gc()
 
 

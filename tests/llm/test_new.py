@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 
@@ -10,12 +11,23 @@ import pytest
 from pyspark.sql import functions as F
 
 from heatwise.llm import alignment, collocations, languages, vectors
+from heatwise.llm.common import cut, forget
 from heatwise.llm.queries import QUERIES
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SF = "/root/testdata/sf0.01"
 
 
+def test_only_made_tables_are_forgotten(spark, tmp_path):
+    own = f"file://{tmp_path}/source"
+    spark.range(5).write.parquet(own)
+    source = spark.read.parquet(own)
+    made = cut(source, "made")
+    folder = made.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    forget(source, made)
+    assert source.count() == 5 and not os.path.exists(folder)
+
+
 # 11
 
 
