@@ -2,8 +2,8 @@
 
 The pages of a host are merged by presentation: a node of the tree is a path of tags with their classes. A node with text has the importance of
 its contents: one less their mean entropy (a content that all pages share has entropy 1, one of a single page 0), as far as the number
-of pages is evidence. What an author says a node is for is a feature of it: boilerplate names (menus, adverts, forms, ...) weigh its importance down, an
-article or main element vouches for part of it. The importance of a branch is composed of its nodes' importance by
+of pages is evidence. What an author says a node is for is a feature of it: boilerplate names (menus, adverts, forms, ...) weigh its importance down
+unless the branch is long, an article or main element vouches for a little of it, so neither decides alone. The importance of a branch is composed of its nodes' importance by
 length of text, and of the variety of its presentation. Branches of low importance are removed from each page. Only what is never
 text (scripts, styles, comments, controls) goes by name alone.
 """
@@ -23,7 +23,9 @@ from .common import cut, slices, small
 
 LEAST_IMPORTANCE = 0.3
 #: Weight of content against presentation in a branch, of a boilerplate name, and how far an article is judged by its contents.
-CONTENT, BOILERPLATE, ARTICLE = 0.9, 0.25, 0.6
+CONTENT, BOILERPLATE, ARTICLE = 0.9, 0.25, 0.9
+#: Characters a page from which on a branch with a boilerplate name holds too much to be judged by it, and up to which its name loses all weight.
+BRIEF, LONG = 600, 2400
 MAX_NOISE_ROWS = 200_000
 
 # Element names of HTML by what they are for.
@@ -162,12 +164,17 @@ def style_tree(pages: DataFrame) -> DataFrame:
     node = cut(node, "style-nodes")
     m = F.log("pages")
     judged = F.when(F.col("path").rlike("/(article|main)[./]|/(article|main)$"), ARTICLE).otherwise(1.0)
-    marked = F.when(F.col("path").contains("!"), BOILERPLATE).otherwise(1.0)
+    # A boilerplate name weighs less the more text its branch has on a page: menus and adverts are brief.
+    named = F.regexp_extract("path", "^(.*?/[^/]*!)(?:/|$)", 1)
+    sizes = node.where(named != "").groupBy("host", named.alias("named")).agg((F.sum("length") / F.max("pages")).alias("size"))
+    node = node.withColumn("named", named).join(sizes, ["host", "named"], "left")
+    freed = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.coalesce("size", F.lit(0.0)) - BRIEF) / (LONG - BRIEF)))
+    marked = F.when(F.col("named") != "", BOILERPLATE + (1 - BOILERPLATE) * freed).otherwise(1.0)
     # The fewer pages, the less a shared content says: (m - 1) / m of its entropy counts.
     entropy = F.when(F.col("pages") > 1, F.least(F.lit(1.0), F.col("shared") / m) * (1 - 1 / F.col("pages"))).otherwise(0.0)
     leaf = node.where("shared is not null").select("host", "path", "length", (marked * (1 - judged * entropy)).alias("own"))
     # A leaf counts in each of its branches: the leading parts of its path.
-    parts = F.split(F.substring("path", 2, 1_000_000), "/")
+    parts = F.split(F.expr("substring(path, 2)"), "/")
     up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), n), "/")))
     branch = leaf.select("host", F.explode(up).alias("path"), "length", "own").groupBy("host", "path").agg((F.sum(F.col("own") * F.col("length")) / F.sum("length")).alias("within"), F.count("*").alias("leaves"))
     styles = F.when(F.col("pages") > 1, (m - F.col("plogp") / F.col("pages")) / m).otherwise(1.0)

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from heatwise.llm import alignment, collocations, languages, vectors
+from heatwise.llm import alignment, collocations, languages, styletree, vectors
 from heatwise.llm.common import cut, forget
 from heatwise.llm.queries import QUERIES
 
@@ -185,3 +185,16 @@ def test_collocations_of_odd_rows(spark, monkeypatch, top):
 
 def test_no_collocations(spark):
     assert collocations.collocations(spark.createDataFrame([], "text string, lang string")).count() == 0
+
+
+# 4
+
+
+def test_names_do_not_decide_alone(spark):
+    """A long branch of a page's own under a boilerplate name stays; a line that all pages share goes, inside main too, and so do brief adverts that differ."""
+    rnd, word = random.Random(9), lambda: "".join(random.Random(rnd.random()).choices("abcdefgh", k=6))
+    own = [(" ".join(word() for _ in range(300)), " ".join(word() for _ in range(200)), " ".join(word() for _ in range(8))) for _ in range(40)]
+    html = "<html><body><div class='ad'>{}</div><main><p class='lead'>{}</p><div class='note'>All our stories are checked by two editors.</div></main><div class='related'>{}</div></body></html>"
+    rows = [(i, f"http://a.example/{i}", html.format(c, b, a)) for i, (a, b, c) in enumerate(own)]
+    got = {r["page_id"]: r["text"] for r in styletree.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"{b} {a}" for i, (a, b, _) in enumerate(own)}
