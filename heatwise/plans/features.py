@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import scans
 from ..operators import windows as W
 from .base import HIST, RUN, query, r6, runners
 
@@ -128,6 +129,20 @@ def w22(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", c("step").cast("long"), r6(c("s_high"), "s_high"), r6(c("s_low"), "s_low"), c("alarm_step").cast("long"), "direction")
 
 
+ONE = """WITH e AS (SELECT event_id, ts, (value - 50) / 25 AS z FROM events),
+ s AS (SELECT *, row_number() OVER w AS step, sum(z - 0.5) OVER w AS up, sum(-z - 0.5) OVER w AS down FROM e WINDOW w AS (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+ t AS (SELECT *, up - least(0, min(up) OVER w) AS hi, down - least(0, min(down) OVER w) AS lo FROM s WINDOW w AS (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+ a AS (SELECT min(step * 2 + CASE WHEN hi > 4 THEN 0 ELSE 1 END) AS f FROM t WHERE hi > 4 OR lo > 4)
+ SELECT event_id, step, round(hi, 6) AS s_high, round(lo, 6) AS s_low, f // 2 AS alarm_step, CASE WHEN f % 2 = 0 THEN 'high' WHEN f % 2 = 1 THEN 'low' END AS direction FROM t, a"""
+
+
+@query("W22_cusum_one_stream", ONE)
+def w22_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one stream, which no task holds as a whole."""
+    out = scans.cusum_ranges(events_z(spark, sf_dir), "z", [], ["ts", "event_id"])
+    return out.select("event_id", "step", r6(c("s_high"), "s_high"), r6(c("s_low"), "s_low"), "alarm_step", "direction")
+
+
 @query(
     "W24_plackett_luce_step",
     f"""{RUN}, p AS (SELECT race, post, q, q / sum(q) OVER (PARTITION BY race) AS p, coalesce(sum(q) OVER (PARTITION BY race ORDER BY post ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(q) OVER (PARTITION BY race) AS used FROM run)

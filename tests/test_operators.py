@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from heatwise.functions import pricing, text, units
-from heatwise.operators import cards, jobs, models, outcomes, rows
+from heatwise.operators import cards, jobs, models, outcomes, rows, scans
 from heatwise.operators import windows as W
 from heatwise.sources import files
 
@@ -336,3 +336,16 @@ def test_bundle_without_parts(spark, tmp_path):
     shutil.rmtree(tmp_path / "b" / "stacker")
     with pytest.raises(FileNotFoundError, match="stacker"):
         jobs.load_bundle(spark, root)
+
+
+@pytest.mark.parametrize("key", [[], ["k"]])
+def test_cusum_in_ranges(spark, key):
+    rng = np.random.default_rng(8)
+    rows_ = [([None, 1, 2, 2, 2][i % 5], i, None if i > 5 and i % 17 == 0 else float(z)) for i, z in enumerate(rng.normal(0.1, 1, 3000))]
+    df = spark.createDataFrame(rows_, "k int, i int, z double").repartition(5)
+    got, want = (x.orderBy("i").collect() for x in (scans.cusum_ranges(df, "z", key, ["i"], ranges=13), W.cusum(df, "z", key, ["i"])))
+    assert len(got) == len(want) == 3000
+    for a, b in zip(got, want):
+        assert (a["i"], a["step"], a["alarm_step"], a["direction"]) == (b["i"], b["step"], b["alarm_step"], b["direction"])
+        assert a["s_high"] == pytest.approx(b["s_high"], abs=1e-9) and a["s_low"] == pytest.approx(b["s_low"], abs=1e-9)
+    assert scans.cusum_ranges(df.limit(0), "z", key, ["i"]).count() == 0
