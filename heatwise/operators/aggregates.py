@@ -172,10 +172,14 @@ def parse_confidence(entries: DataFrame, race: Sequence[str], header: Sequence[s
     return entries.groupBy(*race).agg((0.4 * head + 0.6 * F.avg((F.col(n_history) > 0).cast("int"))).alias("confidence"))
 
 
-def var_cvar(df: DataFrame, keys: Sequence[str], pnl: str, alpha: float = 0.05, approximate: bool = False) -> DataFrame:
-    """Value at risk, -quantile(pnl, alpha), and the mean of losses at least as large."""
-    q = F.percentile_approx(pnl, alpha, 10_000) if approximate else F.percentile(pnl, alpha)
-    cut = df.groupBy(*keys).agg(q.alias("_q"))
+def var_cvar(df: DataFrame, keys: Sequence[str], pnl: str, alpha: float = 0.05, approximate: bool = False, refine: bool = False) -> DataFrame:
+    """Value at risk, -quantile(pnl, alpha), and the mean of losses at least as large. refine finds the same quantile in several passes, for keys with more different values than a task holds."""
+    if refine:
+        from .quantiles import exact_quantile
+
+        cut = exact_quantile(df, keys, pnl, alpha).withColumnRenamed("quantile", "_q")
+    else:
+        cut = df.groupBy(*keys).agg((F.percentile_approx(pnl, alpha, 10_000) if approximate else F.percentile(pnl, alpha)).alias("_q"))
     tail = df.join(cut, list(keys)).where(F.col(pnl) <= F.col("_q") + 1e-9)  # an interpolated quantile may miss the value it stands for by rounding
     return tail.groupBy(*keys).agg((-F.max("_q")).alias("var"), (-F.avg(pnl)).alias("cvar"))
 

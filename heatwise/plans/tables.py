@@ -156,6 +156,13 @@ def a19(spark, sf_dir):
     return A.var_cvar(z, ["track"], "pnl").select("track", r6(c("var"), "var"), r6(c("cvar"), "cvar"))
 
 
+@query("A19_var_cvar_refined", SQL["A19_var_cvar"])
+def a19_refined(spark, sf_dir):
+    """The same tail with a quantile that is found in passes over histograms."""
+    z = runners(spark, sf_dir).select("track", ((c("disc") - 0.05) * c("q")).alias("pnl"))
+    return A.var_cvar(z, ["track"], "pnl", refine=True).select("track", r6(c("var"), "var"), r6(c("cvar"), "cvar"))
+
+
 @query("A20_scaler", f"{RUN}, s AS (SELECT avg(figure) AS m, stddev_pop(figure) AS d FROM run) SELECT race, post, round((figure - m) / d, 6) AS figure FROM run, s")
 def a20(spark, sf_dir):
     r = runners(spark, sf_dir).select("race", "post", "figure")

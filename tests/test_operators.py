@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from heatwise.functions import pricing, text, units
-from heatwise.operators import cards, jobs, models, outcomes, rows, scans
+from heatwise.operators import cards, jobs, models, outcomes, quantiles, rows, scans
 from heatwise.operators import windows as W
 from heatwise.sources import files
 
@@ -349,3 +349,15 @@ def test_cusum_in_ranges(spark, key):
         assert (a["i"], a["step"], a["alarm_step"], a["direction"]) == (b["i"], b["step"], b["alarm_step"], b["direction"])
         assert a["s_high"] == pytest.approx(b["s_high"], abs=1e-9) and a["s_low"] == pytest.approx(b["s_low"], abs=1e-9)
     assert scans.cusum_ranges(df.limit(0), "z", key, ["i"]).count() == 0
+
+
+@pytest.mark.parametrize("alpha", [0.05, 0.5])
+def test_exact_quantiles(spark, alpha):
+    rng = np.random.default_rng(10)
+    values = [(1, float(v)) for v in rng.normal(0, 1, 9000)] + [(2, float(v)) for v in np.round(rng.exponential(1, 3000), 1)] + [(None, float(v)) for v in np.exp(rng.normal(0, 80, 2000))]
+    values += [(3, 7.0)] * 2000 + [(4, None), (5, 1.0), (5, None), (5, 2.0), (6, -1.7e308), (6, 1.7e308), (6, 0.0)]
+    df = spark.createDataFrame(values, "k int, v double").repartition(5)
+    want = {r["k"]: r["q"] for r in df.groupBy("k").agg(F.percentile("v", alpha).alias("q")).collect()}
+    got = {r["k"]: r["quantile"] for r in quantiles.exact_quantile(df, ["k"], "v", alpha, bins=64, few=2).collect()}
+    assert got == want
+    assert quantiles.exact_quantile(df, [], "v", alpha).first()["quantile"] == df.agg(F.percentile("v", alpha).alias("q")).first()["q"]
