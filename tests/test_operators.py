@@ -257,7 +257,7 @@ def test_card_scoring_and_retraining(spark):
     assert none is None and [x["stage"] for x in report.collect()] == ["skipped"]
     bundle, report = jobs.rolling_retrain(df, r, dt.date(2020, 1, 1), 2, None, 2, 2, 50)
     assert {x["stage"] for x in report.collect()} == {"before", "after"}
-    chances, plans = jobs.score_card(df.where("race >= 90"), bundle, [0.1, 0.3], 0.05, 20)
+    chances, plans = jobs.score_card(df.where("race >= 90"), bundle, [0.1, 0.3], 0.05)
     assert all(np.isclose(x["s"], 1) for x in chances.groupBy("race").agg(F.sum("p").alias("s")).collect())
     for x in plans.collect():
         assert x["cvar"] <= x["level"] + 1e-9 and x["stake"] <= 1
