@@ -13,6 +13,7 @@ from ..operators import cards as C
 from ..operators import jobs
 from ..operators import models as M
 from ..operators import rows as O
+from ..operators import star as R
 from ..operators import windows as W
 from ..sources import files as S
 from ..sources import registry
@@ -193,6 +194,53 @@ def t01(spark, sf_dir):
     return spark.read.parquet(out).select("key", "price")
 
 
+def flat_lines(line: DataFrame) -> DataFrame:
+    """Lines as flat results: orders are races, parts run in them. Some lack a surface, a horse, odds or a jockey, some races have several winners."""
+    k, n = c("l_orderkey"), c("l_linenumber")
+    return line.select(
+        F.concat(F.lit("T"), k.cast("string")).alias("track"), F.date_add(F.lit("2000-01-01").cast("date"), (k % 700).cast("int")).alias("day"), (1 + k % 12).alias("number"), (5 + k % 4).cast("double").alias("furlongs"),
+        F.when(k % 17 != 0, F.when(k % 2 == 0, "turf").otherwise("dirt")).alias("surface"), F.when(c("l_quantity") % 13 != 0, F.concat(F.lit("Horse "), c("l_partkey").cast("string"))).alias("horse"),
+        F.when(c("l_suppkey") % 9 != 0, F.concat(F.lit("Rider "), c("l_suppkey").cast("string"))).alias("rider"), F.when(k % 10 == 0, 1).otherwise(n).alias("place"),
+        F.when(n % 5 != 0, 1 + c("l_extendedprice") / 5000).alias("price"), (90 + c("l_quantity")).alias("weight"),
+    )
+
+
+FLAT = {
+    "race_track_code": {"column": "track"}, "race_race_date": {"column": "day"}, "race_race_number": {"column": "number", "type": "int"}, "race_distance_furlongs": {"column": "furlongs", "type": "double"},
+    "race_surface": {"column": "surface"}, "race_jurisdiction": {"const": "us"}, "horse_name_display": {"column": "horse"}, "horse_name_normalized": {"column": "horse"}, "jockey_name_display": {"column": "rider"},
+    "jockey_name_normalized": {"column": "rider"}, "finish_position": {"column": "place", "type": "int"}, "odds_final": {"column": "price", "type": "double"}, "weight_lbs": {"column": "weight", "type": "double"},
+}
+FLAT_SQL = """WITH f AS (SELECT DISTINCT l_orderkey AS race, CASE WHEN l_quantity % 13 <> 0 THEN l_partkey END AS horse, CASE WHEN l_suppkey % 9 <> 0 THEN l_suppkey END AS rider, CASE WHEN l_orderkey % 10 = 0 THEN 1 ELSE l_linenumber END AS finish,
+ CASE WHEN l_linenumber % 5 <> 0 THEN l_extendedprice END AS odds, 90 + l_quantity AS weight FROM lineitem)"""
+
+
+@query("U03_star_counts", f"""{FLAT_SQL}, w AS (SELECT * FROM f WHERE race % 17 <> 0), n AS (SELECT count(DISTINCT race) AS races, count(DISTINCT horse) AS horses, count(DISTINCT rider) AS jockeys, 0 AS trainers, count(DISTINCT (race, horse)) FILTER (horse IS NOT NULL) AS race_results FROM w),
+ t AS (SELECT count(*) FILTER (l_orderkey % 17 = 0) AS a, count(*) FILTER (l_orderkey % 17 <> 0 AND l_quantity % 13 = 0) AS b, count(*) FILTER (l_orderkey % 17 <> 0 AND l_quantity % 13 <> 0) AS c FROM lineitem)
+ SELECT batch, what, CASE batch WHEN 'first' THEN n ELSE again END AS n FROM (VALUES ('first'), ('second')) b(batch), (SELECT 'races' AS what, races AS n, 0 AS again FROM n UNION ALL SELECT 'horses', horses, 0 FROM n UNION ALL SELECT 'jockeys', jockeys, 0 FROM n
+ UNION ALL SELECT 'trainers', trainers, 0 FROM n UNION ALL SELECT 'race_results', race_results, 0 FROM n UNION ALL SELECT 'no surface', a, a FROM t UNION ALL SELECT 'no horse', b, b FROM t UNION ALL SELECT 'known', c - race_results, c FROM t, n)""")
+def u03_star(spark, sf_dir):
+    """The whole star from flat lines, twice: rows that each table got, rows left out by reason, rows whose result was known. The second run adds none."""
+    flat = O.apply_field_map(flat_lines(table(spark, sf_dir, "lineitem")), FLAT)
+    star = R.Star(spark, scratch(spark, "star"))
+    R.load(star, flat, "first")
+    R.load(star, flat, "second")
+    counts = F.map_concat("inserted", "skipped", F.create_map(F.lit("known"), "n_duplicate"))
+    return star.records().select("batch", F.explode(counts).alias("what", "n"))
+
+
+@query("T01_stream_star", f"""{FLAT_SQL}, s AS (SELECT *, round(0.8 - CASE WHEN odds IS NULL THEN 0.1 ELSE 0 END - CASE WHEN rider IS NULL THEN 0.05 ELSE 0 END - CASE WHEN weight NOT BETWEEN 95 AND 145 THEN 0.1 ELSE 0 END, 4)::DOUBLE AS quality,
+ sum((finish = 1)::INT) OVER (PARTITION BY race) AS winners, count(*) OVER (PARTITION BY race, horse) AS same FROM f WHERE race % 17 <> 0), b AS (SELECT *, max(CASE WHEN horse IS NOT NULL THEN same END) OVER (PARTITION BY race) AS twice FROM s)
+ SELECT 'T' || race AS track, 'Horse ' || horse AS horse, finish, quality FROM b WHERE horse IS NOT NULL AND quality >= 0.6 AND winners <= 1 AND coalesce(twice, 1) <= 1""")
+def t01_star(spark, sf_dir):
+    """Arriving lines become a star whose races are judged as a whole. A second stream over the same files adds nothing."""
+    root = scratch(spark, "star")
+    for name in ("first", "second"):
+        T.stream_star(flat_lines(stream_of(spark, sf_dir, "lineitem")), FLAT, root, name, scratch(spark, "star-log")).trigger(availableNow=True).start().awaitTermination()
+    star = R.Star(spark, root)
+    out = star.results().join(star.read("races").select("race_key", "track"), "race_key").join(star.read("horses").select("horse_key", c("name").alias("horse")), "horse_key")
+    return out.select("track", "horse", c("finish").cast("long").alias("finish"), "quality")
+
+
 @query("T04_stream_settle", """SELECT l_orderkey AS race, l_linenumber AS post, l_linenumber = 1 + o_orderkey % 3 AS won, round(CASE WHEN l_linenumber = 1 + o_orderkey % 3 THEN 1 + l_extendedprice / 5000 ELSE 0 END - 1, 9) AS pnl
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderdate >= l_shipdate AND o_orderdate <= l_shipdate + INTERVAL 60 DAY""")
 def t04(spark, sf_dir):

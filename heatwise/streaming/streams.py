@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators import aggregates, rows
+from ..operators import aggregates, rows, star
 from ..sources.files import exists
 
 
@@ -25,6 +25,18 @@ def stream_ingest(source: DataFrame, spec: dict[str, dict], score: Callable[[Dat
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
 
 
+def stream_star(source: DataFrame, spec: dict[str, dict], root: str, name: str, checkpoint: str):
+    """Map arriving rows to flat results and merge them into a star; races that get rows are scored again as a whole.
+
+    name belongs to the checkpoint: a batch that is replayed after a stop has the same name and number, and is applied once. See star.ingest.
+    """
+
+    def batch(df: DataFrame, n: int) -> None:
+        star.ingest(star.Star(df.sparkSession, root), rows.apply_field_map(df, spec), f"{name}-{n}")
+
+    return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+
+
 def stream_outcomes(source: DataFrame, key: str, at: str, delay: str = "7 days") -> DataFrame:
     """The first outcome of each race within the watermark. Later repeats are for insert_if_absent at the sink."""
     return source.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
