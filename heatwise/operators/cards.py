@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, units
+from . import jsoncards
 
 
 def unnest_card(cards: DataFrame, key: str) -> dict[str, DataFrame]:
@@ -92,8 +93,7 @@ SURFACES = ("turf", "dirt", "synthetic")
 def cards_from_json_text(df: DataFrame, body: str) -> DataFrame:
     """The first JSON object of a text (whole, fenced or within words), typed: an unknown surface is `unknown`, odds out of range are NULL, an entry without post or name goes."""
     c = F.col(body)
-    raw = F.coalesce(F.nullif(F.regexp_extract(c, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1), F.lit("")), F.regexp_extract(c, r"(?s)(\{.*?\}\s*\]\s*\}\s*\]\s*\})", 1))
-    card = F.from_json(F.when(raw != "", raw).otherwise(F.regexp_extract(c, r"(?s)(\{.*\})", 1)), JSON_CARD)
+    card = F.from_json(jsoncards.first_json_text(c), JSON_CARD)
 
     def entry(e: Column) -> Column:
         o = units.coerce_float(e["odds"])

@@ -379,6 +379,37 @@ def x05(spark, sf_dir):
     return out.select("race", "track", F.size(c("races")[0]["entries"]).cast("long").alias("n_entries"), F.array_max(F.transform(c("races")[0]["entries"], lambda x: x["odds"])).alias("most_odds"), c("races")[0]["surface"].alias("surface"))
 
 
+def json_cards(spark, sf_dir) -> DataFrame:
+    """Orders as race cards in JSON within words: braces in the words and in names, values out of range, runners without a post, a second object behind the first."""
+    r = runners(spark, sf_dir)
+    text = lambda x: x.cast("string")
+    past = F.struct(F.date_format(c("day"), "M/d/yyyy").alias("race_date"), F.lit("bel").alias("track_code"), F.when(c("q") > 20, "30").otherwise("6").alias("distance_furlongs"), text(c("post")).alias("post_position"), text(c("q")).alias("speed_figure"))
+    e = F.struct(
+        F.concat(F.lit('Horse "'), text(c("entity")), F.lit('" }{')).alias("horse_name"), F.when(c("q") > 5, text(c("post"))).otherwise("none").alias("post_position"), F.when(c("odds") <= 10, text(c("odds"))).otherwise("5000").alias("morning_line_odds"),
+        (90 + c("q")).alias("weight_lbs"), F.when(c("figure").isNotNull(), F.array(past)).alias("pp_lines"),
+    )
+    j = r.groupBy("race", "track", "purse").agg(F.collect_list(e).alias("entries"))
+    card = F.struct((1 + c("race") % 24).alias("race_number"), F.lit("2020-01-02").alias("race_date"), F.lit("sar").alias("track_code"), F.lit("8").alias("distance_furlongs"), F.when(c("race") % 2 == 0, "Turf").otherwise("sand").alias("surface"), F.lit("Maiden Claiming").alias("race_type"), F.format_string("$%,.2f", "purse").alias("purse_usd"), (c("race") % 5).alias("grade"), "entries")
+    return j.select("race", F.concat(F.lit("A 5\" card {draft}: "), F.to_json(F.struct(F.array(card).alias("races"))), F.lit(' and {"races": []} too }')).alias("body"))
+
+
+@query("X05_full_cards", f"""{RUN} SELECT race, 1 + race % 24 AS number, CASE WHEN race % 2 = 0 THEN 'turf' ELSE 'unknown' END AS surface, round(purse, 2) AS purse, CASE WHEN race % 5 BETWEEN 1 AND 3 THEN race % 5 END AS grade, count(*) FILTER (q > 5) AS n_entries,
+ count(*) FILTER (q > 5 AND figure IS NOT NULL AND q <= 20) AS n_past, max(odds) FILTER (q > 5 AND odds <= 10) AS most_odds, count(*) FILTER (q > 5 AND q <= 55) AS n_weights,
+ round(0.4 + 0.6 * CASE WHEN count(*) FILTER (q > 5) = 0 THEN 0 ELSE count(*) FILTER (q > 5 AND figure IS NOT NULL AND q <= 20) / count(*) FILTER (q > 5) END, 3) AS confidence,
+ min(day) FILTER (q > 5 AND figure IS NOT NULL AND q <= 20) AS first_past FROM run WHERE race % 24 < 20 GROUP BY race, purse""")
+def x05_full(spark, sf_dir):
+    from ..operators.jsoncards import full_cards_from_json_text
+
+    r = full_cards_from_json_text(json_cards(spark, sf_dir), "body").select("race", F.explode("races").alias("r"))
+    e = c("r.entries")
+    past = F.flatten(F.transform(e, lambda x: x["history"]))
+    count = lambda x: F.size(x).cast("long")
+    return r.select(
+        "race", c("r.number").cast("long").alias("number"), "r.surface", "r.purse", c("r.grade").cast("long").alias("grade"), count(e).alias("n_entries"), count(past).alias("n_past"), F.array_max(F.transform(e, lambda x: x["odds"])).alias("most_odds"),
+        count(F.filter(e, lambda x: x["weight"].between(95, 145))).alias("n_weights"), c("r.confidence").alias("confidence"), F.array_min(F.transform(past, lambda x: x["race_date"])).alias("first_past"),
+    )
+
+
 # Files
 
 
