@@ -43,36 +43,63 @@ def stream_outcomes(source: DataFrame, key: str, at: str, delay: str = "7 days")
 
 
 class Cusum(StatefulProcessor):
-    """Page's two sums for a key, one small state each; rows of a batch in order of time. The first alarm stays until the key changes epoch."""
+    """Page's two sums for a key over rows in order of time. The first alarm stays until the key changes epoch.
 
-    def __init__(self, k: float = 0.5, h: float = 4.0):
-        self.k, self.h = k, h
+    Rows wait until the key has seen a time `delay` later, so that rows that come in another order within it are put in place; with no delay those of a
+    batch are applied with it. A row that comes behind what was applied already is late: it is given out with that mark and leaves the sums alone, so
+    rows on time have what a batch over them would give. State is the sums, the last row applied, and the rows of the delay.
+    """
+
+    def __init__(self, k: float = 0.5, h: float = 4.0, delay: float = 0.0):
+        self.k, self.h, self.delay = k, h, pd.Timedelta(seconds=delay)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("sums", "high double, low double, n long, step long, side string")
+        self.state = handle.getValueState("sums", "high double, low double, n long, step long, side string, top timestamp, at timestamp, event long")
+        self.wait = handle.getListState("wait", "event_id long, ts timestamp, z double")
 
     def handleInputRows(self, key: Any, batches: Iterator[pd.DataFrame], timer: Any) -> Iterator[pd.DataFrame]:
-        high, low, n, step, side = self.state.get() if self.state.exists() else (0.0, 0.0, 0, -1, "")
-        # Rows of a batch may come in any order, so they are sorted before the sums go over them.
-        for pdf in [pd.concat(list(batches)).sort_values(["ts", "event_id"])]:
+        high, low, n, step, side, top, at, event = self.state.get() if self.state.exists() else (0.0, 0.0, 0, -1, "", None, None, None)
+        top, at = (None if t is None else pd.Timestamp(t) for t in (top, at))
+        kept = [pd.DataFrame(list(self.wait.get()), columns=["event_id", "ts", "z"])] if self.wait.exists() else []
+        for pdf in batches:
+            pdf = pdf[["event_id", "ts", "z"]]
+            late = pd.Series(False, index=pdf.index) if at is None else (pdf["ts"] < at) | ((pdf["ts"] == at) & (pdf["event_id"] <= event))
+            if late.any():
+                marks = (n, high, low, step if step > 0 else None, side or None, True)
+                yield pd.DataFrame([(key[0], e, t, *marks) for e, t in zip(pdf["event_id"][late], pdf["ts"][late], strict=True)], columns=CUSUM_COLUMNS)
+            kept.append(pdf[~late])
+        rows = pd.concat([p for p in kept if len(p)] or [pd.DataFrame({"event_id": [], "ts": pd.to_datetime([]), "z": []})]).sort_values(["ts", "event_id"])
+        if len(rows):
+            top = rows["ts"].iloc[-1] if top is None else max(top, rows["ts"].iloc[-1])
+            ready = rows["ts"] <= top - self.delay
             out = []
-            for e, t, z in zip(pdf["event_id"], pdf["ts"], pdf["z"], strict=True):
+            for e, t, z in zip(rows["event_id"][ready], rows["ts"][ready], rows["z"][ready], strict=True):
                 n += 1
                 high, low = max(0.0, high + z - self.k), max(0.0, low - z - self.k)
                 if step < 0 and (high > self.h or low > self.h):
                     step, side = n, "high" if high > self.h else "low"
-                out.append((key[0], e, t, n, high, low, step if step > 0 else None, side or None))
-            yield pd.DataFrame(out, columns=["key", "event_id", "ts", "step", "s_high", "s_low", "alarm_step", "direction"])
-        self.state.update((high, low, n, step, side))
+                out.append((key[0], e, t, n, high, low, step if step > 0 else None, side or None, False))
+                at, event = t, int(e)
+            if out:
+                yield pd.DataFrame(out, columns=CUSUM_COLUMNS)
+            held = [(int(e), t.to_pydatetime(), float(z)) for e, t, z in zip(rows["event_id"][~ready], rows["ts"][~ready], rows["z"][~ready], strict=True)]
+            if held:
+                self.wait.put(held)
+            elif kept and self.wait.exists():
+                self.wait.clear()
+        self.state.update((high, low, n, step, side, None if top is None else top.to_pydatetime(), None if at is None else at.to_pydatetime(), event))
 
     def close(self) -> None:
         pass
 
 
-def stream_cusum(source: DataFrame, key: str, k: float = 0.5, h: float = 4.0) -> DataFrame:
-    """source: key, event_id, ts, z. Needs the RocksDB state store. An epoch in the key restarts a detector."""
-    schema = "key string, event_id long, ts timestamp, step long, s_high double, s_low double, alarm_step long, direction string"
-    return source.withColumn("_key", F.col(key).cast("string")).groupBy("_key").transformWithStateInPandas(Cusum(k, h), schema, "Append", "None")
+CUSUM_COLUMNS = ["key", "event_id", "ts", "step", "s_high", "s_low", "alarm_step", "direction", "late"]
+
+
+def stream_cusum(source: DataFrame, key: str, k: float = 0.5, h: float = 4.0, delay: float = 0.0) -> DataFrame:
+    """source: key, event_id, ts, z. delay in seconds is how long rows wait for earlier ones. Needs the RocksDB state store. An epoch in the key restarts a detector."""
+    schema = "key string, event_id long, ts timestamp, step long, s_high double, s_low double, alarm_step long, direction string, late boolean"
+    return source.withColumn("_key", F.col(key).cast("string")).groupBy("_key").transformWithStateInPandas(Cusum(k, h, delay), schema, "Append", "None")
 
 
 def stream_settle(recs: DataFrame, outcomes: DataFrame, rec_at: str, out_at: str, within: str = "10 days") -> DataFrame:
