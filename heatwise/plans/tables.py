@@ -211,6 +211,21 @@ def p02(spark, sf_dir):
     return orders.select(*[c(v).alias(k) for k, v in found.items()])
 
 
+@query("P02_automatic_map", """SELECT 'T' || l_orderkey AS race_track_code, CAST(l_shipdate AS DATE) AS race_race_date, 'Horse ' || l_partkey AS horse_name_display, l_linenumber::INT AS finish_position, l_suppkey % 7 + 1e0 AS odds_final,
+ (8 * 14 + l_linenumber)::DOUBLE AS weight_lbs, round((1000 + l_suppkey) / 201.168, 4) AS race_distance_furlongs, 60e0 + l_linenumber AS fraction_finish_sec FROM lineitem""")
+def p02_automatic(spark, sf_dir):
+    """A table whose columns have misspelt, swapped and misleading names, mapped by names and values: ids and a `position` of words are passed over."""
+    from ..operators import mapping
+
+    text = lambda x: c(x).cast("string")
+    raw = table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("T"), text("l_orderkey")).alias("Track Cdoe"), F.date_format("l_shipdate", "yyyy/MM/dd").alias("race-dat"), text("l_partkey").alias("horse_id"), F.concat(F.lit("Horse "), text("l_partkey")).alias("HORSE"), c("l_returnflag").alias("position"),
+        text("l_linenumber").alias("Finish_Positon"), F.concat(text("l_suppkey") % 7, F.lit("/1")).alias("SP"), F.concat(F.lit("8-"), text("l_linenumber")).alias("Weight"), text("l_extendedprice").alias("birth_date"), (1000 + c("l_suppkey")).alias("dist"), F.concat(F.lit("1:0"), text("l_linenumber")).alias("time"),
+    )
+    raw = raw.withColumn("SP", F.regexp_replace("SP", r"\.0", ""))
+    return O.apply_field_map(raw, mapping.automatic_map(raw))
+
+
 @query("P03_split_valid", f"{RUN} SELECT race, post, list_filter([CASE WHEN claim IS NULL THEN 'missing claim' END, CASE WHEN figure IS NULL THEN 'missing figure' END], lambda x: x IS NOT NULL) AS reasons FROM run WHERE claim IS NULL OR figure IS NULL")
 def p03(spark, sf_dir):
     return O.split_valid(runners(spark, sf_dir), ["claim", "figure"])[1].select("race", "post", "reasons")
