@@ -54,14 +54,24 @@ def segment_blocks(docs: DataFrame, key: str, body: str, header: str) -> DataFra
     return lines.withColumn("block", block).where("block > 0")
 
 
+DAY = r"(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4})"
+
+
 def extract_header(blocks: DataFrame, key: str, n: int = 20) -> DataFrame:
-    """Fields of each block's first lines. A block without a usable distance (2 to 20 furlongs) is left out."""
+    """Fields of each block's first lines. A block without a usable distance (2 to 20 furlongs) is left out.
+
+    The track is a code of two to five capitals before a date in its line; the condition is the first of the known ones that is named, `unknown` where none
+    is; a grade is 1 to 3 or I to III. What is not there is NULL, and a missing track, date or purse is a warning.
+    """
     first = F.row_number().over(Window.partitionBy(key, "block").orderBy("line_no"))
     head = blocks.withColumn("_n", first).where(F.col("_n") <= n).groupBy(key, "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("t"))
     get = lambda p: F.nullif(F.trim(F.regexp_extract("t", p, 1)), F.lit(""))
     distance = units.text_distance_to_furlongs(get(r"(?i)((?:about\s+)?\d[\d /½]*\s*(?:miles?|furlongs?|f\b)(?:\s+\d+\s*yards?)?)"))
-    out = head.select(key, "block", distance.alias("distance"), text.race_type(F.col("t")).alias("race_type"), units.money(get(r"(?i)purse:?\s*(\$?[\d,]+)")).alias("purse"), units.coerce_date(get(r"(\d{4}-\d{2}-\d{2})")).alias("day"), F.lower(get(r"(?i)\b(turf|dirt|synthetic)\b")).alias("surface"))
-    out = out.withColumn("warnings", F.array_compact(F.array(F.when(F.col("purse").isNull(), F.lit("no purse")), F.when(F.col("day").isNull(), F.lit("no date")))))
+    condition = F.coalesce(*[F.when(F.col("t").rlike(rf"(?i)\b{x}\b"), F.lit(x)) for x in jsoncards.CONDITIONS], F.lit("unknown"))
+    numeral = F.upper(get(r"(?i)\bgrade\s+(I{1,3}|[123])\b"))
+    grade = F.when(numeral.startswith("I"), F.length(numeral)).otherwise(numeral.try_cast("int"))
+    out = head.select(key, "block", distance.alias("distance"), text.race_type(F.col("t")).alias("race_type"), units.money(get(r"(?i)purse:?\s*(\$?[\d,]+)")).alias("purse"), units.coerce_date(get(rf"({DAY})"), ("yyyy-MM-dd", "M/d/yyyy")).alias("day"), F.lower(get(r"(?i)\b(turf|dirt|synthetic)\b")).alias("surface"), get(rf"\b([A-Z]{{2,5}})\b[^\n]*?{DAY}").alias("track"), condition.alias("condition"), units.money(get(r"(?i)claiming(?:\s+price)?:?\s*(\$[\d,]+)")).alias("claiming_price"), grade.alias("grade"))
+    out = out.withColumn("warnings", F.array_compact(F.array(F.when(F.col("track").isNull(), F.lit("no track")), F.when(F.col("purse").isNull(), F.lit("no purse")), F.when(F.col("day").isNull(), F.lit("no date")))))
     return out.where(F.col("distance").between(2, 20))
 
 

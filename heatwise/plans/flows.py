@@ -358,6 +358,22 @@ def x02(spark, sf_dir):
     return C.extract_header(_blocks(spark, sf_dir), "doc").groupBy("doc", "distance", "race_type", "purse", "surface").agg(F.count("*").alias("n"))
 
 
+@query("X02_full_header", f"""{RUN} SELECT DISTINCT trainer AS doc, race, CASE race % 3 WHEN 0 THEN 6e0 WHEN 1 THEN 8.5e0 ELSE 5.5e0 END AS distance, CASE WHEN race % 2 = 0 THEN 'turf' ELSE 'dirt' END AS surface, CASE WHEN race % 5 = 0 THEN 'unknown' WHEN race % 2 = 0 THEN 'firm' ELSE 'muddy' END AS condition,
+ CASE WHEN race % 7 > 0 THEN 'SAR' END AS track, CASE WHEN race % 7 > 0 THEN DATE '2001-01-01' + (race % 300)::INT END AS day, CASE WHEN race % 4 = 0 THEN 1000e0 * (1 + race % 40) END AS claiming_price, CASE WHEN race % 4 = 1 THEN 1 + race % 3 END AS grade, 12000e0 AS purse FROM run""")
+def x02_full(spark, sf_dir):
+    """Headers whose fields vary by race; some have no track, date, condition, price or grade."""
+    k = c("race")
+    first = F.when(k % 7 > 0, F.concat(F.lit("SAR Saratoga "), F.date_format(F.date_add(F.lit("2001-01-01").cast("date"), (k % 300).cast("int")), "M/d/yyyy"))).otherwise("Anywhere")
+    length = F.when(k % 3 == 0, "6 Furlongs").when(k % 3 == 1, "1 1/16 Miles").otherwise("5½f")
+    ground = F.concat_ws(" ", length, F.when(k % 2 == 0, "Turf").otherwise("Dirt"), F.when(k % 5 != 0, F.when(k % 2 == 0, "(FIRM)").otherwise("Muddy")))
+    kind = F.when(k % 4 == 0, F.format_string("Claiming Price: $%,d", 1000 * (1 + k % 40))).when(k % 4 == 1, F.concat(F.lit("Stakes, Grade "), F.element_at(F.array(F.lit("I"), F.lit("2"), F.lit("iii")), (1 + k % 3).cast("int")))).otherwise("Allowance")
+    race = runners(spark, sf_dir).select("trainer", "race").distinct().withColumn("t", F.concat_ws("\n", F.concat(F.lit("Race "), k.cast("string")), first, ground, kind, F.lit("Purse: $12,000")))
+    docs = race.groupBy(c("trainer").alias("doc")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("race", "t"))), lambda x: x["t"]), "\n").alias("body"))
+    blocks = C.segment_blocks(docs, "doc", "body", r"^Race \d+$")
+    names = blocks.where(c("line").rlike(r"^Race \d+$")).select("doc", "block", F.regexp_extract("line", r"(\d+)", 1).cast("long").alias("race"))
+    return C.extract_header(blocks, "doc").join(names, ["doc", "block"]).select("doc", "race", "distance", "surface", "condition", "track", "day", "claiming_price", c("grade").cast("long").alias("grade"), "purse")
+
+
 @query("X03_extract_entries", f"{RUN} SELECT trainer AS doc, dense_rank() OVER (PARTITION BY trainer ORDER BY race) AS block, post, 'Horse ' || entity AS name, 'Rider ' || jockey AS jockey, CAST(q AS DOUBLE) AS weight, CASE WHEN q >= 0 THEN q + 1e0 END AS odds FROM run")
 def x03(spark, sf_dir):
     e = C.extract_entries(_blocks(spark, sf_dir), "doc", RUNNER)
