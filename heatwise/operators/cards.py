@@ -76,13 +76,14 @@ def extract_header(blocks: DataFrame, key: str, n: int = 20) -> DataFrame:
 
 
 def extract_entries(blocks: DataFrame, key: str, runner: str) -> DataFrame:
-    """Runners of each block: a line that matches (post, name) begins one, and the three lines after it may name rider, weight and odds."""
+    """Runners of each block: a line that matches (post, name) begins one, and the three lines after it may name rider, weight and odds. Flags are the letters of the first word of its line that has only L and B, three at most."""
     own = F.sum(F.col("line").rlike(runner).cast("int")).over(Window.partitionBy(key, "block").orderBy("line_no"))
     rows = blocks.withColumn("runner", own).where("runner > 0")
     nth = F.row_number().over(Window.partitionBy(key, "block", "runner").orderBy("line_no"))
     near = rows.withColumn("_n", nth).where("_n <= 4").groupBy(key, "block", "runner").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("t"))
     get = lambda p, i=1: F.nullif(F.trim(F.regexp_extract("t", p, i)), F.lit(""))
-    return near.select(key, "block", get(runner, 1).cast("int").alias("post"), text.clean_name(get(runner, 2)).alias("name"), text.collapse_ws(get(r"(?i)jockey:?\s*([^\n]+)")).alias("jockey"), units.first_number(get(r"(?i)weight:?\s*(\d+)")).alias("weight"), units.card_odds_to_decimal(get(r"(?i)odds:?\s*(\S+)")).alias("odds"), text.collapse_ws(get(r"(?i)trainer:?\s*([^\n]+)")).alias("trainer"))
+    flags = F.array_sort(F.array_distinct(F.filter(F.split(F.regexp_extract(F.get(F.split("t", "\n"), F.lit(0)), r"\b([LB]{1,3})\b", 1), ""), lambda x: x != "")))
+    return near.select(key, "block", get(runner, 1).cast("int").alias("post"), text.clean_name(get(runner, 2)).alias("name"), text.collapse_ws(get(r"(?i)jockey:?\s*([^\n]+)")).alias("jockey"), units.first_number(get(r"(?i)weight:?\s*(\d+)")).alias("weight"), units.card_odds_to_decimal(get(r"(?i)odds:?\s*(\S+)")).alias("odds"), text.collapse_ws(get(r"(?i)trainer:?\s*([^\n]+)")).alias("trainer"), flags.alias("flags"))
 
 
 def extract_history(blocks: DataFrame, key: str, runner: str, least: int = 8) -> DataFrame:

@@ -380,6 +380,15 @@ def x03(spark, sf_dir):
     return e.select("doc", c("block").cast("long"), c("post").cast("long"), "name", "jockey", "weight", "odds").toDF("doc", "block", "post", "name", "jockey", "weight", "odds")
 
 
+@query("X03_entry_flags", f"{RUN} SELECT trainer AS doc, dense_rank() OVER (PARTITION BY trainer ORDER BY race) AS block, post, 'Horse ' || entity AS name, CASE post % 4 WHEN 0 THEN [] WHEN 1 THEN ['L'] WHEN 2 THEN ['B'] ELSE ['B', 'L'] END AS flags FROM run")
+def x03_flags(spark, sf_dir):
+    """Runners with letters behind their names."""
+    post = F.regexp_extract("line", r"^(\d+)\. ", 1).try_cast("int") % 4
+    marks = F.concat(c("line"), F.lit(" ["), F.when(post == 1, "L").when(post == 2, "B").when(post == 3, "LLB").otherwise(""), F.lit("]"))
+    blocks = _blocks(spark, sf_dir).withColumn("line", F.when(c("line").rlike(r"^\d+\. "), marks).otherwise(c("line")))
+    return C.extract_entries(blocks, "doc", r"(?m)^(\d+)\. (.+?) \[\w*\]$").select("doc", c("block").cast("long").alias("block"), c("post").cast("long").alias("post"), "name", "flags")
+
+
 @query("X04_extract_history", f"{RUN} SELECT trainer AS doc, day, 'T' || jockey AS track, finish, CAST(q AS DOUBLE) AS figure FROM run")
 def x04(spark, sf_dir):
     return C.extract_history(_blocks(spark, sf_dir), "doc", RUNNER).select("doc", "day", "track", c("finish").cast("long").alias("finish"), "figure")
