@@ -16,3 +16,25 @@ def test_a_task_sorts_a_bounded_part_of_the_contest_view(spark, monkeypatch):
     got = base.runners(spark, SF)
     assert sorted(tuple(r) for r in got.select("race", "post", "finish").collect()) == want
     assert len(want) > 4 * 900 and rows_of_a_task(got) < 900
+
+
+def test_a_fit_reads_its_rows_once(spark):
+    from pyspark.sql import functions as F
+
+    from heatwise.operators import models
+
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(rows):
+        for r in rows:
+            read.add(1)
+            yield r
+
+    rows = [(i % 7 / 7, None if i % 5 == 0 else float(i % 3), int(i % 7 > 3)) for i in range(400)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).mapPartitions(counted), "a double, b double, y int")
+    model = models.fit_win_model(df, df.where("a > 0.5"), ["a", "b"], "y", 3, 2)
+    assert read.value == 800  # for training and for validation
+    assert models.score_win_model(model, df, ["a", "b"], "s").agg(F.count("s")).first()[0] == 400
+    read.value = 0
+    models.auto_select(df, df, "a", "y")
+    assert read.value == 800
