@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ RACE_TYPES = ("maiden_claiming", "maiden_special_weight", "claiming", "allowance
 DATES = ("yyyy-MM-dd", "M/d/yyyy", "M/d/yy", "MMMM d, yyyy", "MMM d, yyyy")
 
 
+def _once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is made once, however often f names it: Spark evaluates what stands in lambdas anew at each mention."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def balanced_objects(c: Column) -> Column:
     """All outermost {...} of a text, in order. Braces and quotes inside a string do not count, nor does a quote behind a backslash there; quotes outside of
     objects are words. A brace that is never closed gives nothing. One fold over the pieces between braces, quotes and backslashes."""
@@ -33,14 +40,14 @@ def balanced_objects(c: Column) -> Column:
         )
 
     cut = lambda p: F.transform(F.aggregate(p, start, step)["spans"], lambda x: F.array_join(F.slice(p, x["a"], x["n"]), ""))
-    return F.get(F.transform(F.array(pieces), cut), F.lit(0))  # an array of one, so that the pieces are made once
+    return _once(pieces, cut)
 
 
 def first_json_text(c: Column) -> Column:
     """The first JSON object of a text: that of a fenced block, else the first outermost {...} that parses. NULL where there is none."""
     parses = lambda x: F.try_parse_json(x).isNotNull()
     fenced = F.regexp_extract(c, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
-    return F.coalesce(F.when((fenced != "") & parses(fenced), fenced), F.get(F.filter(balanced_objects(c), parses), F.lit(0)))
+    return F.coalesce(_once(fenced, lambda x: F.when((x != "") & parses(x), x)), F.get(F.filter(balanced_objects(c), parses), F.lit(0)))
 
 
 def first_json_object(c: Column) -> Column:
@@ -53,39 +60,37 @@ def _raw(v: Column, name: str) -> Column:
 
 
 def _text(v: Column, name: str) -> Column:
-    return F.nullif(F.trim(_raw(v, name)), F.lit(""))
+    return _once(F.trim(_raw(v, name)), lambda x: F.when(x != "", x))
 
 
 def _number(v: Column, name: str, least: float | None = None, most: float | None = None) -> Column:
     """A number, with or without $ and commas; out of its range it is NULL."""
-    x = units.money(_raw(v, name))
-    if least is not None:
-        x = F.when(x >= least, x)
-    return x if most is None else F.when(x <= most, x)
+    x = _once(F.regexp_replace(_raw(v, name), r"[$,\s]", ""), units.number)
+    if least is None:
+        return x
+    return _once(x, lambda n: F.when(n >= least if most is None else n.between(least, most), n))
 
 
 def _whole(v: Column, name: str, least: int | None = None, most: int | None = None) -> Column:
     """The nearest whole number, of two the even one; out of its range it is NULL."""
     x = F.bround(_number(v, name), 0).try_cast("int")
-    return x if least is None else F.when(x.between(least, most), x)
+    return x if least is None else _once(x, lambda n: F.when(n.between(least, most), n))
 
 
 def _one_of(v: Column, name: str, allowed: tuple[str, ...]) -> Column:
-    x = F.translate(F.lower(F.trim(_raw(v, name))), "- ", "__")
-    return F.when(x.isin(*allowed), x).otherwise("unknown")
+    return _once(F.translate(F.lower(F.trim(_raw(v, name))), "- ", "__"), lambda x: F.when(x.isin(*allowed), x).otherwise("unknown"))
 
 
 def _date(v: Column, name: str) -> Column:
     """A date in one of DATES; years of two digits from 69 on are of the last century."""
-    t = F.trim(_raw(v, name))
-    d = units.coerce_date(t, DATES)
-    return F.when(t.rlike(r"/\d\d$") & (F.year(d) >= 2069), F.add_months(d, -1200)).otherwise(d)
+    last_century = lambda t: lambda d: F.when(t.rlike(r"/\d\d$") & (F.year(d) >= 2069), F.add_months(d, -1200)).otherwise(d)
+    return _once(F.trim(_raw(v, name)), lambda t: _once(units.coerce_date(t, DATES), last_century(t)))
 
 
 def _track(v: Column) -> Column:
     """A code of two to five characters, which must be text."""
     t = F.when(F.schema_of_variant(F.try_variant_get(v, "$.track_code", "variant")) == "STRING", F.upper(_text(v, "track_code")))
-    return F.when(F.length(t).between(2, 5), t)
+    return _once(t, lambda x: F.when(F.length(x).between(2, 5), x))
 
 
 def _items(v: Column, name: str) -> Column:
@@ -107,10 +112,11 @@ def _common(v: Column) -> list[Column]:
 
 def past_line(v: Column) -> Column:
     finish, behind = _whole(v, "finish_position", 1, 30), _number(v, "lengths_behind", 0)
+    behind = _once(F.struct(finish.alias("f"), behind.alias("b")), lambda x: F.when((x["f"] == 1) & x["b"].isNotNull(), 0.0).otherwise(x["b"]))
     number = F.coalesce(F.nullif(_whole(v, "race_number"), F.lit(0)), F.lit(1))
     return F.struct(
         _date(v, "race_date").alias("race_date"), *_common(v), F.least(F.greatest(number, F.lit(1)), F.lit(20)).alias("race_number"), _whole(v, "post_position", 1, 24).alias("post"), finish.alias("finish"),
-        F.when((finish == 1) & behind.isNotNull(), 0.0).otherwise(behind).alias("lengths_behind"), _whole(v, "field_size", 2, 30).alias("field_size"), _text(v, "jockey").alias("jockey"), _number(v, "weight_lbs", 95, 145).alias("weight"),
+        behind.alias("lengths_behind"), _whole(v, "field_size", 2, 30).alias("field_size"), _text(v, "jockey").alias("jockey"), _number(v, "weight_lbs", 95, 145).alias("weight"),
         _number(v, "odds_final", 1).alias("odds"), _number(v, "speed_figure", -20, 150).alias("speed_figure"), F.coalesce(_text(v, "speed_figure_source"), F.lit("unknown")).alias("figure_source"),
         _number(v, "fraction_q1", 10, 100).alias("first_call"), _number(v, "fraction_q2", 20, 160).alias("second_call"), _number(v, "fraction_finish", 40, 300).alias("final_time"), _text(v, "comment").alias("comment"),
     )
@@ -124,11 +130,11 @@ def _all(x: Column, *names: str) -> Column:
 
 
 def entry(v: Column) -> Column:
-    name, odds = _text(v, "horse_name"), _number(v, "morning_line_odds", 1, 500)
+    name, odds = _once(_text(v, "horse_name"), lambda x: F.when(F.length(x) <= 100, x)), _number(v, "morning_line_odds", 1, 500)
     past = F.filter(F.transform(_items(v, "pp_lines"), past_line), lambda x: _all(x, "race_date", "track_code", "distance", "post"))
     newest = F.array_sort(past, lambda a, b: F.when(a["race_date"] > b["race_date"], -1).when(a["race_date"] < b["race_date"], 1).otherwise(0))
     return F.struct(
-        F.when(F.length(name) <= 100, name).alias("horse"), _whole(v, "post_position", 1, 24).alias("post"), odds.alias("odds"), (1 / odds).alias("implied"), _text(v, "jockey").alias("jockey"), _text(v, "trainer").alias("trainer"),
+        name.alias("horse"), _whole(v, "post_position", 1, 24).alias("post"), odds.alias("odds"), (1 / odds).alias("implied"), _text(v, "jockey").alias("jockey"), _text(v, "trainer").alias("trainer"),
         _text(v, "owner").alias("owner"), _number(v, "weight_lbs", 95, 145).alias("weight"), _flags(v, "medication_flags").alias("medication"), _flags(v, "equipment_changes").alias("equipment"), newest.alias("history"),
     )
 

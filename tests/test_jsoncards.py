@@ -61,3 +61,16 @@ def test_texts_without_cards_and_odd_ones(spark):
     assert mixed["track_code"] is None and mixed["card_date"] is None and mixed["races"][1]["race_date"] == dt.date(1999, 1, 2)
     assert len(long["races"][0]["entries"]) == 60
     assert J.full_cards_from_json_text(spark.createDataFrame([], "t string, races int"), "t").count() == 0
+
+
+def test_values_are_made_once_and_races_too(spark):
+    """A range names its value once, and no filter makes the races of a card a second time."""
+    from pyspark.sql import functions as F
+
+    from heatwise.plans import flows
+
+    one = J._number(F.col("v"), "x", 2, 20)
+    assert str(one).count("try_variant_get") == 1
+    df = flows.x05_full(spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if x.lstrip(" :+-").startswith("Filter") and "try_variant_get" in x]
