@@ -38,3 +38,10 @@ def test_a_fit_reads_its_rows_once(spark):
     read.value = 0
     models.auto_select(df, df, "a", "y")
     assert read.value == 800
+
+
+def test_documents_are_dealt_by_their_lines(spark, monkeypatch):
+    from heatwise.plans import flows
+
+    monkeypatch.setattr(base, "TASK_ROWS", 2000)
+    assert rows_of_a_task(flows._blocks(spark, SF)) < 8000
