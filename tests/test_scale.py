@@ -40,6 +40,23 @@ def test_a_fit_reads_its_rows_once(spark):
     assert read.value == 800
 
 
+def test_draws_of_fits_are_no_rows(spark):
+    """Draws run inside the row of a race; strengths are those of plain draws."""
+    from pyspark.sql import functions as F
+
+    from heatwise.operators import models, rows
+
+    target = spark.createDataFrame([(r, i, p) for r in range(20) for i, p in enumerate((0.5, 0.3, 0.2), 1)], "race long, runner long, p double")
+    out = models.infer_strengths(target, 10, 1)
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    won = rows.sample_orders(target.withColumn("v", F.col("p")), "race", "runner", "v", 10, seed="fit0", shape=2).where("rank = 1").groupBy("race", "runner").count()
+    want = {(r["race"], r["runner"]): r["p"] * (r["p"] / ((r["n"] + 0.5) / 11)) ** 0.5 for r in target.join(won, ["race", "runner"], "left").select("race", "runner", "p", F.coalesce("count", F.lit(0)).alias("n")).collect()}
+    got = {(r["race"], r["runner"]): r["v"] for r in out.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    orders = target.where("runner < 3").groupBy("race").agg(F.sort_array(F.collect_list("runner")).alias("finishing_order"))
+    assert "Window" not in models.fit_stern_shape(target.select("race", "runner", F.col("p").alias("v")), orders, (1, 2), 5)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_documents_are_dealt_by_their_lines(spark, monkeypatch):
     from heatwise.plans import flows
 
