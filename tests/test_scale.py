@@ -62,3 +62,39 @@ def test_documents_are_dealt_by_their_lines(spark, monkeypatch):
 
     monkeypatch.setattr(base, "TASK_ROWS", 2000)
     assert rows_of_a_task(flows._blocks(spark, SF)) < 8000
+
+
+def test_outcomes_of_a_race_are_no_rows(spark):
+    """Trees grow in the row of a race: one join, of races. Odd fields and bets give what plain rows of outcomes do."""
+    from pyspark.sql import functions as F
+
+    from heatwise.operators import outcomes
+    from heatwise.plans import tables
+
+    plan = tables.r09_exotics(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 3  # each table's view has one of its own
+    runners = spark.createDataFrame([(r, x, p) for r in range(40) for x, p in ((1, 0.5), (2, 0.2), (2, 0.2), (None, 0.1), (3, None))], "race int, runner int, p double")
+    sold = [([1], 2.0, 0.5), ([2, 1], 4.0, 0.25), ([1, None], 9.0, 0.1), ([2, 1, 3], 90.0, 0.1), ([], 2.0, 0.1), (None, 2.0, 0.1), ([3], None, 0.1)]
+    bets = spark.createDataFrame([(r, *b) for r in range(40) for b in sold] + [(None, [1], 2.0, 1.0)], "race int, selection array<bigint>, odds double, stake double")
+    tree = outcomes.outcome_tree(runners, bets)
+    first = {tuple(r["finishing_order"]): (r["chance"], r["won"]) for r in tree.where("race = 7").collect()}
+    # Nothing can follow 2, 1 in a field of 0.5 and twice 0.2 but 3, which has no chance.
+    assert set(first) == {(1, 2), (1, 3), (2, 3), (2, 1, 3), (3,)} and first[1, 2] == (0.2, 1.0) and first[2, 1, 3] == (0.0, 10.0)
+    assert tree.where("finishing_order = array(1, 2)").count() == 80
+    pnl = tree.select("race", (F.col("won") - 1.25).alias("pnl"), "chance")
+    for alpha in (0.0, 0.3):
+        want = {r["race"]: r for r in outcomes.tail_risk(pnl, ["race"], alpha).collect()}
+        got = outcomes.portfolio_risk(runners, bets, alpha).collect()
+        assert len(got) == 40 == len(want)
+        for r in got:
+            assert all((x is None) == (y is None) and (x is None or abs(x - y) < 1e-12) for x, y in zip(r[1:], want[r["race"]][1:], strict=True))
+
+
+def test_races_grow_in_step_up_to_a_bound(monkeypatch):
+    import pyarrow as pa
+
+    from heatwise.operators import outcomes
+
+    monkeypatch.setattr(outcomes, "IN_STEP", 50)
+    batch = pa.record_batch({"field": [[1] * n for n in (2, 3, 30, 2, 5)], "bets": [[1] * n for n in (4, 5, 40, 1, 9)]})
+    assert [len(x) for x in outcomes._in_step(batch)] == [2, 1, 2]
