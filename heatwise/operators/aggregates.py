@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.pricing import log_loss_term
+from . import rows
 
 
 def race_violations(df: DataFrame, keys: Sequence[str], entity: str, finish: str, score: str) -> DataFrame:
@@ -88,22 +90,27 @@ def export_summary(df: DataFrame, by: str, day: str, horse: str, race: str) -> D
 MIN_STARTS = {"jockey": 10, "trainer": 10, "pair": 5}
 
 
-def empirical_bayes_rates(df: DataFrame, levels: dict[str, Sequence[str]], label: str, alpha: float = 30.0, min_starts: dict[str, int] = MIN_STARTS) -> DataFrame:
-    """Shrunk rates (wins + alpha * prior) / (starts + alpha) at each level, in one pass by grouping sets. The first level is the prior of the others and must be among their keys' tables.
+def empirical_bayes_rates(df: DataFrame, levels: dict[str, Sequence[str]], label: str, alpha: float = 30.0, min_starts: dict[str, int] = MIN_STARTS, n_rows: int | None = None) -> DataFrame:
+    """Shrunk rates (wins + alpha * prior) / (starts + alpha) at each level. The first level is the prior of the others and must be among their keys' tables.
 
+    Rows are grouped once by all keys, and those groups by each level's, in partitions of bounded rows (n_rows: how many df has; counted if not given).
     Result: level, its keys (others NULL), starts, wins, rate.
     """
     first = next(iter(levels))
     keys = list(dict.fromkeys(k for cols in levels.values() for k in cols))
     base = list(levels[first])
-    sets = [list(dict.fromkeys([*base, *cols])) for cols in levels.values()]
-    agg = df.groupingSets([[F.col(k) for k in s] for s in sets], *[F.col(k) for k in keys]).agg(F.count(label).alias("starts"), F.sum(label).alias("wins"), F.grouping_id().alias("_g"))
-    name = None
-    for level, s in zip(levels, sets, strict=True):
-        bits = sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in s)
-        name = F.when(F.col("_g") == bits, level) if name is None else name.when(F.col("_g") == bits, level)
-    agg = agg.withColumn("level", name).drop("_g")
-    prior = agg.where(F.col("level") == first).select(*[F.col(b).alias(f"_{b}") for b in base], (F.col("wins") / F.col("starts")).alias("_prior"))
+    n_rows = df.count() if n_rows is None else n_rows
+    one = rows.dealt(df.select(*keys, F.col(label).alias("_y")), n_rows, *keys)
+    finest = one.groupBy(*keys).agg(F.count("_y").alias("starts"), F.sum("_y").alias("wins"))
+
+    def at(level: str) -> DataFrame:
+        s = list(dict.fromkeys([*base, *levels[level]]))
+        # The prior has few groups, so tasks add up their own first; of the others a task would hold more with each row.
+        groups = finest if len(s) == len(keys) else (finest if level == first else rows.dealt(finest, n_rows, *s)).groupBy(*s).agg(F.coalesce(F.sum("starts"), F.lit(0)).alias("starts"), F.sum("wins").alias("wins"))
+        return groups.select(F.lit(level).alias("level"), *[F.col(k) if k in s else F.lit(None).cast(df.schema[k].dataType).alias(k) for k in keys], "starts", "wins")
+
+    agg = reduce(DataFrame.unionByName, [at(level) for level in levels])
+    prior = at(first).select(*[F.col(b).alias(f"_{b}") for b in base], (F.col("wins") / F.col("starts")).alias("_prior"))
     on = [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in base]
     out = agg.join(prior, on, "left").drop(*[f"_{b}" for b in base])
     least = F.create_map(*[F.lit(x) for kv in min_starts.items() for x in kv])[F.col("level")]

@@ -98,3 +98,20 @@ def test_races_grow_in_step_up_to_a_bound(monkeypatch):
     monkeypatch.setattr(outcomes, "IN_STEP", 50)
     batch = pa.record_batch({"field": [[1] * n for n in (2, 3, 30, 2, 5)], "bets": [[1] * n for n in (4, 5, 40, 1, 9)]})
     assert [len(x) for x in outcomes._in_step(batch)] == [2, 1, 2]
+
+
+def test_groups_of_rates_are_dealt_by_their_rows(spark, monkeypatch):
+    from heatwise.operators import aggregates, rows
+
+    df = spark.range(3000).selectExpr("cast(id % 2 AS string) AS track", "CASE WHEN id % 11 > 0 THEN id % 40 END AS jockey", "id div 2 AS trainer", "cast(id % 7 = 0 AS int) AS win")
+    levels = {"jurisdiction": ["track"], "jockey": ["track", "jockey"], "trainer": ["track", "trainer"], "pair": ["track", "jockey", "trainer"]}
+    least = {"jockey": 10, "trainer": 1, "pair": 1}
+    rates = lambda **more: aggregates.empirical_bayes_rates(df, levels, "win", min_starts=least, **more)
+    want = sorted(map(str, rates().collect()))
+    monkeypatch.setattr(rows, "TASK_ROWS", 300)
+    got = rates(n_rows=3000)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert all(any("RepartitionByExpression" in x and k in x and x.rstrip().endswith(", 10") for x in plan.splitlines()) for k in ("jockey", "trainer"))
+    assert sorted(map(str, got.collect())) == want
+    # By hand: 3000 / 2 starts of a track, 1 in 7 won; 3000 pairs, none of two rows.
+    assert sum("level='jurisdiction'" in x and "starts=1500" in x for x in want) == 2 and sum("level='pair'" in x for x in want) == 3000
