@@ -115,3 +115,23 @@ def test_groups_of_rates_are_dealt_by_their_rows(spark, monkeypatch):
     assert sorted(map(str, got.collect())) == want
     # By hand: 3000 / 2 starts of a track, 1 in 7 won; 3000 pairs, none of two rows.
     assert sum("level='jurisdiction'" in x and "starts=1500" in x for x in want) == 2 and sum("level='pair'" in x for x in want) == 3000
+
+
+def test_strengths_of_many_items_keep_bounded_partitions(spark, monkeypatch):
+    from heatwise.operators import models, rows
+
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(part):
+        for r in part:
+            made.add(1)
+            yield r
+
+    data = [(i // 5, i % 5 + 1, i * 7919 % 97 if i % 13 else None) for i in range(2000)]
+    orders = spark.createDataFrame(spark.sparkContext.parallelize(data, 2).mapPartitions(counted), "order_id int, position int, item int")
+    want = {r["item"]: r["strength"] for r in models.fit_plackett_luce(orders, 4).collect()}
+    assert made.value == 2000  # once, whatever the rounds
+    monkeypatch.setattr(rows, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(rows, "TASK_ROWS", 100)
+    got = {r["item"]: r["strength"] for r in models.fit_plackett_luce(orders, 4).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
