@@ -198,3 +198,29 @@ def test_names_do_not_decide_alone(spark):
     rows = [(i, f"http://a.example/{i}", html.format(c, b, a)) for i, (a, b, c) in enumerate(own)]
     got = {r["page_id"]: r["text"] for r in styletree.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: f"{b} {a}" for i, (a, b, _) in enumerate(own)}
+
+
+def test_new_pieces_go_to_the_tokenizer_together():
+    """Ids are those of each piece by itself, whatever pieces stand beside it."""
+    import random
+
+    import public_tokenizers
+    from heatwise.llm import tokens
+
+    path, rnd = public_tokenizers.path("byte_bpe_50k.json"), random.Random(5)
+    encoder = tokens.Encoder(path)
+    letters = "ab'stdlQé日 \n\t!0<|>9_𝄞 ́"
+    words = list({" " + "".join(rnd.choice(letters) for _ in range(rnd.randrange(1, 9))) for _ in range(6000)} | {" <|endoftext|>", "<|endoftext|>", " ", "\n", " a<|endoftext|>b", " 's", " it's", "x"})
+    got, sizes = encoder.encode(words)
+    want = [x.ids for x in encoder.tokenizer.encode_batch(words, add_special_tokens=False)]
+    assert [len(x) for x in want] == sizes.tolist() and [i for x in want for i in x] == got.tolist()
+    calls = []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **more):
+            calls.extend(texts)
+            return plain.encode_batch_fast(texts, **more)
+
+    plain, encoder.tokenizer = encoder.tokenizer, Counted()
+    encoder.encode([f" w{i}" for i in range(5000)])
+    assert len(calls) == 3
