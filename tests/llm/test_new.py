@@ -224,3 +224,50 @@ def test_new_pieces_go_to_the_tokenizer_together():
     plain, encoder.tokenizer = encoder.tokenizer, Counted()
     encoder.encode([f" w{i}" for i in range(5000)])
     assert len(calls) == 3
+
+
+def test_words_go_to_the_model_and_signs_end_pieces():
+    """Pieces that the tokenizer's split leaves whole go to its model at once; the ids stay those of whole texts."""
+    import random
+
+    import public_tokenizers
+    import pyarrow as pa
+    from heatwise.llm import tokens
+
+    path, rnd = public_tokenizers.path("byte_bpe_50k.json"), random.Random(8)
+    encoder = tokens.Encoder(path)
+    letters = [*"aZé×÷ÿɏɿʰ́߿.,;!?-_@*#9²'s |<> \n", "ing", "'ll", "<|endoftext|>", " the", "日"]
+    texts = ["".join(rnd.choice(letters) for _ in range(rnd.randrange(20))) for _ in range(5000)]
+    got, n = encoder(pa.array(texts))
+    want = [[*x.ids, tokens.END_ID] for x in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert n.tolist() == [len(x) for x in want] and got.tolist() == [i for x in want for i in x]
+    calls = []
+
+    class Split:
+        def encode_batch_fast(self, texts, **more):
+            calls.extend(texts)
+            return plain.encode_batch_fast(texts, **more)
+
+    plain, encoder.tokenizer = encoder.tokenizer, Split()
+    encoder.clear()
+    encoder(pa.array(["Every word, été or 2024; goes on its own"]))
+    assert not [c for c in calls if any(x.isalnum() for x in c)]
+
+
+def test_range_coder_keeps_odd_blocks_and_bounded_memory():
+    import tracemalloc
+
+    from heatwise.llm import rangecoder
+
+    rng = np.random.default_rng(4)
+    parts = [rng.permutation(50_000)[:8192], np.zeros(8192, int), np.tile([1, 2], 4000), np.repeat(rng.integers(0, 1 << 31, 40), 100), np.array([7]), rng.integers(0, 3, 77), np.tile(rng.integers(0, 9000, 700), 9)]
+    blocks = rangecoder._encode([x.astype(np.uint32) for x in parts])
+    back = rangecoder._decode(rangecoder.split_blocks(b"".join(blocks)))
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(parts, back, strict=True))
+    ids = np.minimum(rng.zipf(1.2, rangecoder.BLOCK * rangecoder.LANES // 4), 50_000).astype(np.uint32)
+    tracemalloc.start()
+    data = b"".join(rangecoder.encode(ids))
+    rangecoder.decode(rangecoder.split_blocks(data))
+    peak = tracemalloc.get_traced_memory()[1] / rangecoder.LANES * 4
+    tracemalloc.stop()
+    assert peak < 180_000, peak  # bytes a block
