@@ -33,6 +33,8 @@ MAX_BROADCAST_ROWS = 1_000_000
 #: Sketches, and sets, that a task compares with as many others at once.
 SKETCHES, BLOCK = 1000, 250
 ROWS_A_BATCH = 500
+#: Bytes of text of which sets are made at once.
+TEXT_BYTES = 300_000
 #: Hubs that a bucket gets one after the other, and members that go with one copy of their hub.
 ROUNDS, MEMBERS = 2, 1000
 #: Bits of a sketch for each element of the largest set of its band; it can be folded once, for the band below.
@@ -148,7 +150,7 @@ def _describe(docs: DataFrame, k: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, text in slices(batches):
+        for batch, text in slices(batches, limit=TEXT_BYTES):
             s, b = sets(text, k)
             sums = []
             for salt in (0x9FB21C651E98DF25, 0xC13FA9A902A6328F):
@@ -162,7 +164,7 @@ def _describe(docs: DataFrame, k: int) -> DataFrame:
 def _signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
     def on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scheme = Scheme(percent)
-        for batch, text in slices(batches):
+        for batch, text in slices(batches, limit=TEXT_BYTES):
             s, b = sets(text, k)
             ids = batch.column(0).to_numpy()
             for cross in (False, True):
@@ -202,7 +204,7 @@ def _of_texts(ids: DataFrame, docs: DataFrame, k: int, what: str) -> DataFrame:
     """(id, n, data): the sets of the documents named, made again from their texts: as ascending hashes (elements) or as sketches."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, text in slices(batches):
+        for batch, text in slices(batches, limit=TEXT_BYTES):
             s, b = sets(text, k)
             data = sketches(s, b) if what == "sketches" else [s[b[i] : b[i + 1]].tobytes() for i in range(len(text))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(b)), pa.array(data, pa.binary())], names=["id", "n", "data"])
@@ -240,7 +242,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
 
     def on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
-        for batch, text in slices(batches):
+        for batch, text in slices(batches, limit=TEXT_BYTES):
             s, bounds = sets(text, k)
             found = []
             for i, (a, copy, b) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True)):
