@@ -135,3 +135,32 @@ def test_strengths_of_many_items_keep_bounded_partitions(spark, monkeypatch):
     monkeypatch.setattr(rows, "TASK_ROWS", 100)
     got = {r["item"]: r["strength"] for r in models.fit_plackett_luce(orders, 4).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_strengths_settle(spark):
+    """Rounds go on until strengths stand still, however many items share them."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from heatwise.operators import models
+    from heatwise.plans import flows
+
+    rng = np.random.default_rng(3)
+    data = [(r, k + 1, int(i)) for r in range(600) for k, i in enumerate(rng.permutation(40)[:4] if r % 5 else rng.permutation(40)[:2])]
+    orders = spark.createDataFrame(data, "order_id int, position int, item int")
+    asked = {}
+    fit, models.fit_plackett_luce = models.fit_plackett_luce, lambda df, **more: asked.update(more) or df
+    try:
+        flows.m12(spark, SF)
+    finally:
+        models.fit_plackett_luce = fit
+    v = {r["item"]: r["strength"] for r in models.fit_plackett_luce(orders, **asked).collect()}
+    assert len(v) == 40 and abs(sum(v.values()) - 1) < 1e-9
+    d, wins = dict.fromkeys(v, 0.0), dict.fromkeys(v, 0)
+    for r in range(600):
+        field = [i for o, _, i in data if o == r]
+        for k in range(len(field) - 1):
+            wins[field[k]] += 1
+            for i in field[k:]:
+                d[i] += 1 / sum(v[j] for j in field[k:])
+    assert all(abs(wins[i] / (v[i] * d[i]) - 1) < 1e-5 for i in v)  # another round would move none
