@@ -164,3 +164,43 @@ def test_strengths_settle(spark):
             for i in field[k:]:
                 d[i] += 1 / sum(v[j] for j in field[k:])
     assert all(abs(wins[i] / (v[i] * d[i]) - 1) < 1e-5 for i in v)  # another round would move none
+
+
+def test_strengths_meet_exact_shares(spark):
+    """Shares that strengths imply, by a plain integral, are the targets; odd fields keep their rows."""
+    import numpy as np
+
+    from heatwise.operators import models
+    from heatwise.plans import flows
+
+    fields = {1: [1.0], 2: [0.7, 0.3], 3: [0.5, 0.3, 0.15, 0.05], 4: [0.05] * 20, 5: [0.6, None, 0.4], 6: [1.0, 0.0], 7: [None]}
+    target = spark.createDataFrame([(r, i, p) for r, ps in fields.items() for i, p in enumerate(ps)] + [(None, 0, 1.0)], "race long, runner long, p double")
+    asked = []
+    fit, models.infer_strengths = models.infer_strengths, lambda df, *more, **named: asked.append((more, named)) or df.withColumn("v", df["p"])
+    try:
+        flows.m14(spark, SF)
+    finally:
+        models.infer_strengths = fit
+    got = models.infer_strengths(target, *asked[0][0], **asked[0][1])
+    assert got.columns == ["race", "runner", "p", "v"] and got.count() == target.count()
+    by = {}
+    for r in got.collect():
+        by.setdefault(r["race"], {})[r["runner"]] = r["v"]
+    t = np.arange(0, 200, 0.002)[1:]
+    for race, ps in fields.items():
+        assert [by[race][i] is None for i in range(len(ps))] == [p is None for p in ps]
+        v = np.array([by[race][i] for i, p in enumerate(ps) if p is not None])
+        if race in (2, 3, 4, 5):
+            assert abs(v.sum() - 1) < 1e-12
+            still = np.prod([np.exp(-x * t) * (1 + x * t) for x in v], 0)
+            share = [(x * x * t / (1 + x * t) * still).sum() * 0.002 for x in v]
+            assert np.abs(np.array(share) - [p for p in ps if p is not None]).max() < 1e-5
+    for n, shape in ((170, 2), (30, 4)):  # many nodes, and steps of the logarithm
+        v = np.random.default_rng(n).dirichlet(np.ones(n))[None]
+        few, models.FEW_NODES = models.FEW_NODES, 500
+        models._nodes.cache_clear()
+        want, models.FEW_NODES = models.win_shares(v, shape), 4
+        models._nodes.cache_clear()
+        assert np.abs(models.win_shares(v, shape) - want).max() < 1e-9 and abs(want.sum() - 1) < 1e-9
+        models.FEW_NODES = few
+        models._nodes.cache_clear()
