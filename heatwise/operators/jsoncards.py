@@ -43,16 +43,51 @@ def balanced_objects(c: Column) -> Column:
     return _once(pieces, cut)
 
 
+#: Objects of a text that are tried one by one before it takes all.
+TRIED = 3
+#: A brace, or what stands between braces inside of an object, strings whole. Possessive, so that Java's matcher goes on in a loop and never back.
+_BETWEEN = r'[{}]|(?:[^{}"]++|"[^"\\]*+(?:\\.[^"\\]*+)*+"?+)++'
+
+
+def _from_brace(c: Column) -> Column:
+    """A text from its first opening brace on; empty where there is none."""
+    return _once(F.instr(c, "{"), lambda i: F.when(i > 0, F.substr(c, i)).otherwise(""))
+
+
+def _closed(c: Column) -> Column:
+    """The object that a text begins with, up to the brace that closes it, as the first of balanced_objects(); empty where none does."""
+
+    def step(s: Column, t: Column) -> Column:
+        i, depth = s["i"] + 1, s["depth"] + (t == "{").cast("int") - (t == "}").cast("int")
+        return F.when(s["n"] > 0, s).otherwise(F.struct(i.alias("i"), depth.alias("depth"), F.when(depth == 0, i).otherwise(F.lit(0)).alias("n")))
+
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("depth"), F.lit(0).alias("n"))
+    return _once(F.regexp_extract_all(c, F.lit(f"(?s){_BETWEEN}"), 0), lambda p: F.array_join(F.slice(p, 1, F.aggregate(p, start, step)["n"]), ""))
+
+
+def _first_object(c: Column, parsed: Callable[[Column], Column]) -> Column:
+    """What parsed gives for the first JSON object of a text: that of a fenced block, else the first outermost {...} for which it is not NULL."""
+    fenced = F.regexp_extract(c, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
+
+    def first(c: Column, tries: int) -> Column:
+        """Quotes outside of objects are words, so each object is cut off before the next is looked for."""
+        if not tries:
+            return F.get(F.filter(F.transform(balanced_objects(c), parsed), lambda x: x.isNotNull()), F.lit(0))
+        rest = lambda t, x: first(F.substr(t, F.length(x) + 1), tries - 1)
+        one = lambda t: _once(_closed(t), lambda x: F.when(x != "", F.coalesce(parsed(x), rest(t, x))))
+        return _once(_from_brace(c), one)
+
+    return F.coalesce(_once(fenced, lambda x: F.when(x != "", parsed(x))), first(c, TRIED))
+
+
 def first_json_text(c: Column) -> Column:
     """The first JSON object of a text: that of a fenced block, else the first outermost {...} that parses. NULL where there is none."""
-    parses = lambda x: F.try_parse_json(x).isNotNull()
-    fenced = F.regexp_extract(c, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
-    return F.coalesce(_once(fenced, lambda x: F.when((x != "") & parses(x), x)), F.get(F.filter(balanced_objects(c), parses), F.lit(0)))
+    return _first_object(c, lambda x: F.when(F.try_parse_json(x).isNotNull(), x))
 
 
 def first_json_object(c: Column) -> Column:
     """first_json_text() as a variant."""
-    return F.try_parse_json(first_json_text(c))
+    return _first_object(c, F.try_parse_json)
 
 
 def _raw(v: Column, name: str) -> Column:

@@ -74,3 +74,22 @@ def test_values_are_made_once_and_races_too(spark):
     df = flows.x05_full(spark, "/root/testdata/sf0.001")
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert not [x for x in plan.splitlines() if x.lstrip(" :+-").startswith("Filter") and "try_variant_get" in x]
+
+
+def test_first_object_takes_pieces_between_braces(spark):
+    """Strings inside of an object are no pieces of their own, and the object is the one that the fold over all quotes finds."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    card = '{"races": [{"entries": [' + ", ".join(f'{{"horse": "A \\"{i}\\" }}{{", "odds": "3"}}' for i in range(50)) + "]}]}"
+    assert spark.range(1).select(F.size(F.regexp_extract_all(F.lit(card), F.lit(f"(?s){J._BETWEEN}"), 0))).first()[0] < 4 * 52
+    rng = random.Random(5)
+    parts = ["{", "}", '"', "\\", '{"a": 1}', '{"a": "}{"}', " x ", '{"b": {"c": "\\""}}', "\n", "{}", "[", '{"d": [1, {"e": "\\\\"}]}']
+    rows = [("".join(rng.choice(parts) for _ in range(rng.randint(0, 14))),) for _ in range(800)] + [(None,), ("{draft} " * 9 + '{"z": 1}',), ("A 5\" card {draft}: " + card + " and {}",)]
+    whole = F.get(F.filter(J.balanced_objects(F.col("t")), lambda x: F.try_parse_json(x).isNotNull()), F.lit(0))
+    got = spark.createDataFrame(rows, "t string").select(whole.alias("want"), J.first_json_text(F.col("t")).alias("got")).collect()
+    assert all(r["want"] == r["got"] for r in got) and sum(r["got"] is not None for r in got) > 400
+    assert got[-1]["got"] == card and got[-2]["got"] == '{"z": 1}'
+    long = '{"a": "' + 'x\\"' * 200_000 + '"}'
+    assert spark.createDataFrame([(long,)], "t string").select(J.first_json_text(F.col("t"))).first()[0] == long
