@@ -204,3 +204,20 @@ def test_strengths_meet_exact_shares(spark):
         assert np.abs(models.win_shares(v, shape) - want).max() < 1e-9 and abs(want.sum() - 1) < 1e-9
         models.FEW_NODES = few
         models._nodes.cache_clear()
+
+
+def test_isotonic_fits_get_bounded_partitions(spark, monkeypatch):
+    """MLlib makes as many ranges as it gets partitions, and holds each as objects in a task."""
+    from heatwise.operators import models, rows
+
+    parts, fit = [], models.IsotonicRegression.fit
+    monkeypatch.setattr(models.IsotonicRegression, "fit", lambda self, df: parts.append(df.rdd.getNumPartitions()) or fit(self, df))
+    monkeypatch.setattr(rows, "TASK_ROWS", 100)
+    df = spark.createDataFrame([(i // 5, 1.5 + i * 37 % 1009 / 100, i * 37 % 1009 / 1009, int(i % 3 == 0)) for i in range(2000)], "race int, odds double, p double, y int")
+    got = models.MarketPrior.fit(df, "odds", "race", "y")(df)
+    cal = models.calibrate(df, "p", "y", "isotonic")(df)
+    assert parts == [20, 20]
+    monkeypatch.setattr(rows, "TASK_ROWS", 10_000)
+    assert sorted(r["market"] for r in got.collect()) == sorted(r["market"] for r in models.MarketPrior.fit(df, "odds", "race", "y")(df).collect())
+    assert sorted(r["calibrated"] for r in cal.collect()) == sorted(r["calibrated"] for r in models.calibrate(df, "p", "y", "isotonic")(df).collect())
+    assert max(parts[2:]) <= 4
